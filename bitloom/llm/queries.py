@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import exact_dedup, mixing, packing, simhash, toxicity
+from bitloom.llm import exact_dedup, media_tiff, mixing, packing, pii, quality, sharding, simhash, toxicity, url_filters
 
 #: The tokenizer's vocabulary file; a name that the tokenizer package resolves.
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), sharding.tree(16), sharding.tree(17))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+#: Names that the query's lists block from the start, as parts of host names.
+BAD_NAMES = ("ads-track", "casino-win", "spam-farm")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries that follow from the hosts of pages: fixed names, some domains added, removed and added again, some paths allowed."""
+    url = pages.select(F.regexp_replace(url_filters.host_of(F.col("url")), r"^(www|blog|m)\.", "").alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/([a-z]+)/", 1).alias("part")).where("host <> ''").distinct()
+    day = lambda salt, n: F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("host"))), 1, 8), 16, 10).cast("long") % n
+    at = lambda days: F.timestamp_seconds(F.lit(1704067200) + days * 86400)
+    hosts = url.select("host").distinct().withColumns({"a": day("add", 300), "k": day("keep", 120) + 1, "r": day("rare", 5)})
+    entry = lambda rows, name, pattern, verdict, action, when: rows.select(F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), at(when).alias("at"))
+    bad = hosts.where(F.col("host").rlike("|".join(BAD_NAMES)))
+    some = hosts.where("r = 0")
+    out = entry(bad, "abuse", F.col("host"), "block", "add", F.lit(30))
+    out = out.unionByName(entry(some, "review", F.col("host"), "block", "add", F.col("a")))
+    out = out.unionByName(entry(some, "review", F.col("host"), "block", "remove", F.col("a") + F.col("k")))
+    out = out.unionByName(entry(some.where("k % 2 = 0"), "review", F.col("host"), "block", "add", F.col("a") + F.col("k") + 45))
+    paths = url.where("part <> ''").withColumns({"a": day("path", 200), "r": day("allow", 7)}).where("r = 0")
+    return out.unionByName(entry(paths, "trusted", F.concat("host", F.lit("/"), "part"), "allow", "add", F.col("a")))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919 % 365) * 86400 + F.col("page_id") * 104729 % 86400)
+    return url_filters.judge(pages.withColumn("fetched_at", fetched), list_entries(pages))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,6 +77,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_tiff.store(_table(spark, sf_dir, "documents"))
+    back = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media_tiff.pages_of("media").alias("pages"))
+    payload = F.when(F.size("pages") == 1, F.col("pages")[0]["pixels"]).otherwise(F.aggregate("pages", F.lit(b""), lambda a, p: F.concat(a, p["pixels"])))
+    told = F.array_join(F.transform("pages", lambda p: F.concat_ws(",", p["width"].cast("string"), p["height"].cast("string"), p["compression"].cast("string"), p["predictor"].cast("string"), p["parts"].cast("string"), p["feature"])), "|")
+    back = back.select("doc_id", "n_bytes", "media_bytes", "media_sha256", payload.alias("payload"), told.alias("feature"))
+    size = F.octet_length("payload")
+    return back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("payload"), size - 63, F.lit(64))).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     allowed = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
@@ -49,11 +99,94 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    bucket = F.crc32(F.col("doc_id").cast("string")) % 4
+    net = quality.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"), allowed=bucket != 2)
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", (bucket == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _tree_sql(shards: list[sharding.Shard]) -> str:
+    """The descent as one SQL expression over a column named key."""
+    weight: dict[tuple[int, ...], float] = {}
+    for s in shards:
+        for path in ((s.region,), (s.region, s.rack), (s.region, s.rack, s.shard)):
+            weight[path] = weight.get(path, 0.0) + s.weight
+
+    def pick(above: tuple[int, ...]) -> str:
+        under = [p for p in sorted(weight) if len(p) == len(above) + 1 and p[: len(above)] == above]
+        if len(under) == 1:
+            return pick(under[0]) if len(above) < 2 else str(under[0][-1])
+        draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5('{'/'.join(map(str, p))}|' || key), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16**13)!r}::DOUBLE) / {weight[p]!r}::DOUBLE, 'i': {i if len(above) < 2 else p[-1]}}}" for i, p in enumerate(under))
+        chosen = f"(list_sort([{draws}])[1]).i"
+        if len(above) == 2:
+            return chosen
+        return f"CASE {chosen} " + " ".join(f"WHEN {i} THEN {pick(p)}" for i, p in enumerate(under)) + " END"
+
+    return pick(())
+
+
+OP1_SQL = f"""
+WITH crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) r(n)),
+keyed AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+placed AS (
+  SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+         ({_tree_sql(sharding.tree(16))})::INT AS shard, ({_tree_sql(sharding.tree(17))})::INT AS grown_shard
+  FROM keyed, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5('slot|' || key), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM placed
+"""
+
+OP3_SQL = r"""
+WITH seen AS (
+  SELECT page_id, url, to_timestamp(1704067200 + (page_id * 7919 % 365) * 86400 + page_id * 104729 % 86400)::TIMESTAMP AS fetched_at,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1) AS host
+  FROM pages),
+parts AS (
+  SELECT DISTINCT regexp_replace(host, '^(www|blog|m)\.', '') AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([a-z]+)/', 1) AS part FROM seen WHERE host <> ''),
+days AS (
+  SELECT host, ('0x' || substr(md5('add|' || host), 1, 8))::BIGINT % 300 AS a, ('0x' || substr(md5('keep|' || host), 1, 8))::BIGINT % 120 + 1 AS k,
+         ('0x' || substr(md5('rare|' || host), 1, 8))::BIGINT % 5 AS r
+  FROM (SELECT DISTINCT host FROM parts WHERE host <> '')),
+entries AS (
+  SELECT 'abuse' AS list, host AS pattern, 'block' AS verdict, 'add' AS action, 30 AS day FROM days WHERE regexp_matches(host, 'ads-track|casino-win|spam-farm')
+  UNION ALL SELECT 'review', host, 'block', 'add', a FROM days WHERE r = 0
+  UNION ALL SELECT 'review', host, 'block', 'remove', a + k FROM days WHERE r = 0
+  UNION ALL SELECT 'review', host, 'block', 'add', a + k + 45 FROM days WHERE r = 0 AND k % 2 = 0
+  UNION ALL SELECT 'trusted', host || '/' || part, 'allow', 'add', ('0x' || substr(md5('path|' || host), 1, 8))::BIGINT % 200
+            FROM parts WHERE host <> '' AND part <> '' AND ('0x' || substr(md5('allow|' || host), 1, 8))::BIGINT % 7 = 0),
+valid AS (
+  SELECT * FROM (
+    SELECT list, pattern, verdict, action, to_timestamp(1704067200 + day * 86400)::TIMESTAMP AS valid_from,
+           lead(to_timestamp(1704067200 + day * 86400)::TIMESTAMP) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to
+    FROM entries) WHERE action = 'add'),
+asked AS (
+  SELECT page_id, url, fetched_at, unnest(list_distinct(list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, least(2, len(segments)) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS pattern
+  FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segments
+        FROM (SELECT DISTINCT * FROM seen) WHERE host <> '' AND length(host) <= 253)),
+best AS (
+  SELECT page_id, url, fetched_at, count(*) AS matches,
+         min_by({'v': verdict, 'l': list, 'p': pattern, 'f': valid_from, 't': valid_to}, {'a': -length(pattern), 'b': verdict <> 'allow', 'c': list, 'd': pattern}) AS e
+  FROM asked JOIN valid USING (pattern) WHERE valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY ALL)
+SELECT s.page_id, s.url, s.fetched_at, s.host, coalesce(e.v, 'pass') AS decision, e.l AS list, e.p AS pattern, e.f AS valid_from, e.t AS valid_to,
+       coalesce(matches, 0)::BIGINT AS matches
+FROM seen s LEFT JOIN best b ON s.page_id IS NOT DISTINCT FROM b.page_id AND s.url IS NOT DISTINCT FROM b.url AND s.fetched_at = b.fetched_at
+"""
+
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key,
@@ -104,14 +237,19 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
+        "op2_pii": op2_pii,
+        "op3_url_filters": op3_url_filters,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
+        "op7_tiff": op7_tiff,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
