@@ -8,6 +8,7 @@ quarter is held back and closes the gaps, opening a sequence only where no gap i
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -21,89 +22,77 @@ CAPACITY = 2048
 GROUP_PIECES = 16_384
 #: Share of a group's pieces, the smallest, that come last.
 HELD_BACK = 0.25
-#: Words that a worker remembers: as written, and without case and closing marks.
-MEMORY_WORDS, MEMORY_LETTERS = 300_000, 500_000
+#: What a worker remembers: words, and runs of letters or marks.
+MEMORY_WORDS, MEMORY_LETTERS = 500_000, 500_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>>"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The usual byte-level alphabet: printable Latin-1 characters stand for their own bytes, further ones for the rest."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class _Memory(dict):
+    """A dictionary that makes what it lacks, and keeps it while there is room."""
+
+    def __init__(self, make, room: int) -> None:
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.room:
+            self[key] = value
+        return value
+
+
 class WordTokens:
     """A tokenizer's ids for texts, remembered word by word.
 
-    For a tokenizer whose tokens never span white space and that lower-cases. Texts outside Latin-1 and texts with
-    marks of special tokens go to the tokenizer whole, words of other than letters and closing marks one by one.
+    For a byte-level tokenizer whose tokens never span white space, that lower-cases, and that takes a run of letters and a
+    run of marks as units: units go to its model. Texts outside Latin-1 and texts with marks of special tokens go to the
+    tokenizer whole, words of other than letters and closing marks one by one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.alphabet = _byte_characters()
+        self.units = _Memory(self._unit, MEMORY_LETTERS)
+        self.words = _Memory(self._word, MEMORY_WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_letters(self, parts: list[str]) -> None:
-        """parts: runs of letters in lower case or runs of marks, each one unit for the tokenizer."""
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                self.letters.update((p, self._whole(p)) for p in some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for part, stop in zip(some, (stops * 4).tolist(), strict=True):
-                self.letters[part] = raw[at:stop]
-                at = stop
-
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        parts: dict[bytes, tuple[str, str]] = {}
-        odd: list[bytes] = []
-        for word in new:
-            w = word.decode("utf-8")
-            stem = w.rstrip(_MARKS)
-            if stem == "" or stem.isalpha():
-                parts[word] = (stem, w[len(stem) :])
-            else:
-                odd.append(word)
-        if len(self.letters) > MEMORY_LETTERS:
-            self.letters = {"": b""}
-        self._learn_letters(list({p for pair in parts.values() for p in pair if p not in self.letters}))
-        out = {word: self.letters[stem] + self.letters[marks] for word, (stem, marks) in parts.items()}
-        out.update((word, self._whole(word.decode("utf-8"))) for word in odd)
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split: list[list[bytes] | None] = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-                split.append(None if "<|" in t else t.lower().encode("utf-8").split())
-            except UnicodeEncodeError:
-                split.append(None)
-        known = self.words
-        new = {w for words in split if words for w in words if w not in known}
-        more = self._learn(new)
-        if len(known) + len(more) <= MEMORY_WORDS:
-            known.update(more)
-            more = {}
-        out = []
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._whole(t))
-            elif more:
-                out.append(b"".join([known[w] if w in known else more[w] for w in words]))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+    def _unit(self, unit: str) -> bytes:
+        if not unit:
+            return b""
+        form = unit if unit.isascii() else unit.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(form)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        w = word.decode("utf-8")
+        stem = w.rstrip(_MARKS)
+        if stem.isalpha() or not stem:
+            return self.units[stem] + self.units[w[len(stem) :]] if len(stem) < len(w) else self.units[stem]
+        return self._whole(w)
+
+    def ids(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit numbers."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text)
+        if "<|" in text:
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.lower().encode("utf-8").split()))
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -121,12 +110,11 @@ def pieces_udf(path: str, capacity: int, end_id: int, keep_ids: bool):
     def pieces(texts: pd.Series) -> pd.Series:
         tail = np.array([end_id], dtype="<u4").tobytes()
         out = []
-        step = 64
-        for i in range(0, len(texts), step):
-            for raw in tokens_of(path).ids(texts.iloc[i : i + step].tolist()):
-                raw += tail
-                parts = [raw[a : a + 4 * capacity] for a in range(0, len(raw), 4 * capacity)]
-                out.append([{"piece": k, "start": k * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p if keep_ids else None} for k, p in enumerate(parts)])
+        tokens = tokens_of(path)
+        for text in texts:
+            raw = tokens.ids(text) + tail
+            parts = [raw[a : a + 4 * capacity] for a in range(0, len(raw), 4 * capacity)]
+            out.append([{"piece": k, "start": k * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p if keep_ids else None} for k, p in enumerate(parts)])
         return pd.Series(out)
 
     return pieces
