@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bitloom.plans import language
+
+_MODULES = (language,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Each takes (spark, sf_dir) and runs over whole tables."""
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For DuckDB, by the names of queries(); none where SQL cannot say it."""
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
