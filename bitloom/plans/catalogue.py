@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.plans import language
+from bitloom.plans import evaluation, language, ledgers, pages
 
-_MODULES = (language,)
+_MODULES = (language, ledgers, evaluation, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,10 +63,10 @@ def session_stream(events: DataFrame, gap: str = "30 seconds", delay: str = "1 m
     return events.withWatermark("ts", delay).groupBy("task_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
 
 
-def usage_delta_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """(call_id, total, delta): of cumulative usage events (call_id, seq, output) what each call adds over all before, repeats and stale values nothing."""
+def usage_delta_stream(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
+    """(call_id, total, delta): of cumulative usage events (call_id, seq, output) what each call adds over all before, repeats and stale values nothing. A call's state goes after it has been idle for so long; None keeps it."""
     spec = "call_id string, total long, delta long"
-    limit = int(pd.Timedelta(idle).total_seconds() * 1000)
+    limit = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -76,10 +76,11 @@ def usage_delta_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         new = max(total, int(rows["output"].max()))
         state.update((new,))
-        state.setTimeoutDuration(limit)
+        if limit:
+            state.setTimeoutDuration(limit)
         yield pd.DataFrame({"call_id": [key[0]], "total": [new], "delta": [new - total]})
 
-    return events.groupBy("call_id").applyInPandasWithState(step, spec, "total long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("call_id").applyInPandasWithState(step, spec, "total long", "update", GroupStateTimeout.ProcessingTimeTimeout if limit else GroupStateTimeout.NoTimeout)
 
 
 def snapshot_upsert(feed: DataFrame) -> DataFrame:
