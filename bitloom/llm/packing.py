@@ -2,8 +2,9 @@
 
 Only documents longer than a sequence are cut. Full pieces are sequences of their own. The rest are dealt by a hash into
 groups of about ``GROUP_PIECES``, as many as the input needs, and each group is packed in one task: a piece goes where
-the sum over gaps of (open sequences with that gap) squared becomes smallest. The larger pieces come first; the smallest
-quarter is held back and closes the gaps, opening a sequence only where no gap is wide enough.
+the sum over gaps of (open sequences with that gap) squared becomes smallest. Larger pieces come first, and a sequence is
+opened only where no gap is wide enough: measured on several size distributions, that never needs more sequences than
+opening one whenever the sum of squares would be smaller, and often far fewer.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from bitloom.llm.common import cut, prepare, text_of
 
 CAPACITY = 2048
 GROUP_PIECES = 16_384
-#: Share of a group's pieces, the smallest, that come last.
-HELD_BACK = 0.25
 #: What a worker remembers: words, and runs of letters or marks.
 MEMORY_WORDS, MEMORY_LETTERS = 500_000, 500_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -127,10 +126,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return rows.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int, held_back: float = HELD_BACK) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item. sizes: from 1 to capacity - 1, largest first."""
     n = len(sizes)
-    closing = n - int(n * held_back)
     gaps = np.zeros(capacity + 1, dtype=np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     at, offset = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -139,10 +137,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int, held_back: float = HELD_BAC
         fits = np.flatnonzero(gaps[s:capacity]) + s
         chosen = 0
         if len(fits):
+            # how the sum changes when a gap of one width is filled, or turns into one of the rest's width
             change = 1 - 2 * gaps[fits] + np.where(fits > s, 2 * gaps[fits - s] + 1, 0)
-            k = int(np.argmin(change))
-            if i >= closing or change[k] <= 2 * gaps[capacity - s] + 1:
-                chosen = int(fits[k])
+            chosen = int(fits[np.argmin(change)])
         if chosen:
             b = open_bins[chosen].pop()
             gaps[chosen] -= 1
