@@ -31,9 +31,12 @@ def prepare_memory(batch: DataFrame) -> DataFrame:
 
 
 def upsert_memory(target: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The memory table after a batch: the last writing of each key wins. Applying a batch twice changes nothing."""
-    new = prepare_memory(batch)
-    return latest_by_key(new if target is None else target.unionByName(new), MEMORY_KEY, ["seq"])
+    """The memory table after a batch: the last writing of each key wins, and a paragraph keeps the seq of its first. Applying a batch twice changes nothing."""
+    new = prepare_memory(batch).withColumn("updated_seq", F.col("seq"))
+    rows = new if target is None else target.unionByName(new)
+    kept = [c for c in rows.columns if c not in (*MEMORY_KEY, "seq")]
+    best = rows.groupBy(*MEMORY_KEY).agg(F.max_by(F.struct(*kept), "updated_seq").alias("row"), F.min("seq").alias("seq"))
+    return best.select(*MEMORY_KEY, "row.*", "seq").select(*rows.columns)
 
 
 def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -> DataFrame:
