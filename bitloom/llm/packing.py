@@ -22,7 +22,7 @@ from bitloom.llm.common import cut, prepare, text_of
 CAPACITY = 2048
 GROUP_PIECES = 16_384
 #: What a worker remembers: words, and runs of letters or marks.
-MEMORY_WORDS, MEMORY_LETTERS = 500_000, 500_000
+MEMORY_WORDS, MEMORY_LETTERS = 250_000, 200_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>>"
