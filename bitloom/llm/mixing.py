@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import cut, power_of_two
 
 #: Rows that a bucket of the running sums is meant to hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
+#: Bins of a histogram of finish times, and rows of a bin that are put in order.
+BINS, FEW_ROWS = 1024, 4_000
 SEED = "mix"
 KEY = ["no_source", "source_key"]
 
@@ -79,22 +81,37 @@ def _finish(turn: Column | int) -> Column:
     return (F.col("source_size") * turn + F.col("reach")) / F.nullif(F.col("target"), F.lit(0.0))
 
 
-def _cut_off(queued: DataFrame, budget: int, most: int, bins: int) -> tuple | None:
-    """The last row, as an order key, that the budget still holds; None if it holds none."""
+def _cut_off(queued: DataFrame, budget: int, most: int) -> tuple | None:
+    """The last row, as an order key, that the budget still holds; None if it holds none.
+
+    A histogram of finish times, BINS wide, tells in which bin the budget ends; that bin is divided anew until it has few rows,
+    and only those are put in order.
+    """
     turns = queued.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", _finish(F.col("turn"))).where("finish is not null")
-    bins_of = turns.withColumn("bin", F.floor(F.col("finish") * bins).cast("long"))
-    sums = bins_of.groupBy("bin").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = sums.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") >= budget).orderBy("bin").select("bin", (F.col("upto") - F.col("words")).alias("below")).first()
     order = ["finish", *KEY, "shuffle_key", "doc_id", "size"]
-    if filled is None:  # all that there is
-        row = turns.select(*order).orderBy(*(F.col(c).desc() for c in order)).first()
-        return tuple(row) if row else None
-    inside = Window.partitionBy("bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = bins_of.where(F.col("bin") == filled["bin"]).withColumn("upto", F.sum("size").over(inside) + filled["below"]).where(F.col("upto") <= budget)
-    row = held.select(*order).orderBy(*(F.col(c).desc() for c in order)).first()
-    if row is None:  # the bin's first row is already too much: the bins before it are full
-        row = bins_of.where(F.col("bin") < filled["bin"]).select(*order).orderBy(*(F.col(c).desc() for c in order)).first()
+    last_of = lambda df: df.select(*order).orderBy(*(F.col(c).desc() for c in order)).first()
+    ends = turns.agg(F.min("finish"), F.max("finish"), F.sum("size")).first()
+    if ends[0] is None:
+        return None
+    low, high, below = ends[0], ends[1], 0
+    if ends[2] <= budget:
+        return tuple(last_of(turns))
+    while True:
+        inside = turns.where(F.col("finish").between(low, high))
+        width = (high - low) / BINS
+        number = F.lit(0).cast("long") if width <= 0 else F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1))
+        found = inside.groupBy(number.alias("bin")).agg(F.sum("size").alias("words"), F.min("finish").alias("low"), F.max("finish").alias("high"), F.count("*").alias("rows")).collect()  # BINS rows at most
+        for one in sorted(found, key=lambda r: r["bin"]):
+            if below + one["words"] > budget:
+                break
+            below += one["words"]
+        same = (one["low"], one["high"]) == (low, high) or one["low"] == one["high"]
+        low, high = one["low"], one["high"]
+        if one["rows"] <= FEW_ROWS or same:
+            break
+    run = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = turns.where(F.col("finish").between(low, high)).withColumn("upto", F.sum("size").over(run) + below).where(F.col("upto") <= budget)
+    row = last_of(held) or last_of(turns.where(F.col("finish") < low))
     return tuple(row) if row else None
 
 
@@ -118,7 +135,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     offsets = cut(sums.select(*KEY, "bucket", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("offset")).join(aims, KEY))
     queued = cut(_queued(light, offsets, buckets))
     total = offsets.select(F.max("budget")).first()[0]
-    last = None if total is None else _cut_off(queued, total if budget is None else budget, most, buckets * 256)
+    last = None if total is None else _cut_off(queued, total if budget is None else budget, most)
     return queued, offsets, buckets, last
 
 
