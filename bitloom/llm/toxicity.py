@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut, prepare, text_of
+from bitloom.llm.common import cut, few_by_hash, prepare, text_of
 
 #: Labelled rows that the model is fitted on, at most; which ones follows from a hash of the identifier.
 SAMPLE_ROWS = 10_000
@@ -227,7 +227,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if allowed is not None:
         some = some.where(allowed)
-    chosen = some.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label")).orderBy(F.xxhash64(F.col("__id")), "__id").limit(rows)
+    each = some.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label"))
+    chosen = cut(few_by_hash(each, "__id", rows))
     return docs.select(docs[id_col].alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)).alias("half"), "text", F.col("__label").alias("label"))
 
 
