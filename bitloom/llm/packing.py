@@ -9,8 +9,9 @@ opening one whenever the sum of squares would be smaller, and often far fewer.
 
 from __future__ import annotations
 
-import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from bitloom.llm.common import cut, prepare, text_of
 CAPACITY = 2048
 GROUP_PIECES = 16_384
 #: What a worker remembers: words, and runs of letters or marks.
-MEMORY_WORDS, MEMORY_LETTERS = 250_000, 200_000
+MEMORY_WORDS, MEMORY_LETTERS = 350_000, 250_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long,ids:binary>>"
@@ -73,8 +74,10 @@ class WordTokens:
         if not unit:
             return b""
         form = unit if unit.isascii() else unit.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(form)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = array("I", [t.id for t in self.model.tokenize(form)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _word(self, word: bytes) -> bytes:
         w = word.decode("utf-8")
