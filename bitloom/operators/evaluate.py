@@ -14,13 +14,13 @@ WEIGHTS = {"semantic_accuracy": 40.0, "completeness": 20.0, "terminology": 20.0,
 SHORT_TEXT = 7
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, other: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, other: DataFrame | None = None, shortest: int = 3) -> DataFrame:
     """(left_id, right_id, shared, similarity, contains): pairs of different texts of which one contains the other, or that share that much of the smaller's set of k-word shingles.
 
     docs' texts are unique: copies are to be folded before (see text_classes). With ``other``, pairs of docs with other's rows.
     Candidates share one of a text's rarest shingles: a pair at the threshold shares all but few of the smaller's, so its
     (1 - threshold) * n + 1 rarest must meet; texts of under SHORT_TEXT words, which may share none, meet on character trigrams.
-    Texts of under three characters are not looked for inside others.
+    Texts of under ``shortest`` characters are not looked for inside others; with 1, all are.
     """
     side = lambda df, tag: df.select(F.col(id_col).alias("id"), F.lit(tag).alias("side"), T.squeeze(F.lower(text_col)).alias("t")).where("t <> ''")
     rows = side(docs, 0) if other is None else side(docs, 0).unionByName(side(other, 1))
@@ -40,15 +40,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = ranked.select("gram", F.col("side").alias("s2"), F.col("id").alias("i2"), F.col("n").alias("n2"))
     apart = "(s1 <> s2)" if other is not None else "(i1 <> i2)"
     pairs = keys.join(every, "gram").where(f"n1 <= n2 + 2 and {apart}").select("s1", "i1", "s2", "i2").distinct()
-    short = rows.where(F.col("words") < SHORT_TEXT)
-    tri = lambda c: F.array_distinct(T.ngrams(T.characters(c), 3, ""))
-    short_tri = short.where(F.length("t") >= 3).select(F.col("side").alias("s1"), F.col("id").alias("i1"), F.col("t").alias("t1"), F.explode(tri(F.col("t"))).alias("tri"))
-    wanted = short_tri.select("tri").distinct()
-    every_tri = rows.select(F.col("side").alias("s2"), F.col("id").alias("i2"), F.explode(tri(F.col("t"))).alias("tri")).join(wanted, "tri")
+    tiny = inside_candidates(rows.where((F.col("words") < SHORT_TEXT) & (F.length("t") >= shortest)), rows).where(apart)
+    return _verified(rows, pairs.unionByName(tiny).distinct(), threshold, other is not None)
+
+
+def inside_candidates(short: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s1, i1, s2, i2): rows whose text may contain a short one's. Both: side, id, t.
+
+    They meet on the short text's rarest character trigram; one of one or two characters on itself, as a run of the other's.
+    """
+    own, every = ([F.col("side").alias(f"s{n}"), F.col("id").alias(f"i{n}")] for n in (1, 2))
+    runs = lambda *sizes: F.explode(F.array_distinct(F.concat(*(T.ngrams(T.characters(F.col("t")), k, "") for k in sizes)))).alias("tri")
+    short_tri = short.where(F.length("t") >= 3).select(*own, runs(3))
+    every_tri = rows.select(*every, runs(3)).join(short_tri.select("tri").distinct(), "tri")
     weight = every_tri.groupBy("tri").agg(F.count("*").alias("df"))
     rarest = short_tri.join(weight, "tri").groupBy("s1", "i1").agg(F.min_by("tri", F.struct("df", "tri")).alias("tri"))
-    tiny = rarest.join(every_tri, "tri").where(apart).select("s1", "i1", "s2", "i2")
-    return _verified(rows, pairs.unionByName(tiny).distinct(), threshold, other is not None)
+    found = rarest.join(every_tri, "tri").drop("tri")
+    whole = short.where("length(t) between 1 and 2").select(*own, F.col("t").alias("tri"))
+    # most tables have no such text, and then no text is taken apart for them
+    return found if whole.isEmpty() else found.unionByName(whole.join(rows.select(*every, runs(1, 2)), "tri").drop("tri"))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, across: bool) -> DataFrame:

@@ -25,7 +25,7 @@ def near_duplicates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     classes = E.text_classes(docs)
     own = docs.join(classes.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    return E.near_duplicates(own).select("left_id", "right_id", "shared", F.round("similarity", 6).alias("similarity"), "contains")
+    return E.near_duplicates(own, shortest=1).select("left_id", "right_id", "shared", F.round("similarity", 6).alias("similarity"), "contains")
 
 
 def leakage_pairs(spark, d):
@@ -33,7 +33,7 @@ def leakage_pairs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     own = docs.join(E.text_classes(docs).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return E.near_duplicates(own, other=items).select("left_id", "right_id", "shared", F.round("similarity", 6).alias("similarity"), "contains")
+    return E.near_duplicates(own, other=items, shortest=1).select("left_id", "right_id", "shared", F.round("similarity", 6).alias("similarity"), "contains")
 
 
 _NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"

@@ -9,6 +9,7 @@ from bitloom.functions import text as T
 from bitloom.operators import memory as M
 from bitloom.operators import paragraphs as P
 from bitloom.operators import terms as W
+from bitloom.operators.evaluate import inside_candidates
 from bitloom.sources import files
 
 
@@ -187,12 +188,19 @@ FROM paras q JOIN m ON m.t = regexp_replace(q.text, '\\s+', ' ', 'g') AND m.para
 
 
 def memory_contained(spark, d):
-    """Benchmark items that stand in a document's text, found by the words that both share: containment on the item's first three words, then literally."""
+    """Benchmark items that stand in a document's text, found by what both share: three words inside the item, or characters where it has under five words, then literally."""
     key = lambda c: T.ngrams(c, 3)
     docs = table(spark, d, "documents").select("doc_id", T.squeeze(F.col("text")).alias("t"))
     grams = docs.select("doc_id", F.explode(F.array_distinct(key(F.split("t", " ")))).alias("k"))
-    items = table(spark, d, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("q")).withColumn("k", F.get(key(F.split("q", " ")), 1))
-    near = grams.join(items.where("k is not null"), "k").select("doc_id", "item_id", "q").distinct()
+    items = table(spark, d, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("q")).where("q <> ''")
+    # the first and the last word may be parts of the document's words
+    long = F.size(F.split("q", " ")) >= 5
+    near = grams.join(items.where(long).withColumn("k", F.get(key(F.split("q", " ")), 1)), "k").select("doc_id", "item_id", "q").distinct()
+    short = items.where(~long)
+    if not short.isEmpty():
+        side = lambda df, i, t, n: df.select(F.lit(n).alias("side"), F.col(i).alias("id"), F.col(t).alias("t"))
+        pairs = inside_candidates(side(short, "item_id", "q", 1), side(docs, "doc_id", "t", 0)).select(F.col("i1").alias("item_id"), F.col("i2").alias("doc_id"))
+        near = near.unionByName(pairs.join(short, "item_id").select("doc_id", "item_id", "q").distinct())
     hit = near.join(docs, "doc_id").where(F.contains("t", F.col("q")))
     return hit.groupBy("item_id").agg(F.count("*").alias("documents"), F.min_by("doc_id", F.struct(F.length("t"), -F.col("doc_id"))).alias("best_doc_id"))
 

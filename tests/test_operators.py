@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
 from bitloom.operators import evaluate, evidence, layout, ledger, memory, model_steps, paragraphs, terms
+from bitloom.plans import language
 
 
 def rows(df, *cols):
@@ -146,6 +147,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert rows(got, "left_id", "right_id") == sorted(want, key=repr)
 
 
+def test_short_texts_are_found_inside_others(spark, tmp_path):
+    texts = ["a", "ab", "xaby", "好", "很好 的", "b c", "one two three four five six seven ab"]
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] in texts[j] or texts[j] in texts[i]]
+    got = evaluate.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shortest=1)
+    assert rows(got, "left_id", "right_id") == sorted(want, key=repr) and (1, 2) in want and (3, 4) in want
+    docs = ["the cat sat on mats daily", "bathe cat sat on mat", "x y", None]
+    items = ["cat sat on mat", "cat", "y", "e cat sat on mat", "absent", ""]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(i, n) for i, q in enumerate(items) if q and (n := sum(q in (t or "") for t in docs))]
+    assert rows(language.memory_contained(spark, str(tmp_path)), "item_id", "documents") == want and len(want) == 4
+
+
 def test_reviews(spark):
     names = list(evaluate.WEIGHTS)
     error = "array<struct<dimension:string,source_quote:string,target_quote:string,category:string>>"
