@@ -2,7 +2,8 @@
 
 Dated list entries (add or remove a pattern) become validity intervals. Every capture is held against the entries that
 were active when it was fetched: an as-of join as an equi-join on pattern and time bucket, verified by the interval. The
-candidates of a URL are its host, the host's parent domains, and the host with its first path segments. A host with a
+candidates of a URL are its host, the host's parent domains, and the host with its first path segments, as many as the
+deepest entry has. A host with a
 third of all captures is spread by the time buckets, and the join is one that Spark splits where it is still skewed.
 """
 
@@ -16,8 +17,6 @@ from bitloom.llm.common import cut
 BUCKET_DAYS = 30
 #: A longer name is no host name and has no candidates (the limit of the domain name system).
 HOST_LENGTH = 253
-#: Path segments that a pattern may have.
-SEGMENTS = 2
 
 
 def host_of(url: Column) -> Column:
@@ -28,16 +27,16 @@ def _path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def candidates(url: Column) -> Column:
-    """The patterns that can match a URL: host and parents of two labels or more, and host/segment, host/segment/segment."""
+def candidates(url: Column, depth: int = 2) -> Column:
+    """The patterns that can match a URL, in lower case: host and parents of two labels or more, and host/segment and so on with up to ``depth`` segments."""
     host = F.coalesce(host_of(url), F.lit(""))
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    parts = F.filter(F.split(F.coalesce(_path_of(url), F.lit("")), "/"), lambda x: x != "")
-    deep = F.transform(F.sequence(F.lit(1), F.least(F.lit(SEGMENTS), F.size(parts))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    parts = F.filter(F.split(F.lower(F.coalesce(_path_of(url), F.lit(""))), "/"), lambda x: x != "")
+    deep = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     none = F.array().cast("array<string>")
-    return F.when((host == "") | (F.length(host) > HOST_LENGTH), none).otherwise(F.array_distinct(F.concat(parents, F.when(F.size(parts) > 0, deep).otherwise(none))))
+    return F.when((host == "") | (F.length(host) > HOST_LENGTH), none).otherwise(F.array_distinct(F.concat(parents, F.when((F.size(parts) > 0) & (F.lit(depth) > 0), deep).otherwise(none))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -65,12 +64,13 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """
     seen = captures.select(captures[id_col].alias("page_id"), captures[url_col].alias("url"), captures[at_col].cast("timestamp").alias("fetched_at"))
     valid = cut(intervals(entries))
+    depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     span = seen.agg(F.min(_bucket(F.col("fetched_at"))).alias("low"), F.max(_bucket(F.col("fetched_at"))).alias("high")).first()
     low, high = (0, 0) if span["low"] is None else (span["low"], span["high"])
     first = F.greatest(_bucket(F.col("valid_from")), F.lit(low))
     last = F.least(F.coalesce(_bucket(F.col("valid_to")), F.lit(high)), F.lit(high))
     by_bucket = valid.where(first <= last).withColumn("bucket", F.explode(F.sequence(first, last)))
-    asked = seen.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(candidates(F.col("url"))).alias("pattern"), _bucket(F.col("fetched_at")).alias("bucket"))
+    asked = seen.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(candidates(F.col("url"), depth)).alias("pattern"), _bucket(F.col("fetched_at")).alias("bucket"))
     active = asked.join(by_bucket, ["pattern", "bucket"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("pattern").alias("length"), (F.col("verdict") == "allow").alias("allow"))
     best = active.groupBy("page_id", "url", "fetched_at").agg(

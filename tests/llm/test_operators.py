@@ -123,6 +123,15 @@ def test_url_filters_as_of(spark):
     assert {r["decision"] for r in url_filters.judge(captures, entries.limit(0)).collect()} == {"pass"}
 
 
+def test_url_filters_match_deep_paths_and_any_case(spark):
+    entries = spark.createDataFrame([("l", p, v, "add") for p, v in (("h.example/a/b/c", "block"), ("h.example/News", "block"), ("h.example/a/b/c/D/e", "allow"), ("k.example", "block"))], "list string, pattern string, verdict string, action string").selectExpr("*", "timestamp '2024-01-01' as at")
+    cases = {"http://h.example/a/b/c/x": "block", "http://h.example/a/b/x/c": "pass", "http://h.example/News/1": "block", "http://h.example/news": "block", "http://h.example/NEWSPAPER": "pass", "http://H.example/A/b/C/d/E/f?q": "allow", "http://h.example/a/b": "pass", "http://k.example/x/y/z": "block"}
+    captures = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").selectExpr("*", "timestamp '2024-02-01' as fetched_at")
+    assert {r["url"]: r["decision"] for r in url_filters.judge(captures, entries).collect()} == cases
+    hosts = url_filters.judge(captures, entries.where("pattern = 'k.example'")).where("decision = 'block'")
+    assert [r["url"] for r in hosts.collect()] == ["http://k.example/x/y/z"]
+
+
 # --- 4
 
 
