@@ -1,7 +1,8 @@
 """Packing tokenized documents into sequences of fixed length by the sum-of-squares rule.
 
 Only documents longer than a sequence are cut. Full pieces are sequences of their own. The rest are dealt by a hash into
-groups of about ``GROUP_PIECES``, as many as the input needs, and each group is packed in one task: a piece goes where
+groups of about ``GROUP_PIECES``, as many as the input needs; a group that rows of one id make much larger is dealt anew by
+row. Each group is packed in one task: a piece goes where
 the sum over gaps of (open sequences with that gap) squared becomes smallest. Larger pieces come first, and a sequence is
 opened only where no gap is wide enough: measured on several size distributions, that never needs more sequences than
 opening one whenever the sum of squares would be smaller, and often far fewer.
@@ -159,13 +160,14 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (doc_id, piece, length and any other columns but ids) with sequence_id and offset.
 
-    Reruns agree but for rows that are the same in doc_id, piece and length, which may change places. An empty table gives
-    an empty result. Columns named sequence_id or offset are replaced.
+    Reruns agree but for rows that are the same in doc_id, piece and length, which may change places, and for groups that
+    many rows of one doc_id and piece overfill, which are dealt by the rows' places. An empty table gives an empty result. Columns named sequence_id or offset are replaced.
     """
     rows = cut(rows.drop("sequence_id", "offset"))
     loose = F.col("length") < capacity
     n = rows.where(loose).count()
     groups = max(1, -(-n // GROUP_PIECES))
+    by_id = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
     full = rows.where(~loose).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     names = rows.columns
 
@@ -176,7 +178,16 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         part["offset"] = offset
         return part[[*names, "sequence_id", "offset"]]
 
-    dealt = rows.where(loose).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = rows.where(loose).withColumn("group", by_id)
+    # groups of over twice the size, which only shared ids make, are dealt by row into as many as they need, numbered after the others
+    over, made = [], groups
+    for g, m in dealt.groupBy("group").count().where(F.col("count") > 2 * GROUP_PIECES).orderBy("group").collect():
+        over.append((g, made, -(-m // GROUP_PIECES)))
+        made += over[-1][2]
+    if over:
+        split = rows.sparkSession.createDataFrame(over, "group long, __first long, __parts long")
+        place = F.pmod(F.xxhash64("__row"), F.col("__parts"))
+        dealt = dealt.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(split), "group", "left").withColumn("group", F.coalesce(F.col("__first") + place, "group")).drop("__row", "__first", "__parts")
     schema = full.schema
     return full.unionByName(dealt.groupBy("group").applyInPandas(packed, schema))
 

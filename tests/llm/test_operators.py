@@ -281,6 +281,15 @@ def test_packing_places_every_piece(spark, docs, none, monkeypatch):
     assert b"".join(p["ids"] for p in whole) == np.array(tok.encode(LONG, add_special_tokens=False).ids + [0], "<u4").tobytes()
 
 
+def test_packing_bounds_groups_of_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    sizes = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, 0, 1200 + i % 800) for i in range(3000)], "doc_id long, piece int, length long")
+    packed = packing.pack(sizes).toPandas()
+    check_packing(packed, 2048)
+    assert len(packed) == 3000 and packed["length"].sum() == sum(1200 + i % 800 for i in range(3000))
+    assert packed["sequence_id"].nunique() == 3000 and (packed["sequence_id"] // 2 // (50 * 4)).value_counts().max() <= 100
+
+
 # --- 7
 
 
