@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,17 @@ from bitloom.llm.common import prepare, text_of
 # TIFF's field types with their sizes in bytes, tags and compression numbers.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 266, 284, 317, 322, 323, 324, 325
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Samples in a row, rows in a strip and rows in a page of the files that are written.
 ROW, STRIP_ROWS, PAGE_ROWS = 64, 512, 1 << 20
 
-PAGE = "struct<page:int,width:int,height:int,samples:int,bits:int,compression:int,predictor:int,parts:int,feature:string,pixels:binary>"
+PAGE = "struct<page:int,width:int,height:int,samples:int,bits:int,compression:int,predictor:int,parts:int,feature:string,pixels:binary,error:string>"
+
+#: Each byte with its bits in reverse.
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+_PAGE = [f.split(":")[0] for f in PAGE[7:-1].split(",")]
 
 
 def packbits(data: bytes) -> bytes:
@@ -220,12 +225,12 @@ def _field(data: bytes, order: str, kind: int, count: int, at: int) -> list[int]
     return list(struct.unpack_from(f"{order}{count}{code}", data, at)) if code else []
 
 
-def directories(data: bytes) -> list[dict[int, list[int]]]:
+def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
     """The fields of each image directory, along the chain; a directory that comes again ends it."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, seen, out = struct.unpack_from(order + "I", data, 4)[0], set(), []
+    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at and at not in seen:
         seen.add(at)
         n = struct.unpack_from(order + "H", data, at)[0]
@@ -234,30 +239,55 @@ def directories(data: bytes) -> list[dict[int, list[int]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             fields[tag] = _field(data, order, kind, count, at + 10 + 12 * i)
         fields[0] = [1 if order == "<" else 0]
-        out.append(fields)
+        yield fields
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-    return out
+
+
+def _samples(raw: bytes, rows: int, wide: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """A part's samples (rows, wide, samples) with the predictor undone; those of under 8 bits are unpacked, rows being whole bytes."""
+    if bits < 8:
+        each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1).reshape(rows, -1, bits)
+        values = (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)[:, : wide * samples]
+        part = values.reshape(rows, wide, samples)
+        return np.cumsum(part, axis=1, dtype=np.uint8) & ((1 << bits) - 1) if predictor == 2 else part
+    size = bits // 8
+    kind = np.dtype(f"{order}{'f' if predictor == 3 else 'u'}{size}")
+    if predictor == 3:
+        # bytes of a row are differences; they stand with all first (highest) bytes before all second ones
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, size, wide * samples)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, wide, samples).astype(kind)
+    part = np.frombuffer(raw, kind).reshape(rows, wide, samples)
+    return np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")).astype(kind) if predictor == 2 else part
 
 
 def read_page(data: bytes, f: dict[int, list[int]]) -> dict:
-    """A page's size and samples, row by row, samples of a pixel together; 8 or 16 bits, 16 in the file's byte order."""
+    """A page's size and samples, row by row, samples of a pixel together; 1, 2 and 4 bits as a byte each, 8 to 64 as they are, in the file's byte order."""
     one = lambda tag, default: f[tag][0] if f.get(tag) else default
     width, height, compression, predictor, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, STORED), one(PREDICTOR, 1), one(SAMPLES, 1), one(BITS, 1)
-    if bits not in (8, 16) or one(PLANAR, 1) != 1 and samples > 1 or predictor not in (1, 2):
-        raise ValueError("samples of 8 or 16 bits, together, with predictor 1 or 2 are read")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype("<u2" if f[0][0] else ">u2")
+    planar = one(PLANAR, 1) == 2 and samples > 1
+    order = "<" if f[0][0] else ">"
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(f.get(BITS, []))) > 1:
+        raise ValueError(f"samples of {f.get(BITS)} bits are not read")
+    if predictor not in (1, 2, 3) or predictor == 3 and bits not in (16, 32, 64):
+        raise ValueError(f"predictor {predictor} with samples of {bits} bits is not read")
     tiled = TILE_OFFSETS in f
     wide, tall = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if min(width, height, wide, tall, samples) < 1:
+        raise ValueError("a page without pixels")
     offsets, sizes = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_BYTES])
-    out = np.zeros((height, width, samples), kind)
-    across = -(-width // wide)
+    across, down = -(-width // wide), -(-height // tall)
+    if len(offsets) != across * down * (samples if planar else 1):
+        raise ValueError(f"{len(offsets)} parts for {across} x {down} on {samples if planar else 1} planes")
+    together = 1 if planar else samples
+    out = np.zeros((height, width, samples), np.uint8 if bits < 8 else f"{order}{'f' if predictor == 3 else 'u'}{bits // 8}")
     for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
-        y, x = i // across * tall, i % across * wide
+        plane, k = divmod(i, across * down)
+        y, x = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - y)
-        part = np.frombuffer(_unpack(data[at : at + n], compression, rows * wide * samples * kind.itemsize), kind).reshape(rows, wide, samples)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
-        out[y : y + rows, x : x + wide] = part[: height - y, : width - x]
+        stored = data[at : at + n].translate(_TURNED) if one(FILL_ORDER, 1) == 2 else data[at : at + n]
+        raw = _unpack(stored, compression, rows * -(-wide * together * bits // 8))
+        part = _samples(raw, rows, wide, together, bits, order, predictor)
+        out[y : y + rows, x : x + wide, plane : plane + together] = part[: height - y, : width - x]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": compression, "predictor": predictor, "parts": len(offsets), "pixels": out.tobytes()}
 
 
@@ -273,15 +303,30 @@ def feature(pixels: bytes) -> str:
     return f"mean={mean:.4f};deviation={deviation:.4f};entropy={float(-(q * np.log2(q)).sum()):.4f};zeros={h[0] / n:.4f};bright={bright}"
 
 
+BAD = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, OverflowError, struct.error, zlib.error, MemoryError)
+
+
+def read_pages(data: bytes | None) -> list[dict]:
+    """All pages in order; one that cannot be read has its number and an error only, as has the place where the chain of pages breaks. Null gives no page."""
+    out: list[dict] = []
+    chain = directories(data) if data is not None else iter(())
+    while True:
+        try:
+            f = next(chain, None)
+        except BAD as e:
+            return [*out, {"page": len(out), "error": f"directory: {e}"}]
+        if f is None:
+            return out
+        try:
+            page = read_page(data, f)
+            out.append({"page": len(out), **page, "feature": feature(page["pixels"])})
+        except BAD as e:
+            out.append({"page": len(out), "error": f"{type(e).__name__}: {e}"})
+
+
 def read_tiff(data: bytes | None) -> list[dict]:
-    """All pages in order. Null, and bytes that are not such a file or are damaged, give no page."""
-    if data is None:
-        return []
-    try:
-        pages = [{"page": i, **read_page(data, f)} for i, f in enumerate(directories(data))]
-        return [{**p, "feature": feature(p["pixels"])} for p in pages]
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError):
-        return []
+    """The pages that can be read, in order. Null, and bytes that are not such a file, give no page."""
+    return [p for p in read_pages(data) if "error" not in p]
 
 
 def pad(payload: bytes, row: int = ROW) -> bytes:
@@ -298,11 +343,11 @@ def write_udf(compression: int = DEFLATE, predictor: int = 2, tile: int = 0):
 
 
 def pages_of(media: str):
-    """The column of a file's pages."""
+    """The column of a file's pages, those that cannot be read with an error and without the rest."""
 
     @F.pandas_udf(f"array<{PAGE}>")
     def pages(files: pd.Series) -> pd.Series:
-        return pd.Series([read_tiff(f) for f in files], dtype=object)
+        return pd.Series([[dict.fromkeys(_PAGE) | p for p in read_pages(f)] for f in files], dtype=object)
 
     return pages(media)
 
@@ -314,9 +359,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compr
 
 
 def read(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page: media's other columns (none of them named as a page's), page, width, height, samples, bits, compression, predictor, parts, feature, pixels.
+    """One row per page: media's other columns (none of them named as a page's), page, width, height, samples, bits, compression, predictor, parts, feature, pixels, error.
 
-    Null files and files that cannot be read give no rows. An empty table gives an empty result.
+    A page that cannot be read, and a file that is none, give a row with an error and nulls. Null files give no rows. An empty table gives an empty result.
     """
     prepare(media.sparkSession)
     others = [c for c in media.columns if c != media_col]

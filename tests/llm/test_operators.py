@@ -328,6 +328,58 @@ def test_tiff_reads_other_files_and_bears_damaged_ones(spark, docs, none):
     assert media_tiff.read(media_tiff.store(none)).count() == 0
 
 
+def tiff(pages, order="<"):
+    """Pages as (fields, parts); each field has one value or several of kind short."""
+    import struct
+
+    out, link = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0)), 4
+    for fields, parts in pages:
+        fields = {t: (3, v if isinstance(v, list) else [v]) for t, v in fields.items()}
+        places = []
+        for p in parts:
+            places.append(len(out))
+            out += p
+        fields |= {273: (4, places), 279: (4, [len(p) for p in parts])}
+        entries = b""
+        for t, (kind, v) in sorted(fields.items()):
+            raw = struct.pack(f"{order}{len(v)}{'H' if kind == 3 else 'I'}", *v)
+            if len(raw) > 4:
+                raw, at = struct.pack(order + "I", len(out)), raw
+                out += at
+            entries += struct.pack(order + "HHI", t, kind, len(v)) + raw.ljust(4, b"\0")
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(fields)) + entries
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+def test_tiff_reads_small_planar_and_float_samples_and_keeps_good_pages(spark):
+    r = np.random.default_rng(5)
+    bits = r.integers(0, 2, (5, 13), np.uint8)
+    fours = r.integers(0, 16, (4, 7), np.uint8)
+    nibbles = np.pad(fours, ((0, 0), (0, 1)))
+    rgb = r.integers(0, 256, (6, 3, 3), np.uint8)
+    floats = r.normal(size=(3, 5)).astype("f4")
+    high = np.stack([np.frombuffer(x.astype(">f4").tobytes(), np.uint8).reshape(5, 4).T.ravel() for x in floats])
+    diff = np.diff(high, axis=1, prepend=np.zeros((3, 1), np.uint8))
+    size = lambda w, h, **more: {256: w, 257: h, 278: more.pop("rows", h)}
+    for order in "<>":
+        pages = [
+            (size(13, 5) | {259: 32773}, [media_tiff.packbits(np.packbits(bits, axis=1).tobytes())]),
+            (size(13, 5) | {266: 2}, [np.packbits(bits, axis=1, bitorder="little").tobytes()]),
+            (size(7, 4) | {258: 4}, [(nibbles[:, ::2] << 4 | nibbles[:, 1::2]).tobytes()]),
+            (size(9, 9) | {258: 8, 259: 99}, [b"x"]),
+            (size(3, 6, rows=4) | {258: [8, 8, 8], 277: 3, 284: 2}, [np.ascontiguousarray(rgb[a : a + 4, :, c]).tobytes() for c in range(3) for a in (0, 4)]),
+            (size(5, 3) | {258: 32, 317: 3, 259: 8}, [zlib.compress(diff.tobytes())]),
+            (size(8, 8) | {258: 8}, [b"short"]),
+        ]
+        want = [bits.tobytes(), bits.tobytes(), fours.tobytes(), None, rgb.tobytes(), floats.astype(order + "f4").tobytes(), None]
+        got = media_tiff.read(spark.createDataFrame([(1, bytearray(tiff(pages, order))), (2, None), (3, bytearray(b"no such file"))], "id int, media binary")).orderBy("id", "page").collect()
+        assert [(p["id"], p["page"], None if p["pixels"] is None else bytes(p["pixels"])) for p in got] == [(1, i, w) for i, w in enumerate(want)] + [(3, 0, None)]
+        assert all((p["error"] is None) == (p["pixels"] is not None) for p in got)
+
+
 def test_lzw_follows_the_format():
     # the classic example: codes for -----A---B
     assert media_tiff.unlzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 9) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45])
