@@ -5,8 +5,11 @@ leading bits one segment with the digests in order, the kept identifiers, the co
 Compaction: the segments of a bucket meet in one task, are merged in order and keep one identifier per digest (the
 smallest, or the largest where asked). Copies are already one entry per run, so a text with a billion copies is as many
 entries as there are runs. Buckets grow in number with the rows.
-Hits: digests that occur more than once form the top level, with a filter of fixed size. Rows that the filter lets
-through, and only those, carry their texts into a join with the kept row's text, and bytes decide.
+Each compacted segment has a filter over its digests of more than one row; memtables' runs need none, as no lookup meets
+them before they are compacted.
+Hits: rows that their bucket's filter lets through, and only those, carry their texts to the kept row's text, and bytes
+decide. A row whose bytes agree takes its group's identifier and size from the index; only texts that share a digest
+without being equal are grouped anew. A digest with very many rows is dealt in parts, each with its own copy of the kept text.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ MEMTABLE_ROWS = 100_000
 BUCKET_ROWS = 50_000
 #: Bits of a segment's filter per digest, and hash functions.
 FILTER_BITS, FILTER_HASHES = 10, 5
-#: Bytes of the top level's filter, whatever the input's size: this much is sent to each executor.
-TOP_FILTER_BYTES = 1 << 21
+#: Bytes of all segments' filters that are sent to each executor, at most: enough for 26 million digests of more than one
+#: row. Beyond that no filter is sent and all texts are verified, which costs a shuffle of them and changes no result.
+FILTER_BYTES = 1 << 25
+#: A digest is dealt in parts from so many rows on, or from this share of all rows if that is more, so that such digests stay few.
+LARGE_ROWS, LARGE_SHARE, PARTS = 1_000, 1e-4, 5
 
-SEGMENT = "bucket int, run string, n long, digests binary, ids binary, known binary, counts binary, bloom binary"
+SEGMENT = "bucket int, run string, n long, digests binary, ids binary, known binary, counts binary"
+LEVEL = SEGMENT + ", bloom binary"
 
 
 def digest(text: str, size: int = 32) -> bytes:
@@ -46,24 +53,40 @@ def _digest_udf(size: int):
     return digests
 
 
-def _places(digests: np.ndarray, bits: int) -> np.ndarray:
-    """The filter's bits for each digest (n, size bytes): double hashing over the digest's own bytes."""
+def _places(digests: np.ndarray, bits) -> np.ndarray:
+    """The filter's bits for each digest (n, size bytes): double hashing over the digest's own bytes. bits: of one filter, or of each digest's own."""
     wide = np.zeros((len(digests), 32), dtype=np.uint8)
     wide[:, : digests.shape[1]] = digests
     a, b = wide[:, 8:16].copy().view(np.uint64)[:, 0], wide[:, 16:24].copy().view(np.uint64)[:, 0] | np.uint64(1)
+    bits = np.asarray(bits, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(k) * b) % np.uint64(bits) for k in range(FILTER_HASHES)], axis=1)
+        return np.stack([(a + np.uint64(k) * b) % bits for k in range(FILTER_HASHES)], axis=1)
 
 
-def _bloom(digests: np.ndarray, bits: int) -> bytes:
-    flags = np.zeros(bits, dtype=bool)
-    flags[_places(digests, bits).ravel()] = True
+def _bloom(digests: np.ndarray) -> bytes:
+    """A filter of FILTER_BITS a digest, in whole bytes; empty without digests."""
+    if not len(digests):
+        return b""
+    flags = np.zeros(len(digests) * FILTER_BITS + 7 & ~7, dtype=bool)
+    flags[_places(digests, len(flags)).ravel()] = True
     return np.packbits(flags).tobytes()
 
 
-def _in_bloom(digests: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    places = _places(digests, len(bloom) * 8)
-    return ((bloom[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+class Filters:
+    """The filters of all buckets, one after the other."""
+
+    def __init__(self, blooms: list[bytes]) -> None:
+        sizes = np.array([len(b) for b in blooms], dtype=np.uint64)
+        self.bytes = np.frombuffer(b"".join(blooms) or b"\0", np.uint8)
+        self.bits, self.first = sizes * np.uint64(8), np.cumsum(sizes) - sizes
+
+    def may_hold(self, digests: np.ndarray) -> np.ndarray:
+        at = _bucket(digests, len(self.bits))
+        bits = self.bits[at]
+        places = _places(digests, np.maximum(bits, np.uint64(8))) + (self.first[at] * np.uint64(8))[:, None]
+        places[bits == 0] = 0
+        found = (self.bytes[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1
+        return found.all(axis=1) & (bits > 0)
 
 
 def _matrix(values, size: int) -> np.ndarray:
@@ -105,8 +128,8 @@ def _flush(size: int, buckets: int, largest: bool, memtable_rows: int):
             name, at, out = uuid.uuid4().hex, _bucket(d, buckets), []
             for b in np.unique(at):
                 m = at == b
-                out.append((int(b), name, int(m.sum()), d[m].tobytes(), i[m].tobytes(), k[m].tobytes(), n[m].tobytes(), _bloom(d[m], max(64, int(m.sum()) * FILTER_BITS + 7 & ~7))))
-            return pd.DataFrame(out, columns=["bucket", "run", "n", "digests", "ids", "known", "counts", "bloom"])
+                out.append((int(b), name, int(m.sum()), d[m].tobytes(), i[m].tobytes(), k[m].tobytes(), n[m].tobytes()))
+            return pd.DataFrame(out, columns=["bucket", "run", "n", "digests", "ids", "known", "counts"])
 
         for batch in batches:
             ids = batch["doc_id"]
@@ -134,7 +157,7 @@ def _compact(size: int, largest: bool):
 
         def level() -> pd.DataFrame:
             d, i, k, n = merged(parts)
-            return pd.DataFrame([(at, "compacted", len(d), d.tobytes(), i.tobytes(), k.tobytes(), n.tobytes(), _bloom(d, max(64, len(d) * FILTER_BITS + 7 & ~7)))], columns=["bucket", "run", "n", "digests", "ids", "known", "counts", "bloom"])
+            return pd.DataFrame([(at, "compacted", len(d), d.tobytes(), i.tobytes(), k.tobytes(), n.tobytes(), _bloom(d[n > 1]))], columns=["bucket", "run", "n", "digests", "ids", "known", "counts", "bloom"])
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -154,11 +177,11 @@ def _compact(size: int, largest: bool):
 
 
 def build_index(digests: DataFrame, size: int = 32, keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """The compacted index over digests (doc_id, digest): one row per bucket, with sorted digests, identifiers, counts and a filter."""
+    """The compacted index over digests (doc_id, digest): one row per bucket, with sorted digests, identifiers, counts and a filter over those of more than one row."""
     buckets = power_of_two(digests.count() / BUCKET_ROWS)
     runs = digests.mapInPandas(_flush(size, buckets, keep == "largest", memtable_rows), SEGMENT)
     dealt = runs.repartition(buckets, "bucket") if buckets > 1 else runs.repartition("bucket")
-    return cut(dealt.sortWithinPartitions("bucket", "run").mapInPandas(_compact(size, keep == "largest"), SEGMENT))
+    return cut(dealt.sortWithinPartitions("bucket", "run").mapInPandas(_compact(size, keep == "largest"), LEVEL))
 
 
 def lookup(index: DataFrame, digests: DataFrame, size: int = 32) -> DataFrame:
@@ -183,29 +206,14 @@ def entries(index: DataFrame, size: int = 32, least: int = 1) -> DataFrame:
     return index.mapInPandas(unpack, "digest binary, keep_id long, group_size long")
 
 
-def top_filter(index: DataFrame, size: int = 32) -> bytes:
-    """A Bloom filter of TOP_FILTER_BYTES over the digests with more than one row. Each partition gives one filter; they are united in a tree."""
-
-    def filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.zeros(TOP_FILTER_BYTES * 8, dtype=bool)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                m = np.frombuffer(row.counts, np.int64) > 1
-                if m.any():
-                    flags[_places(_matrix([row.digests], size)[m], len(flags)).ravel()] = True
-        packed = np.packbits(flags)
-        for i in range(0, len(packed), 1 << 12):
-            if (part := packed[i : i + (1 << 12)]).any():
-                yield pd.DataFrame({"slice": [i], "bits": [part.tobytes()]})
-
-    def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
-
-    slices = index.select("digests", "counts").mapInPandas(filters, "slice int, bits binary").groupBy("slice").applyInPandas(unite, "slice int, bits binary")
-    out = bytearray(TOP_FILTER_BYTES)
-    for row in slices.toLocalIterator():  # TOP_FILTER_BYTES at most
-        out[row["slice"] : row["slice"] + len(row["bits"])] = row["bits"]
-    return bytes(out)
+def filters(index: DataFrame, buckets: int) -> Filters | None:
+    """The filters of the index's buckets; None where they are more than FILTER_BYTES."""
+    if (index.agg(F.sum(F.octet_length("bloom"))).first()[0] or 0) > FILTER_BYTES:
+        return None
+    blooms = [b""] * buckets
+    for row in index.where("octet_length(bloom) > 0").select("bucket", "bloom").toLocalIterator():
+        blooms[row["bucket"]] = bytes(row["bloom"])
+    return Filters(blooms)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", size: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -223,32 +231,54 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.max if keep == "largest" else F.min
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     digests = cut(texts.select("doc_id", _digest_udf(size)("text").alias("digest")))
+    n = digests.count()
     index = build_index(digests, size, keep, memtable_rows)
-    bloom = spark.sparkContext.broadcast(top_filter(index, size))
+    known = filters(index, power_of_two(n / BUCKET_ROWS))
+    shared = spark.sparkContext.broadcast(known)
+
+    def hits_of(values: list[bytes]) -> np.ndarray:
+        if not values or shared.value is None:
+            return np.ones(len(values), dtype=bool)
+        return shared.value.may_hold(_matrix(values, size))
 
     @F.pandas_udf("boolean")
     def hit(values: pd.Series) -> pd.Series:
-        return pd.Series(_in_bloom(_matrix(values, size), np.frombuffer(bloom.value, np.uint8)) if len(values) else [], dtype=bool)
+        return pd.Series(hits_of(values.tolist()), dtype=bool)
 
     @F.pandas_udf("digest binary, text string")
     def hit_text(values: pd.Series) -> pd.DataFrame:
         d = [digest(t, size) for t in values]
-        m = _in_bloom(_matrix(d, size), np.frombuffer(bloom.value, np.uint8)) if len(d) else np.zeros(0, dtype=bool)
+        m = hits_of(d)
         return pd.DataFrame({"digest": [x if y else None for x, y in zip(d, m, strict=True)], "text": [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if y else None for t, y in zip(values, m, strict=True)]})
 
+    hit_text = hit_text.asNondeterministic()  # else the filter on its digest would work it out once more
     alone = digests.where(~hit("digest")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
 
     hits = cut(texts.select("doc_id", hit_text("text").alias("h")).where("h.digest is not null").select("doc_id", "h.digest", "h.text"))
-    # byte verification against the kept row's text
-    known = entries(index, size, 2)
-    models = hits.join(known, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("model"))
-    checked = cut(hits.join(models, "digest", "left").select("doc_id", "digest", F.when(~F.col("text").eqNullSafe(F.col("model")), F.col("text")).alias("other"), F.col("model").isNotNull().alias("shared")))
-    # rows with the kept row's very bytes; those that only share its digest group by their own text; the filter's false hits have no model
-    other = F.when(F.col("shared") & F.col("other").isNotNull(), F.concat(F.lit("="), F.col("other")))
-    rows = checked.select("doc_id", "digest", F.coalesce(other, F.lit("")).alias("variant"))
-    groups = rows.groupBy("digest", "variant").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = rows.join(groups, ["digest", "variant"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
-    return alone.unionByName(grouped)
+    known_groups = cut(entries(index, size, 2))
+    # the kept rows' texts, met on digest and identifier, of which no pair is frequent but for repeated or missing identifiers
+    own = hits.join(known_groups.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    models = own.groupBy("digest", "keep_id", "group_size").agg(F.min("text").alias("model"))
+    # digests of very many rows, of which there are 1 / LARGE_SHARE at most, in parts
+    large = max(LARGE_ROWS, int(n * LARGE_SHARE))
+    heavy = known_groups.where(F.col("group_size") > large).select("digest", F.ceil(F.col("group_size") * PARTS / large).alias("parts"))
+    heavy = spark.createDataFrame(heavy.collect(), "digest binary, parts long")
+    dealt = hits.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(heavy), "digest", "left").withColumn("part", F.pmod(F.xxhash64("__row"), F.coalesce("parts", F.lit(1)))).drop("__row", "parts")
+    copies = models.join(F.broadcast(heavy), "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    agrees = F.coalesce(F.col("text") == F.col("model"), F.lit(False))
+    checked = cut(dealt.join(copies, ["digest", "part"], "left").select("doc_id", "digest", "keep_id", "group_size", F.col("model").isNotNull().alias("shared"), agrees.alias("agrees"), F.when(F.col("model").isNotNull() & ~agrees, F.col("text")).alias("other")))
+    # a hit without a kept text was the filter's error
+    single = checked.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    same = checked.where("agrees").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    differ = checked.where("shared and not agrees")
+    if differ.isEmpty():
+        return alone.unionByName(single).unionByName(same)
+    # texts that only share a digest: groups of their own, and not counted with the kept row's
+    strangers = differ.groupBy("digest").agg(F.count("*").alias("strangers"))
+    same = same.join(strangers, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("strangers", F.lit(0))).drop("strangers")
+    others = differ.groupBy("digest", "other").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    own_groups = differ.select("doc_id", "digest", "other").join(others, ["digest", "other"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    return alone.unionByName(single).unionByName(same).unionByName(own_groups)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
