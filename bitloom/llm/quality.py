@@ -22,6 +22,8 @@ FILTERS, WIDTH, HIDDEN = 16, 5, 24
 #: Bytes of a chunk and between the starts of chunks; both whole numbers of BLOCK.
 BLOCK, CHUNK, STEP = 64, 512, 448
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 11
+#: Bytes of texts that are gone through together, and what marks a place at which no filter may begin.
+STRETCH, DEAD = 1 << 18, 512
 
 
 @dataclass
@@ -33,56 +35,108 @@ class Network:
     w2: np.ndarray  # HIDDEN
     b2: float
 
-    def chunks(self, raw: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """(chunks, FILTERS) largest responses, and where asked the byte at which each arises."""
-        x = raw if len(raw) >= WIDTH else np.r_[raw, np.zeros(WIDTH - len(raw), np.uint8)]
-        n = len(x) - WIDTH + 1
-        peaks, at = [], []
-        span = BLOCK * 1024  # long texts in stretches, which bounds memory
-        for a in range(0, n, span):
-            part = x[a : min(n, a + span) + WIDTH - 1]
-            m = len(part) - WIDTH + 1
-            r = self.table[0][part[:m]]
+    def peaks(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, FILTERS) largest responses in each BLOCK of places, and the place at which each arises. flat: bytes, and DEAD more where no filter may begin; a whole number of blocks."""
+        first = np.concatenate([self.table[0], np.full((1, FILTERS), -np.inf, np.float32)])
+        span = BLOCK * 256  # so many places at a time, which bounds memory
+        r, one = (np.empty((min(span, len(flat)), FILTERS), np.float32) for _ in range(2))
+        x = np.r_[flat, np.zeros(WIDTH - 1, flat.dtype)]
+        out, at = [], []
+        for a in range(0, len(flat), span):
+            m = min(span, len(flat) - a)
+            part = x[a : a + m + WIDTH - 1].astype(np.intp)
+            np.take(first, np.where(part[:m] < DEAD, part[:m], 256), axis=0, out=r[:m], mode="clip")
+            part %= DEAD
             for k in range(1, WIDTH):
-                r += self.table[k][part[k : k + m]]
-            starts = np.arange(0, m, BLOCK)
-            peaks.append(np.maximum.reduceat(r, starts, axis=0))
-            if where:
-                at.append(np.stack([a + s + r[s : s + BLOCK].argmax(axis=0) for s in starts.tolist()]))
-        blocks = np.concatenate(peaks)
-        places = np.concatenate(at) if where else None
-        per, step, count = CHUNK // BLOCK, STEP // BLOCK, len(blocks)
-        first = np.arange(0, max(1, count - per + step), step)
-        last = np.minimum(first + per, count)
-        top = np.stack([blocks[a:b].max(axis=0) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-        if not where:
-            return top + self.bias, None
-        which = np.stack([a + blocks[a:b].argmax(axis=0) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-        return top + self.bias, places[which, np.arange(FILTERS)]
+                np.take(self.table[k], part[k : k + m], axis=0, out=one[:m], mode="clip")
+                np.add(r[:m], one[:m], out=r[:m])
+            blocks = r[:m].reshape(-1, BLOCK, FILTERS)
+            place = blocks.argmax(axis=1)
+            out.append(np.take_along_axis(blocks, place[:, None], axis=1)[:, 0])
+            at.append(a + np.arange(len(blocks))[:, None] * BLOCK + place)
+        return np.concatenate(out), np.concatenate(at)
+
+    def chunked(self, raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts' bytes: (chunks, FILTERS) largest responses, the place at which each arises, each text's first chunk, and the bytes that places count."""
+        size = np.array([max(len(x), WIDTH) for x in raw])
+        room = -(-size // BLOCK)  # blocks that the bytes take; those in which a filter may begin may be one fewer
+        begin = np.cumsum(room) - room
+        count = -(-(size - WIDTH + 1) // BLOCK)
+        flat = np.full(int(room.sum()) * BLOCK, DEAD, np.int16)
+        for x, o, n in zip(raw, (begin * BLOCK).tolist(), size.tolist(), strict=True):
+            flat[o : o + n] = 0
+            flat[o : o + len(x)] = x
+            flat[o + n - WIDTH + 1 : o + n] += DEAD
+        blocks, places = self.peaks(flat)
+        per, step = CHUNK // BLOCK, STEP // BLOCK
+        some = -(-np.maximum(1, count - per + step) // step)
+        first = np.cumsum(some) - some
+        nth = np.arange(int(some.sum())) - np.repeat(first, some)
+        # the last block again where a chunk is short
+        held = np.minimum(nth[:, None] * step + np.arange(per), np.repeat(count - 1, some)[:, None]) + np.repeat(begin, some)[:, None]
+        which = np.take_along_axis(held[:, :, None], blocks[held].argmax(axis=1)[:, None], axis=1)[:, 0]
+        each = np.arange(FILTERS)
+        return blocks[which, each] + self.bias, places[which, each], first, flat % DEAD
+
+    def chunks(self, raw: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(chunks, FILTERS) largest responses of one text, and where asked the byte at which each arises."""
+        top, at, _, _ = self.chunked([raw])
+        return top, at if where else None
 
     @staticmethod
-    def pooled(top: np.ndarray) -> np.ndarray:
-        r = np.tanh(top)
-        return np.concatenate([r.mean(axis=0), r.max(axis=0), r.min(axis=0)])
+    def pooled(top: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each text's means, largest and smallest of its chunks' responses."""
+        r = np.tanh(top).astype(np.float64)
+        n = np.diff(np.r_[first, len(r)])[:, None]
+        return np.concatenate([np.add.reduceat(r, first) / n, np.maximum.reduceat(r, first), np.minimum.reduceat(r, first)], axis=1)
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
-        hidden = np.maximum(0, pooled @ self.w1 + self.b1)
-        return 1 / (1 + np.exp(-np.clip(hidden @ self.w2 + self.b2, -30, 30)))
+        # einsum, as the same row gives the same number in every batch
+        hidden = np.maximum(0, np.einsum("ij,jk->ik", pooled, self.w1) + self.b1)
+        return 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", hidden, self.w2) + self.b2, -30, 30)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return self.probability(np.stack([self.pooled(self.chunks(bytes_of(t))[0]) for t in texts]).astype(np.float64))
+        out, held, size = [np.zeros(0)], [], 0
+        for i, text in enumerate(texts):
+            held.append(bytes_of(text))
+            size += len(held[-1])
+            if size >= STRETCH or i + 1 == len(texts):
+                top, _, first, _ = self.chunked(held)
+                out.append(self.probability(self.pooled(top, first)))
+                held, size = [], 0
+        return np.concatenate(out)
 
 
 def bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the log loss, all of each text; a filter learns from the places of its largest responses."""
+def gradient(net: Network, raw: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the weighted mean log loss over some texts' bytes; a filter learns from the places of its largest responses."""
+    top, at, first, flat = net.chunked(raw)
+    pooled = net.pooled(top, first)
+    before = pooled @ net.w1 + net.b1
+    hidden = np.maximum(0, before)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2, -30, 30)))
+    d = (p - labels) * weight / len(raw)
+    dh = np.outer(d, net.w2) * (before > 0)
+    dp = dh @ net.w1.T
+    each = np.arange(FILTERS)
+    r = np.tanh(top).astype(np.float64)
+    ends = np.r_[first, len(r)]
+    g = np.repeat(dp[:, :FILTERS] / np.diff(ends)[:, None], np.diff(ends), axis=0)
+    for a, b, row in zip(ends[:-1].tolist(), ends[1:].tolist(), dp, strict=True):
+        g[a + r[a:b].argmax(axis=0), each] += row[FILTERS : 2 * FILTERS]
+        g[a + r[a:b].argmin(axis=0), each] += row[2 * FILTERS :]
+    g *= 1 - r**2
+    x = np.r_[flat, np.zeros(WIDTH - 1, flat.dtype)].astype(np.int64)
+    table = np.stack([np.bincount((x[at + k] * FILTERS + each).ravel(), g.ravel(), 256 * FILTERS).reshape(256, FILTERS) for k in range(WIDTH)])
+    return {"table": table, "bias": g.sum(axis=0), "w1": pooled.T @ dh, "b1": dh.sum(axis=0), "w2": hidden.T @ d, "b2": d.sum()}
+
+
+def untrained(seed: int = SEED) -> Network:
     rng = np.random.default_rng(seed)
-    net = Network(
+    return Network(
         rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32),
         np.full(FILTERS, -1.0, np.float32),
         rng.normal(0, (2 / (3 * FILTERS)) ** 0.5, (3 * FILTERS, HIDDEN)),
@@ -90,8 +144,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         rng.normal(0, (2 / HIDDEN) ** 0.5, HIDDEN),
         0.0,
     )
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Adam on the log loss, all of each text."""
+    net = untrained(seed)
+    rng = np.random.default_rng(seed)
     raw = [bytes_of(t) for t in texts]
-    raw = [x if len(x) >= WIDTH else np.r_[x, np.zeros(WIDTH - len(x), np.uint8)] for x in raw]
     names = ("table", "bias", "w1", "b1", "w2", "b2")
     first = {k: np.zeros_like(np.asarray(getattr(net, k), dtype=np.float64)) for k in names}
     second = {k: np.zeros_like(v) for k, v in first.items()}
@@ -102,27 +161,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         rate = RATE * (1 - epoch / epochs) ** 0.5
         for batch in np.array_split(rng.permutation(len(raw)), max(1, len(raw) // BATCH)):
             t += 1
-            grad = {k: np.zeros_like(v) for k, v in first.items()}
-            held = [net.chunks(raw[i], where=True) for i in batch]
-            pooled = np.stack([net.pooled(top) for top, _ in held]).astype(np.float64)
-            before = pooled @ net.w1 + net.b1
-            hidden = np.maximum(0, before)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2, -30, 30)))
-            d = (p - labels[batch]) * weight[batch] / len(batch)
-            grad["w2"], grad["b2"] = hidden.T @ d, d.sum()
-            dh = np.outer(d, net.w2) * (before > 0)
-            grad["w1"], grad["b1"] = pooled.T @ dh, dh.sum(axis=0)
-            dp = dh @ net.w1.T
-            for (top, at), row, i in zip(held, dp, batch, strict=True):
-                r = np.tanh(top)
-                g = np.repeat(row[None, :FILTERS] / len(r), len(r), axis=0)
-                each = np.arange(FILTERS)
-                g[r.argmax(axis=0), each] += row[FILTERS : 2 * FILTERS]
-                g[r.argmin(axis=0), each] += row[2 * FILTERS :]
-                g *= 1 - r**2
-                grad["bias"] += g.sum(axis=0)
-                for k in range(WIDTH):
-                    np.add.at(grad["table"][k], (raw[i][at + k], np.broadcast_to(each, at.shape)), g)
+            grad = gradient(net, [raw[i] for i in batch], labels[batch], weight[batch])
             for k in names:
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
