@@ -22,6 +22,8 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 266, 284, 317, 322, 323, 324, 325
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that one stored byte can stand for at most, by compression: what a page claims beyond that is not in its file.
+MOST_FROM_ONE = {STORED: 1, PACKBITS: 64, DEFLATE: 1_032, OLD_DEFLATE: 1_032, LZW: 4_096}
 
 #: Samples in a row, rows in a strip and rows in a page of the files that are written.
 ROW, STRIP_ROWS, PAGE_ROWS = 64, 512, 1 << 20
@@ -279,6 +281,9 @@ def read_page(data: bytes, f: dict[int, list[int]]) -> dict:
     if len(offsets) != across * down * (samples if planar else 1):
         raise ValueError(f"{len(offsets)} parts for {across} x {down} on {samples if planar else 1} planes")
     together = 1 if planar else samples
+    held = sum(max(0, min(n, len(data) - at)) for at, n in zip(offsets, sizes, strict=True))
+    if height * (width * samples * bits // 8) > held * MOST_FROM_ONE.get(compression, 1):
+        raise ValueError(f"{width} x {height} pixels cannot be in {held} bytes")
     out = np.zeros((height, width, samples), np.uint8 if bits < 8 else f"{order}{'f' if predictor == 3 else 'u'}{bits // 8}")
     for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(i, across * down)
@@ -359,10 +364,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compr
 
 
 def read(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page: media's other columns (none of them named as a page's), page, width, height, samples, bits, compression, predictor, parts, feature, pixels, error.
+    """One row per page: media's other columns, page, width, height, samples, bits, compression, predictor, parts, feature, pixels, error.
 
-    A page that cannot be read, and a file that is none, give a row with an error and nulls. Null files give no rows. An empty table gives an empty result.
+    A column of media with one of these names, in any case, gives way to the page's. A page that cannot be read, and a file that is
+    none, give a row with an error and nulls. Null files give no rows. An empty table gives an empty result.
     """
     prepare(media.sparkSession)
-    others = [c for c in media.columns if c != media_col]
-    return media.select(*others, F.explode(pages_of(media_col)).alias("page_")).select(*others, "page_.*")
+    others = [media[c] for c in media.columns if c != media_col and c.lower() not in _PAGE]
+    rows = media.select(F.struct(F.lit(0).alias("__first"), *others).alias("own"), F.explode_outer(pages_of(media_col)).alias("page")).where("page is not null")  # explode() would read the files twice
+    return rows.select(*(F.col("own")[c].alias(c) for c in media.columns if c != media_col and c.lower() not in _PAGE), "page.*")
