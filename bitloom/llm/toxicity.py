@@ -2,11 +2,13 @@
 
 Features of a text: densities and counts of abusive words (a fixed list, and words and word beginnings learned with
 weights from labelled rows, as stems of abuse take many endings), the same after undoing obfuscation, the distance from a second-person pronoun to such a word, capitals, punctuation and
-obfuscation rates. The trees are fitted on a bounded sample of labelled rows; every document is scored.
+obfuscation rates. A bounded sample of labelled rows is dealt in three: words are learned on one part, the trees are fitted
+on another, and the calibration on the third, which neither has seen; every document is scored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -19,8 +21,12 @@ from bitloom.llm.common import cut, few_by_hash, prepare, text_of
 
 #: Labelled rows that the model is fitted on, at most; which ones follows from a hash of the identifier.
 SAMPLE_ROWS = 10_000
-#: Learned beginnings: their lengths, the documents' words that have one at least, the share of those in toxic documents, and how many at most.
-STEM, LEARNED_ROWS, LEARNED_SHARE, LEARNED_WORDS = (3, 8), 8, 0.6, 2_000
+#: Of six parts of the sample, those that words are learned on and those that trees are fitted on; the rest is for calibration.
+WORD_PARTS, TREE_PARTS = (0, 1, 2), (3, 4)
+#: Learned beginnings: their lengths, the documents' words that have one at least, and the share of those in toxic documents.
+STEM, LEARNED_ROWS, LEARNED_SHARE = (3, 8), 8, 0.6
+#: Stands for the distance where a text lacks pronoun or abuse: farther than any text is long.
+NOWHERE = 1e12
 TREES, DEPTH, RATE, BINS, LEAF_ROWS = 60, 3, 0.2, 32, 5
 
 # English words of abuse, pronouns of the second person in four languages, characters used in place of letters.
@@ -87,7 +93,7 @@ def features(text: str, learned: Learned) -> np.ndarray:
         form = re.sub(r"[^\w]|_", "", m.group())
         spaced += form in ABUSE or form in learned.weights
     hits = sorted({*listed, *taught})
-    nearest = 50.0
+    nearest = NOWHERE
     close = 0
     if hits:
         people = np.array([i for i, w in enumerate(plain) if w in SECOND_PERSON])
@@ -95,7 +101,7 @@ def features(text: str, learned: Learned) -> np.ndarray:
             at = np.array(hits)
             gap = np.abs(people[np.clip(np.searchsorted(people, at), 0, len(people) - 1)] - at)
             gap = np.minimum(gap, np.abs(people[np.clip(np.searchsorted(people, at) - 1, 0, len(people) - 1)] - at))
-            nearest, close = float(min(50, gap.min())), int((gap <= 5).sum())
+            nearest, close = float(gap.min()), int((gap <= 5).sum())
     upper = sum(map(str.isupper, text.split()))
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     letters = int(((raw >= 65) & (raw <= 90)).sum())
@@ -116,7 +122,7 @@ def features(text: str, learned: Learned) -> np.ndarray:
         marks["!"] / n,
         sum(marks.values()) / n,
         odd / count,
-        min(count, 5000),
+        math.log(count),
         max(weights.values(), default=0.0),
         sum(weights.values()) / count,
     )
@@ -220,7 +226,7 @@ def _unlearned() -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, allowed: Column | None = None) -> DataFrame:
-    """(half, text, label): at most so many labelled rows, those with the smallest hashes of their id; a null label or id is none.
+    """(part, text, label): at most so many labelled rows, each in one of six parts by its id, those with the smallest hashes of their id; a null label or id is none.
 
     The ids, bounded by ``rows``, are broadcast to the documents. An id that repeats gives its label's largest value and all its texts.
     """
@@ -229,32 +235,39 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         some = some.where(allowed)
     each = some.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label"))
     chosen = cut(few_by_hash(each, "__id", rows))
-    return docs.select(docs[id_col].alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)).alias("half"), "text", F.col("__label").alias("label"))
+    return docs.select(docs[id_col].alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(6)).alias("part"), "text", F.col("__label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, allowed: Column | None = None) -> Model:
-    """Fit on at most ``rows`` labelled rows, copies once: words are learned on one half, the trees and their calibration on the other, for which the words are then honest evidence."""
+    """Fit on at most ``rows`` labelled rows, copies once: words, trees and calibration each on a part of their own, so that each is honest evidence for the next."""
     prepare(docs.sparkSession)
-    known = cut(sample(docs, labels, id_col, text_col, label_col, rows, allowed).groupBy("text").agg(F.min("half").alias("half"), F.max("label").alias("label")))
+    known = cut(sample(docs, labels, id_col, text_col, label_col, rows, allowed).groupBy("text").agg(F.min("part").alias("part"), F.max("label").alias("label")))
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
-    by_word = known.where("half = 0").select("label", word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    by_word = known.where(F.col("part").isin(*WORD_PARTS)).select("label", word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
     stems = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))
     forms = F.concat(F.array("word"), F.when(F.length("word") >= STEM[0], stems).otherwise(F.array().cast("array<string>")))
     by_form = by_word.select(F.explode(forms).alias("form"), "n", "toxic").groupBy("form").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    found = by_form.where((F.col("n") >= LEARNED_ROWS) & (F.col("toxic") >= LEARNED_SHARE * F.col("n"))).orderBy(F.desc("toxic"), "form").limit(LEARNED_WORDS)
+    found = by_form.where((F.col("n") >= LEARNED_ROWS) & (F.col("toxic") >= LEARNED_SHARE * F.col("n")))  # forms that few of ``rows`` texts can have
     learned = Learned({r["form"]: float(np.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5))) for r in found.collect()})
 
     @F.pandas_udf("array<double>")
     def numbers(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t, learned) for t in texts])
 
-    got = known.where("half = 1").select("label", numbers("text").alias("x")).toPandas()  # FEATURES numbers for each of at most ``rows`` rows
-    if len(got) == 0 or got["label"].nunique() < 2:
+    got = known.where(~F.col("part").isin(*WORD_PARTS)).select(F.col("part").isin(*TREE_PARTS).alias("tree"), "label", numbers("text").alias("x")).toPandas()  # FEATURES numbers for each of at most ``rows`` rows
+    tree, rest = got[got["tree"]], got[~got["tree"]]
+    if tree["label"].nunique() < 2:
         return _unlearned()
-    x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy().astype(float)
-    order = np.lexsort(tuple(x.T) + (y,))  # the same fit in whatever order the rows come
-    x, y = x[order], y[order]
-    trees = fit_trees(x, y)
+
+    def sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.stack(part["x"].to_numpy()), part["label"].to_numpy().astype(float)
+        order = np.lexsort((*x.T, y))  # the same fit in whatever order the rows come
+        return x[order], y[order]
+
+    trees = fit_trees(*sides(tree))
+    if rest["label"].nunique() < 2:
+        return Model(learned, trees, (np.array([-1.0, 0.0, 1.0]), np.array([0.25, 0.5, 0.75])))  # too few rows to calibrate on: the margin's sign decides
+    x, y = sides(rest)
     return Model(learned, trees, isotonic(trees.margin(x), y))
 
 
@@ -277,6 +290,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, in docs' own columns; no shuffle."""
+    """The rows of docs that score below the threshold, in docs' own columns; no shuffle. A null text counts as empty, rows alike fare alike, ids are not read, and an empty table gives an empty result."""
     prepare(docs.sparkSession)
     return docs.where(score_udf(model)(text_of(text_col)) < threshold)
