@@ -2,8 +2,8 @@
 
 Patterns give the base spans. The field's nodes are a document's tokens that hold a digit or an at sign; any other token
 can only be "none" and so cuts the chain, which makes leaving it out exact. Neighbouring nodes are linked in a chain,
-and tokens that repeat, or agree in their last digits or in an address's first part, are linked however far apart they
-stand. Base spans are observed; loopy message passing gives every other node's marginals, so that a mention which the
+and tokens that repeat, or agree in their last digits or in an address's first part, and pieces of one number that is
+written in several, are linked however far apart they stand. Base spans are observed; loopy message passing gives every other node's marginals, so that a mention which the
 patterns miss takes the label of its like elsewhere in the document. Weights are fitted by pseudo-likelihood.
 """
 
@@ -22,7 +22,8 @@ from bitloom.llm.common import components, cut, few_by_hash, prepare, text_of
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the weights are fitted on, at most: of SURPLUS times as many with the smallest hashes of their id, those with a digit or an at sign.
 SAMPLE_ROWS, SURPLUS = 2_000, 4
-ROUNDS, DAMPING, THRESHOLD = 12, 0.3, 0.5
+#: A document's messages go round until none changes by more than TOLERANCE. Loops may keep that from happening; then the last of ROUNDS counts.
+ROUNDS, TOLERANCE, DAMPING, THRESHOLD = 1_000, 1e-6, 0.3, 0.5
 FIT_STEPS, FIT_RATE, DECAY, SEED = 300, 0.5, 1e-3, 5
 #: Where the weight of likeness starts and is drawn to: tokens that are the same are of one kind unless the data say otherwise.
 LIKENESS = 3.0
@@ -139,10 +140,43 @@ def _keys(token: str) -> list[str]:
     return out
 
 
+def _number_keys(tokens: list[str]) -> list[str | None]:
+    """For neighbouring tokens, keys by which a number that is written in pieces meets its like.
+
+    A run of tokens without letters that no closing mark ends is one number; where it has seven digits and more, each of its
+    pieces has the number's last seven digits and how many digits come after the piece.
+    """
+    out: list[str | None] = []
+    run: list[str] = []
+
+    def close() -> None:
+        digits = ["".join(c for c in t if c.isdigit()) for t in run]
+        whole, after = "".join(digits), 0
+        keys: list[str | None] = []
+        for d in reversed(digits):
+            keys.append(f"~{whole[-7:]}:{after}" if len(run) > 1 and d and len(whole) > 6 else None)
+            after += len(d)
+        out.extend(reversed(keys))
+        run.clear()
+
+    for t in tokens:
+        if any(c.isalpha() or c == "@" for c in t):
+            close()
+            out.append(None)
+            continue
+        run.append(t)
+        if t[-1] in ".,;:!?":
+            close()
+    close()
+    return out
+
+
 def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
     doc, start, end, rows, observed, chain, skip = [], [], [], [], [], [], []
     for d, (text, base) in enumerate(zip(texts, spans, strict=True)):
         seen: dict[str, list[int]] = {}
+        linked: set[tuple[int, int]] = set()
+        tokens: list[str] = []
         free = 0
         first = len(doc)
         for m in _EVIDENCE.finditer(text):
@@ -160,14 +194,19 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             rows.append(_features(token))
             observed.append(-1)
             if i > first and not text[end[i - 1] : a].strip():
-                chain.append((i - 1, i))
-            for key in _keys(token):
+                linked.add((i - 1, i))
+            tokens.append(token)
+        cuts = [first, *(i for i in range(first + 1, len(doc)) if (i - 1, i) not in linked), len(doc)]
+        pieces = [k for x, y in zip(cuts, cuts[1:], strict=False) for k in _number_keys(tokens[x - first : y - first])]
+        for i, token, piece in zip(range(first, len(doc)), tokens, pieces, strict=True):
+            for key in [*_keys(token), *([piece] if piece else [])]:
                 like = seen.setdefault(key, [])
                 if like:  # to the first and to the last: linear, and no two are more than two steps apart
                     skip.extend({(like[0], i), (like[-1], i)})
                     like[1:] = [i]
                 else:
                     like.append(i)
+        chain.extend(linked)
         if base and len(doc) > first:
             lows = np.array(start[first:])
             for kind, a, b in base:
@@ -189,7 +228,7 @@ class Field:
     same: np.ndarray  # labels
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product, damped; observed nodes are fixed."""
+        """Loopy sum-product, damped, until it rests; exact where links form no loops. Observed nodes are fixed."""
         n, k = len(g.doc), len(KINDS) + 1
         unary = g.features @ self.node
         fixed = g.observed >= 0
@@ -201,14 +240,24 @@ class Field:
         potential = np.concatenate([np.broadcast_to(self.step, (len(g.chain), k, k)), np.broadcast_to(np.diag(self.same), (len(g.skip), k, k))])
         a, b = pairs[:, 0], pairs[:, 1]
         forth, back = np.zeros((len(pairs), k)), np.zeros((len(pairs), k))
+        doc = g.doc[a]
+        live = np.arange(len(pairs))  # links of documents whose messages still change: each document goes on as if it were alone
         for _ in range(ROUNDS):
             belief = unary.copy()
-            np.add.at(belief, b, forth)
-            np.add.at(belief, a, back)
-            new_forth = _logsum(potential + (belief[a] - back)[:, :, None], 1)
-            new_back = _logsum(potential + (belief[b] - forth)[:, None, :], 2)
-            forth = DAMPING * forth + (1 - DAMPING) * (new_forth - new_forth.max(axis=1, keepdims=True))
-            back = DAMPING * back + (1 - DAMPING) * (new_back - new_back.max(axis=1, keepdims=True))
+            np.add.at(belief, b[live], forth[live])
+            np.add.at(belief, a[live], back[live])
+            at, to = a[live], b[live]
+            new_forth = _logsum(potential[live] + (belief[at] - back[live])[:, :, None], 1)
+            new_back = _logsum(potential[live] + (belief[to] - forth[live])[:, None, :], 2)
+            new_forth = DAMPING * forth[live] + (1 - DAMPING) * (new_forth - new_forth.max(axis=1, keepdims=True))
+            new_back = DAMPING * back[live] + (1 - DAMPING) * (new_back - new_back.max(axis=1, keepdims=True))
+            change = np.maximum(np.abs(new_forth - forth[live]).max(axis=1), np.abs(new_back - back[live]).max(axis=1))
+            forth[live], back[live] = new_forth, new_back
+            most = np.zeros(int(g.doc.max()) + 1)
+            np.maximum.at(most, doc[live], change)
+            live = live[most[doc[live]] > TOLERANCE]
+            if not len(live):
+                break
         belief = unary.copy()
         np.add.at(belief, b, forth)
         np.add.at(belief, a, back)
