@@ -41,7 +41,7 @@ BAD_NAMES = ("ads-track", "casino-win", "spam-farm")
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """Dated entries that follow from the hosts of pages: fixed names, some domains added, removed and added again, some paths allowed."""
+    """Dated entries that follow from the URLs of pages: fixed names, some domains added, removed and added again, some paths allowed, some pages (named by two segments, in capitals) blocked."""
     url = pages.select(F.regexp_replace(url_filters.host_of(F.col("url")), r"^(www|blog|m)\.", "").alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/([a-z]+)/", 1).alias("part")).where("host <> ''").distinct()
     day = lambda salt, n: F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("host"))), 1, 8), 16, 10).cast("long") % n
     at = lambda days: F.timestamp_seconds(F.lit(1704067200) + days * 86400)
@@ -54,7 +54,11 @@ def list_entries(pages: DataFrame) -> DataFrame:
     out = out.unionByName(entry(some, "review", F.col("host"), "block", "remove", F.col("a") + F.col("k")))
     out = out.unionByName(entry(some.where("k % 2 = 0"), "review", F.col("host"), "block", "add", F.col("a") + F.col("k") + 45))
     paths = url.where("part <> ''").withColumns({"a": day("path", 200), "r": day("allow", 7)}).where("r = 0")
-    return out.unionByName(entry(paths, "trusted", F.concat("host", F.lit("/"), "part"), "allow", "add", F.col("a")))
+    out = out.unionByName(entry(paths, "trusted", F.concat("host", F.lit("/"), "part"), "allow", "add", F.col("a")))
+    leaf = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/[a-z]+/([^/?#]+)", 1)
+    deep = pages.select(F.regexp_replace(url_filters.host_of(F.col("url")), r"^(www|blog|m)\.", "").alias("site"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/([a-z]+)/", 1).alias("part"), leaf.alias("leaf")).where("site <> '' and leaf <> ''").distinct()
+    named = deep.select(F.concat_ws("/", F.upper("site"), F.upper("part"), F.upper("leaf")).alias("host")).withColumns({"a": day("deep", 250), "r": day("pick", 9)})
+    return out.unionByName(entry(named.where("r = 0"), "single", F.col("host"), "block", "add", F.col("a")))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +164,17 @@ days AS (
   SELECT host, ('0x' || substr(md5('add|' || host), 1, 8))::BIGINT % 300 AS a, ('0x' || substr(md5('keep|' || host), 1, 8))::BIGINT % 120 + 1 AS k,
          ('0x' || substr(md5('rare|' || host), 1, 8))::BIGINT % 5 AS r
   FROM (SELECT DISTINCT host FROM parts WHERE host <> '')),
+named AS (
+  SELECT DISTINCT upper(regexp_replace(host, '^(www|blog|m)\.', '') || '/' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([a-z]+)/', 1) || '/' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*/[a-z]+/([^/?#]+)', 1)) AS page
+  FROM seen WHERE host <> '' AND regexp_matches(url, '^[A-Za-z]+://[^/?#]*/[a-z]+/[^/?#]+')),
 entries AS (
   SELECT 'abuse' AS list, host AS pattern, 'block' AS verdict, 'add' AS action, 30 AS day FROM days WHERE regexp_matches(host, 'ads-track|casino-win|spam-farm')
   UNION ALL SELECT 'review', host, 'block', 'add', a FROM days WHERE r = 0
   UNION ALL SELECT 'review', host, 'block', 'remove', a + k FROM days WHERE r = 0
   UNION ALL SELECT 'review', host, 'block', 'add', a + k + 45 FROM days WHERE r = 0 AND k % 2 = 0
   UNION ALL SELECT 'trusted', host || '/' || part, 'allow', 'add', ('0x' || substr(md5('path|' || host), 1, 8))::BIGINT % 200
-            FROM parts WHERE host <> '' AND part <> '' AND ('0x' || substr(md5('allow|' || host), 1, 8))::BIGINT % 7 = 0),
+            FROM parts WHERE host <> '' AND part <> '' AND ('0x' || substr(md5('allow|' || host), 1, 8))::BIGINT % 7 = 0
+  UNION ALL SELECT 'single', lower(page), 'block', 'add', ('0x' || substr(md5('deep|' || page), 1, 8))::BIGINT % 250 FROM named WHERE ('0x' || substr(md5('pick|' || page), 1, 8))::BIGINT % 9 = 0),
 valid AS (
   SELECT * FROM (
     SELECT list, pattern, verdict, action, to_timestamp(1704067200 + day * 86400)::TIMESTAMP AS valid_from,
@@ -175,8 +183,8 @@ valid AS (
 asked AS (
   SELECT page_id, url, fetched_at, unnest(list_distinct(list_concat(
     list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, least(2, len(segments)) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS pattern
-  FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segments
+    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS pattern
+  FROM (SELECT *, list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)), '/'), lambda x: x <> '') AS segments
         FROM (SELECT DISTINCT * FROM seen) WHERE host <> '' AND length(host) <= 253)),
 best AS (
   SELECT page_id, url, fetched_at, count(*) AS matches,

@@ -65,11 +65,10 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     seen = captures.select(captures[id_col].alias("page_id"), captures[url_col].alias("url"), captures[at_col].cast("timestamp").alias("fetched_at"))
     valid = cut(intervals(entries))
     depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    span = seen.agg(F.min(_bucket(F.col("fetched_at"))).alias("low"), F.max(_bucket(F.col("fetched_at"))).alias("high")).first()
-    low, high = (0, 0) if span["low"] is None else (span["low"], span["high"])
-    first = F.greatest(_bucket(F.col("valid_from")), F.lit(low))
-    last = F.least(F.coalesce(_bucket(F.col("valid_to")), F.lit(high)), F.lit(high))
-    by_bucket = valid.where(first <= last).withColumn("bucket", F.explode(F.sequence(first, last)))
+    # only buckets in which something was fetched: at most as many as the calendar has months, however far an interval or a wrong date reaches
+    buckets = sorted(r[0] for r in seen.where("fetched_at is not null").select(_bucket(F.col("fetched_at")).alias("bucket")).distinct().collect())
+    inside = F.filter(F.lit(buckets).cast("array<bigint>"), lambda b: (b >= _bucket(F.col("valid_from"))) & (F.col("valid_to").isNull() | (b <= _bucket(F.col("valid_to")))))
+    by_bucket = valid.withColumn("bucket", F.explode(inside))
     asked = seen.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(candidates(F.col("url"), depth)).alias("pattern"), _bucket(F.col("fetched_at")).alias("bucket"))
     active = asked.join(by_bucket, ["pattern", "bucket"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("pattern").alias("length"), (F.col("verdict") == "allow").alias("allow"))
