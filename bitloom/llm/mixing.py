@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import cut, power_of_two
 
 #: Rows that a bucket of the running sums is meant to hold.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 #: Bins of a histogram of finish times, and rows of a bin that are put in order.
 BINS, FEW_ROWS = 1024, 4_000
 SEED = "mix"
@@ -85,7 +85,8 @@ def _cut_off(queued: DataFrame, budget: int, most: int) -> tuple | None:
     """The last row, as an order key, that the budget still holds; None if it holds none.
 
     A histogram of finish times, BINS wide, tells in which bin the budget ends; that bin is divided anew until it has few rows,
-    and only those are put in order.
+    and only those are put in order. Rows of one finish time cannot be divided further: as words only add up within a source,
+    there is one such row a source, so even they are few.
     """
     turns = queued.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", _finish(F.col("turn"))).where("finish is not null")
     order = ["finish", *KEY, "shuffle_key", "doc_id", "size"]
