@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions.storage import cut  # noqa: F401  (for this package)
+
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 1024
 
@@ -19,23 +19,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset is another chosen: a folder in the
-    warehouse, or, in a local session without executors of its own, a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            local = context.master == "local" or context.master.startswith("local[")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -126,3 +126,25 @@ def test_run_joins_the_stages(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, `group` string, __kept string, finish double"
+
+
+def test_stages_take_awkward_rows(spark, data):
+    """Nulls in every column, empty texts, ties, repeated rows, no rows, and names that the operators use themselves."""
+    rows = [
+        (1, "one two three four", "en", "a", 3, "g", "k", 1.0), (2, "ONE two three four", "en", "a", 3, "g", "k", 1.0), (2, "ONE two three four", "en", "a", 3, "g", "k", 1.0), (3, None, None, None, None, None, None, None),
+        (4, "", "en", "", 0, "", "", 0.0), (None, "without an id", None, "a", None, None, None, None), (None, None, None, None, None, None, None, None), (5, "five six seven eight nine ten " * 2000, "en", "b", 1, "g", "k", 2.0),
+    ]
+    for table in (rows, []):
+        frame = spark.createDataFrame(table, AWKWARD)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, data)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == frame.columns, name
+                assert {r["doc_id"] for r in got} <= {r[0] for r in table}, name
+            assert bool(got) == bool(table), name
+    deduplicated = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, spark.createDataFrame(rows, AWKWARD), data)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in deduplicated.collect() if r["doc_id"] != 5) == [("2", "ONE two three four"), ("4", ""), ("None", ""), ("None", "without an id")]
