@@ -76,17 +76,30 @@ def is_newline(previous: Column, current: Column, width: Column, widths: float =
     return (current["y2"] <= previous["y"]) | (current["x2"] < previous["x"] - width * widths)
 
 
+def _gap(a: Column, b: Column, low: str, high: str) -> Column:
+    """How far two intervals are apart; negative where they share more than a point."""
+    return F.greatest(b[low] - a[high], a[low] - b[high])
+
+
 def x_adjacent(a: Column, b: Column, tolerance: float = 2.0) -> Column:
-    return (F.abs(a["x2"] - b["x"]) <= tolerance) | (F.abs(b["x2"] - a["x"]) <= tolerance)
+    """Beside one another within the tolerance, or sharing width."""
+    return _gap(a, b, "x", "x2") <= tolerance
 
 
-def x_contained(a: Column, b: Column, tolerance: float = 2.0) -> Column:
-    inside = lambda p, q: (p["x"] >= q["x"] - tolerance) & (p["x2"] <= q["x2"] + tolerance)
+def x_contained(a: Column, b: Column) -> Column:
+    """One box's width lies within the other's."""
+    inside = lambda p, q: (p["x"] >= q["x"]) & (p["x2"] <= q["x2"])
     return inside(a, b) | inside(b, a)
 
 
-def y_intersects(a: Column, b: Column, tolerance: float = 2.0) -> Column:
-    return (a["y"] <= b["y2"] + tolerance) & (b["y"] <= a["y2"] + tolerance)
+def y_intersects(a: Column, b: Column, tolerance: float = 1.0) -> Column:
+    """Sharing height, or apart by no more than the tolerance."""
+    return _gap(a, b, "y", "y2") <= tolerance
+
+
+def y_iou(a: Column, b: Column) -> Column:
+    """Shared height over the height of both."""
+    return _share(y_overlap(a, b), (a["y2"] - a["y"]) + (b["y2"] - b["y"]) - y_overlap(a, b))
 
 
 def cells(a: Column, size: float) -> Column:
