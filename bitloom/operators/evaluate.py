@@ -12,6 +12,8 @@ from bitloom.functions.storage import cut
 # The dimensions of a review and their weights.
 WEIGHTS = {"semantic_accuracy": 40.0, "completeness": 20.0, "terminology": 20.0, "fluency": 10.0, "structure_preservation": 10.0}
 SHORT_TEXT = 7
+#: Rows that a bucket of a blind packet's order is meant to hold.
+BLIND_ROWS = 4_000
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, other: DataFrame | None = None, shortest: int = 3) -> DataFrame:
@@ -27,7 +29,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(rows.withColumn("g", F.transform(T.shingles(F.col("t"), k), lambda x: F.xxhash64(x))).withColumn("n", F.size("g")).withColumn("words", T.word_count(F.col("t"))))
     grams = rows.where("n > 0").select("side", "id", "n", F.explode("g").alias("gram"))
     # a gram is shared by the pair only if two rows have it; common ones are never expanded where a rarer one serves
-    seen = cut(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
+    if other is not None:  # a pair has a gram from each side: those of the smaller side first, so that the larger side's others are never shuffled again
+        grams = grams.join(grams.where("side = 1").select("gram").distinct(), "gram", "left_semi")
+    both = "df > 1" if other is None else "df > 1 and low < high"
+    seen = cut(grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("side").alias("low"), F.max("side").alias("high")).where(both).select("gram", "df"))
     rare = Window.partitionBy("side", "id").orderBy("df", "gram")
     ranked = cut(grams.join(seen, "gram").withColumn("nth", F.row_number().over(rare)))
     # of the smaller text one of its rarest grams must be shared; rarer than that are those that nobody shares
@@ -169,16 +174,28 @@ def stability(runs: DataFrame, keys: list[str], metric: str, least: int = 3) ->
     return out.withColumn("variation", F.try_divide(F.col("deviation"), F.col("mean")))
 
 
-def repeat_stability(results: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Per repeated sample: runs, distinct outputs, latency range. results: phase, output, elapsed_seconds."""
+def repeat_stability(results: DataFrame, key: str = "sample_id", status: str | None = None) -> DataFrame:
+    """Per repeated sample: runs, distinct outputs, latency range and, for a status column, a map of how many runs have which. results: phase, output, elapsed_seconds."""
     out = results.groupBy(key).agg(F.count("*").alias("runs"), F.count_if(F.col("phase") == "repeat").alias("repeats"), F.count_distinct("output").alias("distinct_outputs"), F.min("elapsed_seconds").alias("low"), F.max("elapsed_seconds").alias("high"))
-    return out.where("repeats > 0 and low is not null").drop("repeats")
+    out = out.where("repeats > 0 and low is not null").drop("repeats")
+    if status is None:
+        return out
+    counted = results.groupBy(key, status).agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("statuses"))
+    return out.join(counted, key)
 
 
-def paired_runs(runs: DataFrame, keys: list[str], value: str, variant: str = "variant", before: str = "before", after: str = "after") -> DataFrame:
-    """One row per keys with both variants: their values and the reduction in percent."""
-    side = lambda v: runs.where(F.col(variant) == v).groupBy(*keys).agg(F.avg(value).alias(v))
-    return side(before).join(side(after), keys).withColumn("reduction_percent", N.reduction_percent(F.col(before), F.col(after)))
+def paired_runs(runs: DataFrame, keys: list[str], value: str, variant: str = "variant", before: str = "before", after: str = "after", payload: str | None = None) -> DataFrame:
+    """One row per keys with both variants: their values and the reduction in percent; with a payload column also same_payloads, whether both sent the same ones as often each, compared by sums of digests in any order."""
+    sent = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256) if payload else None
+    part = lambda i: F.sum(F.conv(F.substring(sent, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    digest = [F.concat_ws("|", F.count("*").cast("string"), *(part(i) for i in range(4))).alias("__sent")] if payload else []
+
+    def side(v: str) -> DataFrame:
+        out = runs.where(F.col(variant) == v).groupBy(*keys).agg(F.avg(value).alias(v), *digest)
+        return out.withColumnRenamed("__sent", f"__sent_{v}")
+
+    both = side(before).join(side(after), keys).withColumn("reduction_percent", N.reduction_percent(F.col(before), F.col(after)))
+    return both.withColumn("same_payloads", F.col(f"__sent_{before}") == F.col(f"__sent_{after}")).drop(f"__sent_{before}", f"__sent_{after}") if payload else both
 
 
 def paired_delta(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after", least: int = 3) -> DataFrame:
@@ -226,13 +243,22 @@ def compare_models(results: DataFrame) -> DataFrame:
 
 
 def blind_packet(results: DataFrame, key: str, seed: str) -> DataFrame:
-    """results with opaque ids E00001... in a seeded order. Row numbers come from per-bucket counts, so no task orders all rows."""
-    keyed = results.withColumn("__h", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256))
-    keyed = keyed.withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    """results with opaque ids E00001, E00002 and so on, of five digits at least, in a seeded order. Row numbers come from the counts of hash buckets, which grow with the rows, so no task orders all rows."""
+    digits = 1
+    rows = results.count()
+    while 16**digits * BLIND_ROWS < rows:
+        digits += 1
+    keyed = results.withColumn("__h", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).withColumn("__b", F.substring("__h", 1, digits))
     counts = keyed.groupBy("__b").agg(F.count("*").alias("n"))
-    offsets = counts.select("__b", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))  # 4096 rows at most
-    nth = F.col("o") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
-    return keyed.join(F.broadcast(offsets), "__b").withColumn("blind_id", F.concat(F.lit("E"), F.lpad(nth.cast("string"), 5, "0"))).drop("__h", "__b", "o")
+    offsets = counts.select("__b", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    nth = (F.col("o") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))).cast("string")
+    padded = F.when(F.length(nth) < 5, F.lpad(nth, 5, "0")).otherwise(nth)  # lpad() would cut longer numbers
+    return keyed.join(offsets, "__b").withColumn("blind_id", F.concat(F.lit("E"), padded)).drop("__h", "__b", "o")
+
+
+def blind_key(packet: DataFrame, key: str, shown: list[str]) -> DataFrame:
+    """(blind_id, key, result_sha256): the private half of a packet, each row with a digest of what a reviewer is shown."""
+    return packet.select("blind_id", key, F.sha2(T.canonical_json(**{c: F.col(c) for c in shown}), 256).alias("result_sha256"))
 
 
 def audit_sample(reviews: DataFrame, key: str, serious: Column, seed: str, share: float = 0.2) -> DataFrame:
@@ -297,14 +323,23 @@ def materialize_samples(recipes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def expand_variants(samples: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, variant_id, text, problem): a sample's text with a line break before each listed literal, which must occur exactly once; repeats within a case are a problem. cases: case_id, sample_id, variants (array of struct id, line_break_before)."""
+    """(case_id, variant_id, text, terms, problem): a sample's text with a line break before each listed literal, which must occur exactly once, and the terms added to it.
+
+    A variant with the text and terms of another of its case, words that the breaks have changed, and terms without both sides are problems.
+    cases: case_id, sample_id, variants (array of struct id, line_break_before and, if there, added_terms: array of struct source, target).
+    """
+    fields = {f.name for f in cases.schema["variants"].dataType.elementType}
     rows = cases.select("case_id", "sample_id", F.explode("variants").alias("v")).join(samples.select("sample_id", "source_text"), "sample_id")
     marks = F.coalesce("v.line_break_before", F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    terms = F.coalesce(F.col("v.added_terms"), none) if "added_terms" in fields else none
     once = F.forall(marks, lambda m: (F.length("source_text") - F.length(F.replace(F.col("source_text"), m, F.lit("")))) == F.length(m))
     text = F.aggregate(marks, F.col("source_text"), lambda t, m: F.replace(t, m, F.concat(F.lit("\n"), m)))
-    out = rows.select("case_id", F.col("v.id").alias("variant_id"), text.alias("text"), once.alias("once"))
-    same = F.count("*").over(Window.partitionBy("case_id", F.sha2("text", 256)))
-    return out.select("case_id", "variant_id", "text", F.when(~F.col("once"), "literal_not_unique").when(same > 1, "duplicate_variant").alias("problem"))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    out = rows.select("case_id", F.col("v.id").alias("variant_id"), text.alias("text"), terms.alias("terms"), once.alias("once"), (T.squeeze(text) == T.squeeze(F.col("source_text"))).alias("kept"), F.exists(terms, lambda t: blank(t["source"]) | blank(t["target"])).alias("bare"))
+    same = F.count("*").over(Window.partitionBy("case_id", F.sha2(F.to_json(F.struct("text", "terms")), 256)))
+    problem = F.when(~F.col("once"), "literal_not_unique").when(~F.col("kept"), "words_changed").when(F.col("bare"), "term_incomplete").when(same > 1, "duplicate_variant")
+    return out.select("case_id", "variant_id", "text", "terms", problem.alias("problem"))
 
 
 def exposure(samples: DataFrame, exposures: DataFrame) -> DataFrame:
@@ -320,6 +355,21 @@ def page_trial(samples: DataFrame, ids: DataFrame, key: str = "sample_id") -> Da
     return samples.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def id_list_problems(samples: DataFrame, ids: DataFrame, size: int | None = None, key: str = "sample_id") -> DataFrame:
+    """(key, problem): what is wrong with a list of ids: repeated, unknown; and a row without an id for a list that is not of the wanted size."""
+    counted = ids.groupBy(key).agg(F.count("*").alias("n"))
+    out = counted.where("n > 1").select(key, F.lit("repeated").alias("problem")).unionByName(counted.join(samples.select(key).distinct(), key, "left_anti").select(key, F.lit("unknown").alias("problem")))
+    if size is None:
+        return out
+    wrong = ids.agg(F.count("*").alias("n")).where(F.col("n") != size).select(F.lit(None).cast(ids.schema[key].dataType).alias(key), F.lit("wrong_size").alias("problem"))
+    return out.unionByName(wrong)
+
+
+def holdout_filter(samples: DataFrame, ids: DataFrame, key: str = "sample_id", split: str = "development") -> DataFrame:
+    """The listed samples that lie in another split than the one that may be used: none, if a list consumes no holdout."""
+    return page_trial(samples, ids, key).where(F.coalesce(F.col("split") != split, F.lit(True)))
+
+
 def schedule_jobs(samples: DataFrame, prechecks: int = 3, repeats: int = 2, key: str = "sample_id") -> DataFrame:
     """(job_id, phase, sample, round): prechecks by the first ids, one main job per sample, and rounds of repeats for samples flagged ``repeat``."""
     ids = samples.select(F.col(key).alias("sample"), "repeat")

@@ -5,6 +5,8 @@ Boxes are columns x, y, x2, y2. A page bounds every group that goes to one task.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -265,44 +267,50 @@ def formula_fonts(fonts: DataFrame, pattern: str) -> DataFrame:
     return page.where("page_hit").select(*PAGE, F.lit(None).cast("long").alias("xobj_id"), "font_id").unionByName(merged.select(*PAGE, F.col("xobj_id").cast("long").alias("xobj_id"), "font_id"))
 
 
-def merge_formulas(formulas: DataFrame, gap: float = 2.0) -> DataFrame:
-    """formulas (doc_id, page, para_idx, formula_id, region_id, box) with group: neighbours in reading order merge while one lies in the other's width and they share height, they touch sideways and share over half their height, they have one region, or their boxes agree by over 0.8."""
+def merge_formulas(formulas: DataFrame) -> DataFrame:
+    """formulas (doc_id, page, para_idx, part_idx, line_id, region_id, box) with group, from 0 in each paragraph.
+
+    part_idx counts all of a paragraph's parts, texts too, so that formulas with text between are no neighbours. Two formulas
+    of a line become one if they have one region, or if over 0.8 of either lies in the other; neighbours also if one's width lies
+    within the other's and they share height within 1, or if they touch sideways within 2 and share over half of their common height. The
+    earliest pair comes first, and what has become one goes on as one, until no pair is left.
+    """
     spec = StructType([*formulas.schema.fields, StructField("group", LongType())])
 
+    def covers(a: np.ndarray, b: np.ndarray) -> float:
+        shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return max((shared / area for area in ((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)) if area > 0), default=0.0)
+
+    def side_by_side(a: np.ndarray, b: np.ndarray) -> bool:
+        apart_x, apart_y = max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+        within = (a[0] >= b[0] and a[2] <= b[2]) or (b[0] >= a[0] and b[2] <= a[2])
+        both = (a[3] - a[1]) + (b[3] - b[1]) - max(0.0, -apart_y)
+        return (within and apart_y <= 1) or (apart_x <= 2 and both > 0 and max(0.0, -apart_y) / both > 0.5)
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("formula_id").reset_index(drop=True)
-        live = [[list(r), [i]] for i, r in enumerate(rows[["x", "y", "x2", "y2"]].to_numpy(dtype=float))]
-        region = rows["region_id"].tolist()
-
-        def joins(a, b) -> bool:
-            (ax, ay, ax2, ay2), (bx, by, bx2, by2) = a[0], b[0]
-            shared_y, shared_x = min(ay2, by2) - max(ay, by), min(ax2, bx2) - max(ax, bx)
-            union_y = max(ay2, by2) - min(ay, by)
-            within = (ax >= bx - gap and ax2 <= bx2 + gap) or (bx >= ax - gap and bx2 <= ax2 + gap)
-            if within and shared_y > -gap:
-                return True
-            if (abs(ax2 - bx) <= gap or abs(bx2 - ax) <= gap) and union_y > 0 and shared_y / union_y > 0.5:
-                return True
-            ra, rb = {region[i] for i in a[1]}, {region[i] for i in b[1]}
-            if ra == rb and None not in ra and not any(pd.isna(r) for r in ra) and shared_y > 0:
-                return True
-            inter = max(0, shared_x) * max(0, shared_y)
-            both = (ax2 - ax) * (ay2 - ay) + (bx2 - bx) * (by2 - by) - inter
-            return both > 0 and inter / both > 0.8
-
-        merged = True
-        while merged:
-            merged = False
-            for i in range(len(live) - 1):
-                if joins(live[i], live[i + 1]):
-                    a, b = live[i], live.pop(i + 1)
-                    a[0] = [min(a[0][0], b[0][0]), min(a[0][1], b[0][1]), max(a[0][2], b[0][2]), max(a[0][3], b[0][3])]
-                    a[1] += b[1]
-                    merged = True
-                    break
+        rows = rows.sort_values("part_idx").reset_index(drop=True)
+        box = rows[["x", "y", "x2", "y2"]].to_numpy(dtype=float)
+        place, line = rows["part_idx"].tolist(), rows["line_id"].tolist()
+        region = [{r} if pd.notna(r) and r else set() for r in rows["region_id"]]
+        members = [[i] for i in range(len(rows))]
+
+        def joins(i: int, j: int) -> bool:
+            if line[i] != line[j]:
+                return False
+            return len(region[i] | region[j]) == len(region[i]) == len(region[j]) == 1 or covers(box[i], box[j]) > 0.8 or (place[j] == place[i] + 1 and side_by_side(box[i], box[j]))
+
+        live = list(range(len(rows)))
+        while pair := next(((i, j) for i, j in combinations(live, 2) if joins(i, j)), None):
+            i, j = pair
+            box[i] = [*np.minimum(box[i][:2], box[j][:2]), *np.maximum(box[i][2:], box[j][2:])]
+            region[i] |= region[j]
+            members[i] += members[j]
+            live.remove(j)
+            for k in live:  # later parts move up
+                place[k] -= place[k] > place[j]
         group = np.zeros(len(rows), dtype=np.int64)
-        for k, (_, members) in enumerate(live):
-            group[members] = k
+        for n, i in enumerate(live):
+            group[members[i]] = n
         return rows.assign(group=group)[[f.name for f in spec]]
 
     return formulas.groupBy(*PAGE, "para_idx").applyInPandas(one, spec)

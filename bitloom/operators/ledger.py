@@ -158,12 +158,43 @@ def usage_deltas(events: DataFrame, keys: list[str], order: list[str], value: st
     return events.withColumn("total", upto).withColumn("delta", upto - F.coalesce(before, F.lit(0)))
 
 
-def stage_durations(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys and stage the sum of end minus the latest start before it that has no end yet. events: stage, type (start or end), seconds, seq."""
+def live_rates(events: DataFrame, keys: list[str]) -> DataFrame:
+    """events (seconds, started, paragraphs, output, complete) with requests_per_second, paragraphs_per_minute and output_per_second, as of each row.
+
+    Starts of the last 10 seconds over 10. Paragraphs of the last 30 seconds over the time since the first event, 1 second at least
+    and 30 at most; null without any. Tokens of the last 30 seconds (output: what the row adds, null if nothing) over the time since the first of
+    them, 30 at most; null before a second has passed and while any usage so far is incomplete (complete: null for rows without usage).
+    """
+    every = Window.partitionBy(*keys).orderBy("seconds")
+    recent = lambda n: every.rangeBetween(-n, 0)
+    upto = every.rangeBetween(Window.unboundedPreceding, 0)
+    elapsed = F.col("seconds") - F.min("seconds").over(upto)
+    minute = F.sum("paragraphs").over(recent(30)) * 60.0 / F.least(F.greatest(elapsed.cast("double"), F.lit(1.0)), F.lit(30.0))
+    since = (F.col("seconds") - F.min(F.when(F.col("output").isNotNull(), F.col("seconds"))).over(upto)).cast("double")
+    whole = F.coalesce(F.min("complete").over(upto), F.lit(False))
+    tokens = F.coalesce(F.sum("output").over(recent(29)), F.lit(0)) / F.least(since, F.lit(30.0))  # what is 30 seconds old is out
+    return events.withColumns(
+        {
+            "requests_per_second": F.round(F.sum(F.col("started").cast("int")).over(recent(10)) / 10.0, 2),
+            "paragraphs_per_minute": F.round(minute, 1),
+            "output_per_second": F.when(whole & (since >= 1), F.round(tokens, 1)),
+        }
+    )
+
+
+def stage_durations(events: DataFrame, keys: list[str], finishing: tuple[str, ...] = ()) -> DataFrame:
+    """Per keys and stage the sum of end minus the latest start before it that has no end yet. events: stage, type (start, update or end), seconds, seq.
+
+    In ``finishing`` stages an update whose current reaches its total ends the stage as well (events then have current and total).
+    """
     w = Window.partitionBy(*keys, "stage").orderBy("seq")
-    begun = F.when(F.lag("type").over(w) == "start", F.lag("seconds").over(w))
-    ends = events.withColumn("begun", begun).where("type = 'end' and begun is not null")
-    return ends.groupBy(*keys, "stage").agg(F.sum(F.col("seconds") - F.col("begun")).alias("seconds"), F.count("*").alias("spans"))
+    ended = F.col("type") == "end"
+    if finishing:
+        ended = ended | (F.col("stage").isin(*finishing) & (F.col("type") == "update") & F.coalesce(F.col("current") >= F.col("total"), F.lit(False)))
+    rows = events.withColumn("__ended", ended).withColumn("__run", F.coalesce(F.sum(F.col("__ended").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.last(F.when(F.col("type") == "start", F.col("seconds")), ignorenulls=True).over(Window.partitionBy(*keys, "stage", "__run").orderBy("seq"))
+    ends = rows.withColumn("__begun", start).where("__ended and __begun is not null")
+    return ends.groupBy(*keys, "stage").agg(F.sum(F.col("seconds") - F.col("__begun")).alias("seconds"), F.count("*").alias("spans"))
 
 
 def eta(progress: DataFrame, keys: list[str], window: int = 30, least_seconds: int = 15, least_percent: float = 2.0) -> DataFrame:
@@ -175,14 +206,14 @@ def eta(progress: DataFrame, keys: list[str], window: int = 30, least_seconds: i
     return progress.withColumn("eta_seconds", F.when(ok, (100.0 - F.col("percent")) * d_seconds / F.when(d_percent > 0, d_percent)))
 
 
-def weighted_progress(stages: DataFrame, keys: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """Per keys the overall percent from stages (stage, current, total), weights made to add up to 100; unknown stages weigh nothing."""
+def weighted_progress(stages: DataFrame, keys: list[str], weights: dict[str, float] | None = None, part: str | None = None, parts: int = 1) -> DataFrame:
+    """Per keys the overall percent from stages (stage, current, total), weights made to add up to 100; unknown stages weigh nothing. With a column that tells ``parts`` parts, all parts share equally, and those without rows have not begun."""
     weights = STAGE_WEIGHTS if weights is None else weights
     total = sum(weights.values())
     weight = F.coalesce(F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, 100.0 * v / total)))[F.col("stage")], F.lit(0.0))
     share = F.coalesce(F.least(F.greatest(F.try_divide(F.col("current").cast("double"), F.col("total")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    best = stages.groupBy(*keys, "stage").agg(F.max(share).alias("share"))
-    return best.groupBy(*keys).agg(F.least(F.lit(100.0), F.sum(weight * F.col("share"))).alias("percent"))
+    best = stages.groupBy(*keys, *([part] if part else []), "stage").agg(F.max(share).alias("share"))
+    return best.groupBy(*keys).agg(F.least(F.lit(100.0), F.sum(weight * F.col("share")) / F.lit(parts)).alias("percent"))
 
 
 def trim_budget(df: DataFrame, keys: list[str], priority: str, seq: str, size: str, max_bytes: int, max_rows: int) -> DataFrame:
@@ -191,6 +222,33 @@ def trim_budget(df: DataFrame, keys: list[str], priority: str, seq: str, size: s
     return df.withColumn("kept", (F.sum(size).over(w) <= max_bytes) & (F.count("*").over(w) <= max_rows))
 
 
+def trim_evidence(records: DataFrame, keys: list[str], max_bytes: int, max_rows: int, executions: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(kept, omitted) of records (execution_id, kind, priority, seq, size): per keys the newest executions with what is theirs, and of that, after all execution rows, the highest priority, then the newest, within bytes and rows. omitted: by keys how many executions, requests and paragraphs are left out.
+
+    Ranks come from windows over the few execution rows and from running sums; nothing is gathered.
+    """
+    runs = records.where("kind = 'execution'")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
+    live = runs.withColumn("__n", nth).where(F.col("__n") <= executions).select(*keys, "execution_id")
+    own = records.join(live, [*keys, "execution_id"], "left_semi")
+    w = Window.partitionBy(*keys).orderBy((F.col("kind") != "execution"), F.desc("priority"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = own.withColumn("__kept", (F.col("kind") == "execution") | ((F.sum("size").over(w) <= max_bytes) & (F.count("*").over(w) <= max_rows)))
+    gone = ranked.where(~F.col("__kept")).groupBy(*keys).agg(F.count_if(F.col("kind") == "request").alias("omitted_requests"), F.count_if(F.col("kind") != "request").alias("omitted_paragraphs"))
+    old = runs.groupBy(*keys).agg(F.greatest(F.count("*") - executions, F.lit(0)).alias("omitted_executions"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    omitted = old.join(gone, keys, "full").select(*keys, zero("omitted_executions"), zero("omitted_requests"), zero("omitted_paragraphs"))
+    return ranked.where("__kept").drop("__kept"), omitted
+
+
+def iso_to_ts(col: Column) -> Column:
+    """An ISO 8601 string as a timestamp; null for anything else."""
+    return F.try_to_timestamp(col)
+
+
+def epoch_ms(ts: Column) -> Column:
+    return F.unix_millis(ts)
+
+
 def keyset_page(df: DataFrame, limit: int, after: tuple | None = None, at: str = "created", key: str = "id") -> DataFrame:
     """The newest rows strictly below a cursor, one more than the limit, which tells that there are more."""
     rows = df if after is None else df.where(F.struct(at, key) < F.struct(F.lit(after[0]).cast(df.schema[at].dataType), F.lit(after[1]).cast(df.schema[key].dataType)))

@@ -33,7 +33,7 @@ def prepare_memory(batch: DataFrame) -> DataFrame:
 def upsert_memory(target: DataFrame | None, batch: DataFrame) -> DataFrame:
     """The memory table after a batch: the last writing of each key wins, and a paragraph keeps the seq of its first. Applying a batch twice changes nothing."""
     new = prepare_memory(batch).withColumn("updated_seq", F.col("seq"))
-    rows = new if target is None else target.unionByName(new)
+    rows = new if target is None else target.select(*new.columns).unionByName(new)
     kept = [c for c in rows.columns if c not in (*MEMORY_KEY, "seq")]
     best = rows.groupBy(*MEMORY_KEY).agg(F.max_by(F.struct(*kept), "updated_seq").alias("row"), F.min("seq").alias("seq"))
     return best.select(*MEMORY_KEY, "row.*", "seq").select(*rows.columns)
@@ -42,22 +42,41 @@ def upsert_memory(target: DataFrame | None, batch: DataFrame) -> DataFrame:
 def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -> DataFrame:
     """queries (query_id, doc_fingerprint, text, page) with the best match: match_type, memory_seq, source, translation, match_page.
 
-    Tiers: the same text (the query's page first, then the newest), then a paragraph of the page that contains it, then any of
-    the document (shortest, then newest). Containment is literal. A tier sees only queries that the one before left open.
+    Tiers: the same text (exact; the query's page first, then the newest), then a paragraph that contains it (contained), of the
+    page first and then of any page, the shortest, then the newest. Containment is literal. A tier sees only
+    queries that the one before left open.
     """
     column = f"normalized_{side}"
     asked = queries.withColumn("wanted", T.normalize_text(F.col("text"))).where("wanted <> ''")
+    asked = cut(asked.select("query_id", "doc_fingerprint", "page", "wanted"))  # the normal form is worked out once
     stored = memory.select("doc_fingerprint", F.col("page").alias("match_page"), F.col("seq").alias("memory_seq"), "source", "translation", F.col(column).alias("stored"))
     row = F.struct("memory_seq", "source", "translation", "match_page")
     pick = lambda df, kind, order: df.groupBy("query_id").agg(F.max_by(row, F.struct(*order)).alias("m")).select("query_id", F.lit(kind).alias("match_type"), "m.*")
     same_page = F.coalesce((F.col("match_page") == F.col("page")).cast("int"), F.lit(0))
-    exact = pick(asked.join(stored, (asked["doc_fingerprint"] == stored["doc_fingerprint"]) & (F.col("wanted") == F.col("stored"))), "exact", [same_page.alias("a"), F.col("memory_seq").alias("b")])
+    same_text = (asked["doc_fingerprint"] == stored["doc_fingerprint"]) & (F.sha2("wanted", 256) == F.sha2("stored", 256)) & (F.col("wanted") == F.col("stored"))
+    exact = cut(pick(asked.join(stored, same_text), "exact", [same_page.alias("a"), F.col("memory_seq").alias("b")]))
     left = asked.join(exact, "query_id", "left_anti")
-    inside = left.join(stored, (left["doc_fingerprint"] == stored["doc_fingerprint"]) & F.contains(F.col("stored"), F.col("wanted")))
+    inside = _holders(left, stored).where(F.contains(F.col("stored"), F.col("wanted")))
     contained = pick(inside, "contained", [same_page.alias("a"), (-F.length("stored")).alias("b"), F.col("memory_seq").alias("c")])
     return queries.join(exact.unionByName(contained), "query_id", "left")
 
 
+def _holders(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked with the stored paragraphs of its document that may contain it: those with the query's rarest run of three characters there; all of the document's for a shorter query."""
+    runs = lambda c: F.explode(F.array_distinct(T.ngrams(T.characters(F.col(c)), 3, ""))).alias("run")
+    own = stored.join(asked.select("doc_fingerprint").distinct(), "doc_fingerprint", "left_semi")
+    long = asked.where("length(wanted) >= 3")
+    wanted = long.select("doc_fingerprint", "query_id", runs("wanted"))
+    places = own.select("doc_fingerprint", "memory_seq", "match_page", runs("stored")).join(wanted.select("doc_fingerprint", "run").distinct(), ["doc_fingerprint", "run"], "left_semi")
+    # a run that the document lacks rules the query out, so it counts as rarest
+    often = places.groupBy("doc_fingerprint", "run").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, ["doc_fingerprint", "run"], "left").groupBy("doc_fingerprint", "query_id").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    near = rarest.join(places, ["doc_fingerprint", "run"]).select("query_id", "doc_fingerprint", "memory_seq", "match_page").distinct()
+    found = near.join(own, ["doc_fingerprint", "memory_seq", "match_page"]).join(long, ["query_id", "doc_fingerprint"])
+    short = asked.where("length(wanted) < 3").join(own, "doc_fingerprint")
+    return found.unionByName(short.select(*found.columns))
+
+
 def lookup_cache(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """requests with cached (null without a hit): exact reuse by a digest of the named columns."""
     key = T.identity_key(**{k: F.col(k).cast("string") for k in keys})
@@ -140,6 +159,22 @@ def history_prune(df: DataFrame, group: str, at: str, now: float, n: int = 128,
     return df.where(F.lit(now) - F.col(at) <= ttl).withColumn("__n", nth).where(F.col("__n") <= n).drop("__n")
 
 
+def output_pages(pages: DataFrame, layout: str = "normal", translation_first: bool = False) -> DataFrame:
+    """(doc_id, out_page, page) for pages (doc_id, page): the source page that each page of an output shows, from 1. layout "alternating": every page twice, negative where it shows the original."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    if layout == "normal":
+        return pages.select("doc_id", nth.cast("int").alias("out_page"), "page")
+    pair = F.array(F.col("page"), -F.col("page")) if translation_first else F.array(-F.col("page"), F.col("page"))
+    return pages.select("doc_id", nth.alias("nth"), F.posexplode(pair).alias("half", "page")).select("doc_id", (F.col("nth") * 2 - 1 + F.col("half")).cast("int").alias("out_page"), "page")
+
+
 def generation_switch(history: DataFrame, fingerprint: str) -> DataFrame:
     """The rows of one generation; on a table partitioned by fingerprint this reads that partition only."""
     return history.where(F.col("fingerprint") == fingerprint)
+
+
+def archive_generation(current: DataFrame, history: DataFrame, previous: str, fingerprint: str) -> tuple[DataFrame, DataFrame]:
+    """(current, history) after a switch of generations: the current rows (without fingerprint) replace what the history holds of the previous one, and the rows of ``fingerprint`` are current; none of another generation ever are."""
+    kept = history.where(~F.col("fingerprint").eqNullSafe(F.lit(previous)))
+    whole = kept.unionByName(current.withColumn("fingerprint", F.lit(previous)))
+    return generation_switch(whole, fingerprint).drop("fingerprint"), whole

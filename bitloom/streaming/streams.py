@@ -5,10 +5,12 @@ Late data: event time with watermarks where metrics are windowed; revisions, not
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,7 +18,8 @@ from bitloom.operators.memory import upsert_memory
 
 
 def live_request_metrics(ledger: DataFrame, delay: str = "1 minute", width: str = "1 minute") -> DataFrame:
-    """Request counts, failures (without cancelled ones), tokens and cache hits by window, provider and model. ledger: ts, event, provider, model, succeeded, cancelled, latency_ms, input, output, hit, miss."""
+    """Request counts, failures (without cancelled ones), tokens and cache hits by window, provider and model. ledger: ts, event, provider, model, succeeded, cancelled, latency_ms, input, output, hit, miss; if there, retry and repair (booleans of starts)."""
+    flag = lambda c: F.count_if((F.col("event") == "request_started") & F.col(c)) if c in ledger.columns else F.lit(0).cast("long")
     done, used = F.col("event") == "request_finished", F.col("event") == "usage"
     return (
         ledger.withWatermark("ts", delay)
@@ -26,7 +29,10 @@ def live_request_metrics(ledger: DataFrame, delay: str = "1 minute", width: str
             F.count_if(done & F.col("succeeded")).alias("succeeded"),
             F.count_if(done & ~F.col("succeeded") & ~F.coalesce("cancelled", F.lit(False))).alias("failed"),
             F.count_if(done & F.coalesce("cancelled", F.lit(False))).alias("cancelled"),
+            flag("retry").alias("retries"),
+            flag("repair").alias("repairs"),
             F.avg(F.when(done, F.col("latency_ms"))).alias("average_latency_ms"),
+            F.percentile_approx(F.when(done, F.col("latency_ms")), 0.95, 10_000).alias("p95_latency_ms"),
             F.sum(F.when(used, F.col("input"))).alias("input"),
             F.sum(F.when(used, F.col("output"))).alias("output"),
             F.sum(F.when(used, F.col("hit"))).alias("hits"),
@@ -53,6 +59,13 @@ def sliding_rate(ledger: DataFrame, seconds: int = 10, step: str = "1 second", a
     return ledger.withWatermark("ts", delay).groupBy(F.window("ts", f"{seconds} seconds", step)).agg((total / F.lit(float(seconds))).alias("rate"))
 
 
+def throughput_stream(ledger: DataFrame, seconds: int = 30, step: str = "1 second", delay: str = "30 seconds") -> DataFrame:
+    """Output tokens per second and paragraphs per minute over sliding windows; tokens are null where a usage event of the window is incomplete or there is none. ledger: ts, output, complete (null for rows without usage), paragraphs."""
+    per = F.lit(float(seconds))
+    whole = F.coalesce(F.bool_and("complete"), F.lit(False))
+    return ledger.withWatermark("ts", delay).groupBy(F.window("ts", f"{seconds} seconds", step)).agg(F.when(whole, F.sum("output") / per).alias("output_per_second"), (F.sum("paragraphs") * 60.0 / per).alias("paragraphs_per_minute"))
+
+
 def bucket_stream(calls: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Requests and tokens by tumbling buckets; empty ones are filled in where the table is read (see bucket_ledger)."""
     return calls.withWatermark("ts", delay).groupBy(F.window("ts", width)).agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
@@ -74,7 +87,8 @@ def usage_delta_stream(events: DataFrame, idle: str | None = "1 hour") -> DataFr
             return
         total = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values("seq")
-        new = max(total, int(rows["output"].max()))
+        most = rows["output"].max()  # missing where no event of the batch knows it
+        new = total if pd.isna(most) else max(total, int(most))
         state.update((new,))
         if limit:
             state.setTimeoutDuration(limit)
@@ -182,6 +196,28 @@ def checkpoint_state(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id", "paragraph_id").applyInPandasWithState(step, spec, "status string, reason string", "update", GroupStateTimeout.NoTimeout)
 
 
+def checkpoint_documents(events: DataFrame) -> DataFrame:
+    """As checkpoint_state, with the end of a run sent once per document: an event without paragraph_id holds for all of its document's paragraphs. Gives the paragraphs that a batch has changed.
+
+    A document's paragraphs are one state; they are as many as a document has.
+    """
+    spec = "doc_id long, paragraph_id string, status string, reason string"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before: dict[str, tuple] = {k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        now = dict(before)
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            whole = r.paragraph_id is None or pd.isna(r.paragraph_id)
+            for k in list(now) if whole else [r.paragraph_id]:
+                now[k] = next_state(now.get(k, (None, None)), r.type, r.reason)
+        state.update((json.dumps(now),))
+        changed = [(key[0], k, *v) for k, v in now.items() if before.get(k) != v]
+        if changed:
+            yield pd.DataFrame(changed, columns=["doc_id", "paragraph_id", "status", "reason"])
+
+    return events.groupBy("doc_id").applyInPandasWithState(step, spec, "paragraphs string", "update", GroupStateTimeout.NoTimeout)
+
+
 def next_state(now: tuple, kind: str, reason: str | None) -> tuple:
     """A paragraph's (status, reason) after an event."""
     status = now[0]
@@ -194,15 +230,49 @@ def next_state(now: tuple, kind: str, reason: str | None) -> tuple:
     return (kind, reason if isinstance(reason, str) else None)
 
 
+MEMORY_PARTS = 64
+
+
+def read_memory(spark: SparkSession, table: str) -> DataFrame | None:
+    """The memory table that sync_memory_stream keeps: of each part its newest generation; None before the first."""
+    files = _parts(spark, table)
+    if files is None:
+        return None
+    newest = files.groupBy("part").agg(F.max("generation").alias("generation"))
+    return spark.read.parquet(table).join(F.broadcast(newest), ["part", "generation"], "left_semi").drop("part", "generation")
+
+
+def _parts(spark: SparkSession, table: str) -> DataFrame | None:
+    """(part, generation) of the table's folders: MEMORY_PARTS times the generations that are kept."""
+    try:
+        return spark.read.parquet(table).select("part", "generation").distinct()
+    except AnalysisException:  # nothing written yet
+        return None
+
+
 def sync_memory_stream(batches: DataFrame, table: str, checkpoint: str, done: Callable[[int], None] | None = None):
-    """Start a query that upserts confirmed paragraphs into a Parquet table, one generation folder per batch; a batch that is run again writes the same folder again."""
+    """Start a query that upserts confirmed paragraphs into a Parquet table of parts by document.
+
+    A batch reads and writes only the parts that its documents belong to, in a generation folder of its own, so that one that is
+    run again writes the same folder again. A batch that changes nothing, as with sources that have been synced before, writes nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("doc_fingerprint"), F.lit(MEMORY_PARTS)).cast("int")
+        rows = batch.persist()
+        touched = [r[0] for r in rows.select(part.alias("part")).distinct().collect()]  # MEMORY_PARTS at most
+        files = _parts(spark, table)
         before = None
-        if batch_id > 0:
-            before = spark.read.parquet(f"{table}/generation={batch_id - 1}")
-        upsert_memory(before, batch).write.mode("overwrite").parquet(f"{table}/generation={batch_id}")
+        if files is not None:
+            newest = files.where(F.col("generation") < batch_id).groupBy("part").agg(F.max("generation").alias("generation"))
+            before = spark.read.parquet(table).where(F.col("part").isin(touched)).join(F.broadcast(newest), ["part", "generation"], "left_semi").drop("part", "generation")
+        after = upsert_memory(before, rows).persist()
+        content = [c for c in after.columns if c not in ("seq", "updated_seq")]
+        if before is None or not after.select(content).exceptAll(before.select(content)).isEmpty():
+            after.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{table}/generation={batch_id}")
+        after.unpersist()
+        rows.unpersist()
         if done:
             done(batch_id)
 
