@@ -48,7 +48,7 @@ b AS (SELECT id, t, string_split(t, ' ') AS w FROM ({right}) WHERE t <> ''),
 ga AS (SELECT id, unnest({_GRAMS}) AS g FROM a), gb AS (SELECT id, unnest({_GRAMS}) AS g FROM b),
 na AS (SELECT id, count(*) AS n FROM ga GROUP BY id), nb AS (SELECT id, count(*) AS n FROM gb GROUP BY id),
 s AS (SELECT ga.id AS l, gb.id AS r, count(*) AS shared FROM ga JOIN gb USING (g) WHERE {differ.format("ga", "gb")} GROUP BY ALL),
-c AS (SELECT a.id AS l, b.id AS r FROM a, b WHERE ({differ.format("a", "b")}) AND (contains(a.t, b.t) OR contains(b.t, a.t)) AND least(length(a.t), length(b.t)) >= 3),
+c AS (SELECT a.id AS l, b.id AS r FROM a, b WHERE ({differ.format("a", "b")}) AND (contains(a.t, b.t) OR contains(b.t, a.t))),
 x AS (SELECT coalesce(s.l, c.l) AS l, coalesce(s.r, c.r) AS r, coalesce(shared, 0) AS shared, c.l IS NOT NULL AS inside FROM s FULL JOIN c ON s.l = c.l AND s.r = c.r),
 y AS (SELECT x.*, least(coalesce(na.n, 0), coalesce(nb.n, 0)) AS m FROM x LEFT JOIN na ON na.id = l LEFT JOIN nb ON nb.id = r)
 SELECT l AS left_id, r AS right_id, shared::INT AS shared, round(CASE WHEN m > 0 THEN shared::DOUBLE / m ELSE 0 END, 6) AS similarity, inside AS contains FROM y WHERE inside OR (m > 0 AND shared::DOUBLE / m >= 0.8)
@@ -230,7 +230,7 @@ def blind_packet(spark, d):
     return E.blind_packet(table(spark, d, "labels").select("doc_id"), "doc_id", SEED)
 
 
-BLIND_SQL = f"SELECT doc_id, 'E' || lpad((row_number() OVER (ORDER BY sha256('{SEED}' || doc_id), doc_id))::VARCHAR, 5, '0') AS blind_id FROM labels"
+BLIND_SQL = f"SELECT doc_id, 'E' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS blind_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('{SEED}' || doc_id), doc_id) AS n FROM labels)"
 
 
 def run_complete(spark, d):
@@ -336,9 +336,109 @@ def fingerprint(spark, d):
     return E.dataset_fingerprint(table(spark, d, "documents"), ("text",))
 
 
-QUERIES = {f.__name__: f for f in (near_duplicates, leakage_pairs, spanning_families, length_strata, run_summary, weighted_score, stability, repeat_stability, paired_runs, paired_delta, bootstrap_ci, quota_check, coverage, model_common_papers, common_keys, audit_sample, blind_packet, run_complete, unresolved_dispatch, unexecuted, review_coverage, placeholder_diff, review_binding, exposure, schedule_jobs, samples_from_blocks, fingerprint)}
+FINGERPRINT_SQL = """
+WITH h AS (SELECT sha256(json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars, 'source', source)::VARCHAR) AS h FROM documents),
+s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT) AS a, sum(('0x' || substr(h, 16, 15))::HUGEINT) AS b, sum(('0x' || substr(h, 31, 15))::HUGEINT) AS c, sum(('0x' || substr(h, 46, 15))::HUGEINT) AS d FROM h)
+SELECT n AS rows, sha256(concat_ws('|', n::VARCHAR, a::HUGEINT::VARCHAR, b::HUGEINT::VARCHAR, c::HUGEINT::VARCHAR, d::HUGEINT::VARCHAR)) AS fingerprint FROM s
+"""
+
+
+def leakage_spans(spark, d):
+    """Near duplicates among the benchmark's items, two families by the item's number, whose families differ."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    own = items.join(E.text_classes(items).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    samples = items.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("group"), (F.col("doc_id") % 2).alias("split"))
+    return E.leakage(E.near_duplicates(own, shortest=1), samples).select("left_id", "right_id", "left_group", "right_group", "left_split", "right_split")
+
+
+LEAKAGE_SPANS_SQL = f"""
+SELECT left_id, right_id, left_id % 3 AS left_group, right_id % 3 AS right_group, left_id % 2 AS left_split, right_id % 2 AS right_split
+FROM ({_pairs_sql("SELECT id, t FROM a", "{0}.id < {1}.id").replace("documents", "benchmark").replace("doc_id", "item_id")}) WHERE left_id % 3 <> right_id % 3 OR left_id % 2 <> right_id % 2
+"""
+
+
+def samples_checked(spark, d):
+    """Samples cut out of documents with digests of the blocks and the whole: some blocks have changed since, some are gone, some samples are others."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    blocks = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("block"), "text")
+    digest = F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    cut_out = F.substring("text", 6, 35)
+    whole = F.sha2(F.when(F.col("doc_id") % 7 == 0, F.upper(cut_out)).otherwise(cut_out), 256)
+    anchor = F.struct(F.col("doc_id").alias("block"), F.lit(5).alias("start"), F.lit(40).alias("end"), digest.alias("block_sha256"))
+    return E.materialize_samples(docs.select(F.col("doc_id").alias("sample_id"), whole.alias("source_sha256"), F.array(anchor).alias("anchors")), blocks).select("sample_id", "problem")
+
+
+SAMPLES_CHECKED_SQL = """
+SELECT doc_id AS sample_id, CASE WHEN doc_id % 11 = 0 OR text IS NULL THEN 'incomplete' WHEN doc_id % 5 = 0 THEN 'drifted' WHEN doc_id % 7 = 0 AND upper(text[6:40]) <> text[6:40] THEN 'changed' END AS problem FROM documents
+"""
+
+
+def run_results(spark, d):
+    """As run_summary by language, planned and executed being what the source's run has in fact, with one job lost in German."""
+    rows = _results(spark, d)
+    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    known = rows.join(n, "lang").withColumn("planned", F.col("n") + (F.col("lang") == "de").cast("int")).withColumn("executed", F.col("n")).withColumn("score", F.coalesce("score", F.lit(50.0)))
+    out = E.summarize_run(known, "lang")
+    return out.select("lang", "main_samples", F.round("quality_score", 6).alias("quality_score"), F.round("output_quality_score", 6).alias("output_quality_score"), "unreviewed", "complete")
+
+
+RUN_RESULTS_SQL = """
+WITH r AS (SELECT lang, doc_id % 10 <> 9 AS main, toxic = 0 AS ok, coalesce(CASE WHEN doc_id % 3 <> 0 THEN quality * 100.0::DOUBLE END, 50.0) AS s FROM documents JOIN labels USING (doc_id))
+SELECT lang, count(*) FILTER (WHERE main) AS main_samples, round(CASE WHEN lang <> 'de' THEN avg(s) FILTER (WHERE main) END, 6) AS quality_score, round(avg(s) FILTER (WHERE main AND ok), 6) AS output_quality_score, 0::BIGINT AS unreviewed, lang <> 'de' AS complete
+FROM r WHERE lang IS NOT NULL GROUP BY lang
+"""
+
+
+def jobs_left(spark, d):
+    """Parts that no returned item has executed."""
+    return E.unexecuted(table(spark, d, "part").select(F.col("p_partkey").alias("job_id")), table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").select(F.col("l_partkey").alias("job_id")))
+
+
+JOBS_LEFT_SQL = "SELECT p_partkey AS job_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)"
+
+
+def blind_keys(spark, d):
+    """The private half of the packet of labels: how many rows have a digest each, and how many digests there are."""
+    packet = E.blind_packet(table(spark, d, "labels"), "doc_id", SEED)
+    return E.blind_key(packet, "doc_id", ["quality", "toxic"]).groupBy("result_sha256").agg(F.count("*").alias("rows"), F.min("blind_id").alias("first"))
+
+
+BLIND_KEYS_SQL = f"""
+SELECT sha256(json_object('quality', quality, 'toxic', toxic)::VARCHAR) AS result_sha256, count(*) AS rows, min(blind_id) AS first
+FROM labels JOIN ({BLIND_SQL}) USING (doc_id) GROUP BY 1
+"""
+
+
+def payload_pairs(spark, d):
+    """Paired runs of line items by supplier, even orders before and odd ones after, and whether both sent the same quantities as often."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.when(F.col("l_orderkey") % 2 == 0, "before").otherwise("after").alias("variant"), F.col("l_quantity").cast("double").alias("value"), F.col("l_linenumber").cast("string").alias("sent"))
+    out = E.paired_runs(rows, ["l_suppkey", "l_returnflag"], "value", payload="sent")
+    return out.select("l_suppkey", "l_returnflag", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "same_payloads")
+
+
+PAYLOAD_PAIRS_SQL = """
+WITH r AS (SELECT l_suppkey, l_returnflag, l_orderkey % 2 AS v, avg(l_quantity::DOUBLE) AS value, list_sort(list(l_linenumber)) AS sent FROM lineitem GROUP BY ALL)
+SELECT a.l_suppkey, a.l_returnflag, round(a.value, 6) AS before, round(b.value, 6) AS after, a.sent = b.sent AS same_payloads FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.v = 0 AND b.v = 1
+"""
+
+
+def repeat_statuses(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("sample_id"), F.when(F.col("event_id") % 3 == 0, "repeat").otherwise("main").alias("phase"), F.col("event_type").alias("output"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("value").alias("elapsed_seconds"))
+    out = E.repeat_stability(rows, status="status")
+    return out.select("sample_id", "runs", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("statuses"))
+
+
+REPEAT_STATUSES_SQL = """
+WITH e AS (SELECT user_id AS sample_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS s, event_id % 3 = 0 AS r FROM events WHERE value IS NOT NULL),
+n AS (SELECT sample_id, s, count(*) AS n, bool_or(r) AS r FROM e GROUP BY ALL)
+SELECT sample_id, sum(n)::BIGINT AS runs, string_agg(s || '=' || n, ',' ORDER BY s) AS statuses FROM n GROUP BY 1 HAVING bool_or(r)
+"""
+
+
+QUERIES = {f.__name__: f for f in (near_duplicates, leakage_pairs, spanning_families, length_strata, run_summary, weighted_score, stability, repeat_stability, paired_runs, paired_delta, bootstrap_ci, quota_check, coverage, model_common_papers, common_keys, audit_sample, blind_packet, run_complete, unresolved_dispatch, unexecuted, review_coverage, placeholder_diff, review_binding, exposure, schedule_jobs, samples_from_blocks, fingerprint, leakage_spans, samples_checked, run_results, jobs_left, blind_keys, payload_pairs, repeat_statuses)}
 SQL = {
     "near_duplicates": NEAR_DUPLICATES_SQL, "leakage_pairs": LEAKAGE_SQL, "spanning_families": SPANNING_SQL, "length_strata": LENGTH_STRATA_SQL, "run_summary": RUN_SUMMARY_SQL, "weighted_score": WEIGHTED_SQL, "stability": STABILITY_SQL, "repeat_stability": REPEAT_SQL, "paired_runs": PAIRED_RUNS_SQL,
     "paired_delta": PAIRED_DELTA_SQL, "quota_check": QUOTA_SQL, "coverage": COVERAGE_SQL, "model_common_papers": MODELS_SQL, "common_keys": COMMON_SQL, "audit_sample": AUDIT_SQL, "blind_packet": BLIND_SQL, "run_complete": RUN_COMPLETE_SQL, "unresolved_dispatch": UNRESOLVED_SQL, "unexecuted": UNEXECUTED_SQL,
     "review_coverage": REVIEW_COVERAGE_SQL, "placeholder_diff": PLACEHOLDER_SQL, "review_binding": REVIEW_BINDING_SQL, "exposure": EXPOSURE_SQL, "schedule_jobs": SCHEDULE_SQL, "samples_from_blocks": SAMPLES_SQL,
+    "fingerprint": FINGERPRINT_SQL, "leakage_spans": LEAKAGE_SPANS_SQL, "samples_checked": SAMPLES_CHECKED_SQL, "run_results": RUN_RESULTS_SQL, "jobs_left": JOBS_LEFT_SQL, "blind_keys": BLIND_KEYS_SQL, "payload_pairs": PAYLOAD_PAIRS_SQL, "repeat_statuses": REPEAT_STATUSES_SQL,
 }

@@ -41,9 +41,11 @@ def term_hits_by_lang(spark, d):
     return hits.groupBy("lang", "source").agg(F.count("*").alias("paragraphs"), F.count_distinct("doc_id").alias("documents"))
 
 
-PARAS_SQL = """paras AS (
+#: Unicode's white space, as a run.
+_WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+PARAS_SQL = rf"""paras AS (
   SELECT doc_id, lang, source AS doc_source, unnest(range(len(p)))::INT AS para_idx, unnest(p) AS text
-  FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))"""
+  FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^{_WHITE}|{_WHITE}$', '', 'g')), lambda x: x <> '') AS p FROM documents))"""
 
 _MAILBOX = r"[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9-]+)+"
 #: Skip reasons as they can arise in the documents (no placeholders, code or bare addresses other than mail and http).
@@ -207,7 +209,7 @@ def memory_contained(spark, d):
 
 MEMORY_CONTAINED_SQL = r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark)
-SELECT item_id, count(*) AS documents, arg_min(doc_id, {'a': length(t), 'b': -doc_id}) AS best_doc_id FROM b JOIN d ON contains(t, q) WHERE len(string_split(q, ' ')) >= 4 GROUP BY item_id
+SELECT item_id, count(*) AS documents, arg_min(doc_id, {'a': length(t), 'b': -doc_id}) AS best_doc_id FROM b JOIN d ON contains(t, q) WHERE q <> '' GROUP BY item_id
 """
 
 
@@ -219,6 +221,51 @@ def memory_upsert_latest(spark, d):
 MEMORY_UPSERT_SQL = "SELECT conv_id, role, turn, length(text) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, length(text) DESC) = 1"
 
 
+def _confirmed(spark, d) -> DataFrame:
+    """Turns of conversations as a batch of paragraphs: the turn's number is the page, its role the language, answers with a mark failed, and every seventh has a reading text."""
+    t = table(spark, d, "conversations")
+    return t.select(
+        F.col("conv_id").cast("string").alias("doc_fingerprint"), F.concat_ws("_", F.lit("zh"), F.upper("role")).alias("target_lang"), (F.col("turn") % 2).cast("int").alias("page"), F.lit("p").alias("paragraph_id"), F.col("text").alias("source"),
+        F.concat(F.lit("<style id='1'>"), "text", F.lit("</style> {v1}")).alias("translation"), F.when(F.col("turn") % 7 == 0, F.concat("text", F.lit("."))).alias("reading"), F.when(F.col("text").contains("!"), "failed").otherwise("succeeded").alias("status"), F.lit(None).cast("string").alias("quality"), F.col("turn").cast("long").alias("seq"),
+    )
+
+
+def memory_table(spark, d):
+    """The memory after two batches, of even and of odd turns; keys are texts on one of two pages of a conversation."""
+    rows = _confirmed(spark, d)
+    return M.upsert_memory(M.upsert_memory(None, rows.where("seq % 2 = 0")), rows.where("seq % 2 = 1")).select("doc_fingerprint", "target_lang", "page", "source_hash", "seq", "formatting_incomplete", F.length("translation").alias("chars"))
+
+
+_CONFIRMED_SQL = r"""paired AS (
+  SELECT conv_id::VARCHAR AS doc_fingerprint, 'zh-' || role AS target_lang, (turn % 2)::INT AS page, text, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS n,
+    CASE WHEN turn % 7 = 0 THEN text || '.' ELSE text || ' ⟦原排版内容⟧' END AS shown, turn % 7 <> 0 AS incomplete
+  FROM conversations WHERE text IS NOT NULL AND strpos(text, '!') = 0)"""
+MEMORY_TABLE_SQL = rf"""
+WITH {_CONFIRMED_SQL}
+SELECT doc_fingerprint, target_lang, page, sha256(n) AS source_hash, min(turn)::BIGINT AS seq, arg_max(incomplete, turn) AS formatting_incomplete, arg_max(length(shown), turn)::INT AS chars
+FROM paired WHERE n <> '' GROUP BY doc_fingerprint, target_lang, page, n
+"""
+
+
+def memory_lookup(spark, d):
+    """Of every turn its first half (and of every third all of it) looked up in its conversation's memory, from page 0."""
+    rows = M.upsert_memory(None, _confirmed(spark, d))
+    t = table(spark, d, "conversations")
+    part = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, F.floor(F.length("text") / 2).cast("int")))
+    asked = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").cast("string").alias("doc_fingerprint"), part.alias("text"), F.lit(0).alias("page"))
+    return M.lookup_memory(asked, rows).select("query_id", "match_type", "memory_seq", "match_page")
+
+
+MEMORY_LOOKUP_SQL = rf"""
+WITH {_CONFIRMED_SQL},
+m AS (SELECT doc_fingerprint, page, n, min(turn)::BIGINT AS seq FROM paired WHERE n <> '' GROUP BY doc_fingerprint, target_lang, page, n),
+q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id::VARCHAR AS doc, trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN text ELSE substr(text, 1, length(text) // 2) END, '\s+', ' ', 'g')) AS w FROM conversations),
+f AS (SELECT query_id, seq, page, CASE WHEN n = w THEN 'exact' ELSE 'contained' END AS kind, row_number() OVER (PARTITION BY query_id ORDER BY n = w DESC, page = 0 DESC, CASE WHEN n = w THEN 0 ELSE length(n) END, seq DESC, page) AS k
+  FROM q JOIN m ON doc = doc_fingerprint AND contains(n, w) WHERE w <> '')
+SELECT q.query_id, kind AS match_type, seq AS memory_seq, page AS match_page FROM q LEFT JOIN f ON f.query_id = q.query_id AND k = 1
+"""
+
+
 def cache_lookup(spark, d):
     """Line items as requests for a response by part and quantity; the first half of the orders has filled the cache, the last writing of a key wins."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), "l_extendedprice")
@@ -271,6 +318,12 @@ def source_map(spark, d):
     return M.source_map(turns).select("doc_id", F.size("paragraphs").alias("pages"), "source_map_hash")
 
 
+SOURCE_MAP_SQL = """
+WITH t AS (SELECT conv_id AS doc_id, turn // 2 AS page, '[' || string_agg('{"source":"' || role || '","translation":"' || length(text) || '"}', ',' ORDER BY turn, role, length(text)::VARCHAR) || ']' AS pairs FROM conversations GROUP BY ALL)
+SELECT doc_id, count(*)::INT AS pages, sha256('{' || string_agg('"' || page || '":' || pairs, ',' ORDER BY page) || '}') AS source_map_hash FROM t GROUP BY doc_id
+"""
+
+
 # --- paragraphs
 
 
@@ -395,9 +448,9 @@ SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '^[\p{{P}}\s]+$')) AS p
 FROM w GROUP BY lang
 """
 
-QUERIES = {f.__name__: f for f in (term_hits_by_lang, auto_glossary_vote, term_language_override, term_conflicts, term_source_counts, pack_status, dictionary_topk, dictionary_lookup, memory_exact, memory_contained, memory_upsert_latest, cache_lookup, reverse_lookup, import_new, source_map, skip_reasons, latest_title, neighbor_context, boundary_pairs, batches_by_budget, reference_flags, continuations, sentence_align, text_volume, safe_csv, attachment_names, text_checks)}
+QUERIES = {f.__name__: f for f in (term_hits_by_lang, auto_glossary_vote, term_language_override, term_conflicts, term_source_counts, pack_status, dictionary_topk, dictionary_lookup, memory_exact, memory_contained, memory_upsert_latest, memory_table, memory_lookup, cache_lookup, reverse_lookup, import_new, source_map, skip_reasons, latest_title, neighbor_context, boundary_pairs, batches_by_budget, reference_flags, continuations, sentence_align, text_volume, safe_csv, attachment_names, text_checks)}
 SQL = {
     "term_hits_by_lang": TERM_HITS_SQL, "auto_glossary_vote": AUTO_GLOSSARY_SQL, "term_language_override": TERM_LANGUAGE_SQL, "term_conflicts": TERM_CONFLICTS_SQL, "term_source_counts": TERM_SOURCE_COUNTS_SQL, "pack_status": PACK_STATUS_SQL,
-    "dictionary_topk": DICTIONARY_TOPK_SQL, "memory_exact": MEMORY_EXACT_SQL, "memory_contained": MEMORY_CONTAINED_SQL, "memory_upsert_latest": MEMORY_UPSERT_SQL, "cache_lookup": CACHE_LOOKUP_SQL, "reverse_lookup": REVERSE_LOOKUP_SQL,
+    "dictionary_topk": DICTIONARY_TOPK_SQL, "memory_exact": MEMORY_EXACT_SQL, "memory_contained": MEMORY_CONTAINED_SQL, "memory_upsert_latest": MEMORY_UPSERT_SQL, "cache_lookup": CACHE_LOOKUP_SQL, "memory_table": MEMORY_TABLE_SQL, "memory_lookup": MEMORY_LOOKUP_SQL, "source_map": SOURCE_MAP_SQL, "reverse_lookup": REVERSE_LOOKUP_SQL,
     "skip_reasons": SKIP_REASONS_SQL, "latest_title": LATEST_TITLE_SQL, "neighbor_context": NEIGHBOR_CONTEXT_SQL, "batches_by_budget": BATCHES_SQL, "text_volume": TEXT_VOLUME_SQL, "safe_csv": SAFE_CSV_SQL, "attachment_names": ATTACHMENT_SQL, "text_checks": TEXT_CHECKS_SQL, "import_new": IMPORT_NEW_SQL,
 }

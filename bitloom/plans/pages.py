@@ -16,32 +16,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ORDERS = 400
 LABELS = ("formula", "title", "text", "table", "figure")
 
 
 def _chars(spark, d) -> DataFrame:
-    """Line items as characters of 4 by 6 on pages of 600 by 800."""
+    """Line items as characters of 4 by 6 on pages of 600 by 800. ORDERS orders in a row make a document, so that pages grow in number, not in size."""
     x, y = (F.col("l_partkey") * 7 % 590).cast("double"), (F.col("l_suppkey") * 13 + F.col("l_linenumber") * 101) % 790
     items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
     return items.select(
-        (F.col("l_orderkey") % 40).alias("doc_id"), (F.col("l_orderkey") % 3).cast("int").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("char_idx"), x.alias("x"), y.cast("double").alias("y"), (x + 4).alias("x2"), (y + 6).cast("double").alias("y2"), (F.col("l_linenumber") % 2).cast("long").alias("xobj_id"), F.col("l_linenumber").alias("render_order"),
+        F.floor(F.col("l_orderkey") / ORDERS).alias("doc_id"), (F.col("l_orderkey") % 3).cast("int").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("char_idx"), x.alias("x"), y.cast("double").alias("y"), (x + 4).alias("x2"), (y + 6).cast("double").alias("y2"), (F.col("l_linenumber") % 2).cast("long").alias("xobj_id"), F.col("l_linenumber").alias("render_order"),
     )
 
 
 def _regions(spark, d) -> DataFrame:
-    """Every tenth order as a region of up to 60 by 40."""
+    """Every order as a region of up to 60 by 40 in its document."""
     x, y = (F.col("o_orderkey") % 97 * 6).cast("double"), (F.col("o_custkey") % 79 * 10).cast("double")
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     label = F.element_at(F.array(*(F.lit(v) for v in LABELS)), (F.col("o_custkey") % 5 + 1).cast("int"))
-    return o.select((F.col("o_orderkey") / 10 % 40).cast("long").alias("doc_id"), (F.col("o_custkey") % 3).cast("int").alias("page"), F.col("o_orderkey").alias("region_id"), label.alias("class_name"), x.alias("x"), y.alias("y"), (x + 20 + F.col("o_custkey") % 40).alias("x2"), (y + 15 + F.col("o_custkey") % 25).alias("y2"), (F.col("o_custkey") % 2).alias("xobj_id"))
+    return o.select(F.floor(F.col("o_orderkey") / ORDERS).alias("doc_id"), (F.col("o_custkey") % 3).cast("int").alias("page"), F.col("o_orderkey").alias("region_id"), label.alias("class_name"), x.alias("x"), y.alias("y"), (x + 20 + F.col("o_custkey") % 40).alias("x2"), (y + 15 + F.col("o_custkey") % 25).alias("y2"), (F.col("o_custkey") % 2).alias("xobj_id"))
 
 
-_BOXES_SQL = """chars AS (
-  SELECT l_orderkey % 40 AS doc_id, (l_orderkey % 3)::INT AS page, l_orderkey * 10 + l_linenumber AS char_idx, l_linenumber % 2 AS xobj_id, (l_partkey * 7 % 590)::DOUBLE AS x, ((l_suppkey * 13 + l_linenumber * 101) % 790)::DOUBLE AS y,
+_BOXES_SQL = f"""chars AS (
+  SELECT l_orderkey // {ORDERS} AS doc_id, (l_orderkey % 3)::INT AS page, l_orderkey * 10 + l_linenumber AS char_idx, l_linenumber % 2 AS xobj_id, (l_partkey * 7 % 590)::DOUBLE AS x, ((l_suppkey * 13 + l_linenumber * 101) % 790)::DOUBLE AS y,
     (l_partkey * 7 % 590)::DOUBLE + 4 AS x2, ((l_suppkey * 13 + l_linenumber * 101) % 790)::DOUBLE + 6 AS y2, l_linenumber AS render_order FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
 regions AS (
-  SELECT (o_orderkey // 10) % 40 AS doc_id, (o_custkey % 3)::INT AS page, o_orderkey AS region_id, (['formula', 'title', 'text', 'table', 'figure'])[o_custkey % 5 + 1] AS class_name, o_custkey % 5 AS pos, (o_orderkey % 97 * 6)::DOUBLE AS x, (o_custkey % 79 * 10)::DOUBLE AS y,
-    (o_orderkey % 97 * 6)::DOUBLE + 20 + o_custkey % 40 AS x2, (o_custkey % 79 * 10)::DOUBLE + 15 + o_custkey % 25 AS y2, o_custkey % 2 AS xobj_id FROM orders WHERE o_orderkey % 10 = 0)"""
+  SELECT o_orderkey // {ORDERS} AS doc_id, (o_custkey % 3)::INT AS page, o_orderkey AS region_id, (['formula', 'title', 'text', 'table', 'figure'])[o_custkey % 5 + 1] AS class_name, o_custkey % 5 AS pos, (o_orderkey % 97 * 6)::DOUBLE AS x, (o_custkey % 79 * 10)::DOUBLE AS y,
+    (o_orderkey % 97 * 6)::DOUBLE + 20 + o_custkey % 40 AS x2, (o_custkey % 79 * 10)::DOUBLE + 15 + o_custkey % 25 AS y2, o_custkey % 2 AS xobj_id FROM orders)"""
 _COVER = "greatest(least({a}.x2, {b}.x2) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y, {b}.y), 0)"
 
 
@@ -146,7 +147,7 @@ def doc_flags(spark, d):
 
 
 DOC_FLAGS_SQL = r"""
-WITH p AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)),
+WITH p AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents)),
 q AS (SELECT doc_id, i // 5 AS page, regexp_matches(t, '[0-9]') AS cid, CASE WHEN length(t) % 4 = 0 THEN 8 ELSE 0 END AS c, length(t) + CASE WHEN length(t) % 4 = 0 THEN 8 ELSE 0 END AS n FROM p),
 s AS (SELECT doc_id, sum(c)::DOUBLE / nullif(sum(n), 0) AS a, avg(cid::INT) AS b, count(DISTINCT page) FILTER (WHERE page % 3 = 0)::DOUBLE / count(DISTINCT page) AS sc FROM q GROUP BY 1)
 SELECT doc_id, round(a, 9) AS cid_char_share, round(b, 9) AS cid_paragraph_share, a > 0.8 OR b > 0.8 AS unreadable, sc >= 0.8 AS scanned FROM s
@@ -164,7 +165,7 @@ def box_functions(spark, d):
     a, b = F.col("a"), F.col("b")
     return rows.groupBy("doc_id").agg(
         F.round(F.sum(G.coverage(a, b)), 6).alias("coverage"), F.round(F.sum(G.iou(a, b)), 6).alias("iou"), F.round(F.sum(G.y_coverage(a, b)), 6).alias("y_coverage"), F.round(F.sum(G.box_distance(a, b)), 4).alias("distance"),
-        F.count_if(G.x_adjacent(a, b)).alias("x_adjacent"), F.count_if(G.x_contained(a, b)).alias("x_contained"), F.count_if(G.y_intersects(a, b)).alias("y_intersects"), F.count_if(G.is_newline(b, a, b["x2"] - b["x"], 5.0)).alias("newlines"),
+        F.round(F.sum(G.y_min_coverage(a, b)), 6).alias("y_min_coverage"), F.round(F.sum(G.y_iou(a, b)), 6).alias("y_iou"), F.count_if(G.x_adjacent(a, b)).alias("x_adjacent"), F.count_if(G.x_contained(a, b)).alias("x_contained"), F.count_if(G.y_intersects(a, b)).alias("y_intersects"), F.count_if(G.is_newline(b, a, b["x2"] - b["x"], 5.0)).alias("newlines"),
     )
 
 
@@ -172,8 +173,8 @@ BOX_FUNCTIONS_SQL = f"""
 WITH {_BOXES_SQL}, n AS (SELECT doc_id, x, y, x + 60 AS x2, y + 90 AS y2, lag(x) OVER w AS bx, lag(y) OVER w AS by_, lag(x) OVER w + 60 AS bx2, lag(y) OVER w + 90 AS by2 FROM chars WINDOW w AS (PARTITION BY doc_id, page ORDER BY char_idx)),
 i AS (SELECT *, greatest(least(x2, bx2) - greatest(x, bx), 0) AS ox, greatest(least(y2, by2) - greatest(y, by_), 0) AS oy FROM n WHERE bx IS NOT NULL)
 SELECT doc_id, round(sum(ox * oy / 5400.0::DOUBLE), 6) AS coverage, round(sum(ox * oy / (10800.0::DOUBLE - ox * oy)), 6) AS iou, round(sum(oy / 90.0::DOUBLE), 6) AS y_coverage,
-  round(sum(sqrt(power(greatest(bx - x2, x - bx2, 0), 2) + power(greatest(by_ - y2, y - by2, 0), 2))), 4) AS distance, count(*) FILTER (WHERE abs(x2 - bx) <= 2 OR abs(bx2 - x) <= 2) AS x_adjacent,
-  count(*) FILTER (WHERE (x >= bx - 2 AND x2 <= bx2 + 2) OR (bx >= x - 2 AND bx2 <= x2 + 2)) AS x_contained, count(*) FILTER (WHERE y <= by2 + 2 AND by_ <= y2 + 2) AS y_intersects, count(*) FILTER (WHERE y2 <= by_ OR x2 < bx - 300) AS newlines
+  round(sum(sqrt(power(greatest(bx - x2, x - bx2, 0), 2) + power(greatest(by_ - y2, y - by2, 0), 2))), 4) AS distance, count(*) FILTER (WHERE (x <= bx2 AND bx <= x2) OR abs(x2 - bx) <= 2 OR abs(bx2 - x) <= 2) AS x_adjacent,
+  count(*) FILTER (WHERE (x >= bx AND x2 <= bx2) OR (bx >= x AND bx2 <= x2)) AS x_contained, count(*) FILTER (WHERE NOT (y2 < by_ - 1 OR by2 < y - 1)) AS y_intersects, round(sum(oy / 90.0::DOUBLE), 6) AS y_min_coverage, round(sum(oy / (180.0::DOUBLE - oy)), 6) AS y_iou, count(*) FILTER (WHERE y2 <= by_ OR x2 < bx - 300) AS newlines
 FROM i GROUP BY doc_id
 """
 
@@ -188,25 +189,37 @@ def char_lines(spark, d):
 # --- streams, run to their end over the tables
 
 
-def _streamed(spark, d, name: str, make) -> DataFrame:
+def _streamed(spark, d, name: str, make, ordered: str | None = None, mode: str = "update") -> DataFrame:
     """What a stream over a table's files gives, written to the shared folder batch by batch and read as a table."""
     from bitloom.functions.storage import cut
 
     cut(spark.range(1))  # sees to it that there is a shared folder
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, d, name, folder))
+    rows = spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", _batch_files(spark)).parquet(_as_folder(spark, d, name, folder, ordered))
     out = make(rows)
-    query = out.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query = out.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-def _as_folder(spark, d, name: str, folder: str) -> str:
-    """The table as several files, so that the stream has several batches' worth of input."""
-    table(spark, d, name).repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
+def _as_folder(spark, d, name: str, folder: str, ordered: str | None) -> str:
+    """The table in three micro-batches' worth of files, so that state has to carry over; with a column, one third after the other in its order."""
+    rows, files = table(spark, d, name), _batch_files(spark)
+    if ordered is None:
+        rows.repartition(3 * files).write.mode("overwrite").parquet(f"{folder}/in")
+        return f"{folder}/in"
+    at = F.unix_micros(F.col(ordered).cast("timestamp")) if ordered == "ts" else F.col(ordered)
+    low, high = rows.select(at.cast("double").alias("at")).approxQuantile("at", [0.33, 0.66], 0.01) or (0.0, 0.0)
+    part = (at > low).cast("int") + (at > high).cast("int")
+    for k in range(3):  # the source takes files by their time
+        rows.where(part == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
     return f"{folder}/in"
 
 
+def _batch_files(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def stream_task_feed(spark, d):
     """The newest state of each user's task from the events as a feed, whatever their order: later numbers are later revisions, errors delete."""
     code = F.get_json_object("props", "$.k").cast("int")
@@ -222,17 +235,68 @@ SELECT user_id::VARCHAR AS task_id, event_id AS revision, CASE WHEN event_type <
 
 
 def stream_usage_totals(spark, d):
-    """Each user's largest code so far from cumulative usage events; the deltas add up to it."""
-    usage = lambda e: e.select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("output"))
+    """Each user's largest code so far from cumulative usage events, those of sign-ups unknown; the deltas add up to it."""
+    usage = lambda e: e.select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("long")).alias("output"))
     rows = _streamed(spark, d, "events", lambda e: S.usage_delta_stream(usage(e), None))
     return rows.groupBy("call_id").agg(F.max("total").alias("total"), F.sum("delta").alias("deltas"))
 
 
-USAGE_TOTALS_SQL = "SELECT user_id::VARCHAR AS call_id, max(json_extract_string(props, '$.k')::BIGINT) AS total, max(json_extract_string(props, '$.k')::BIGINT) AS deltas FROM events GROUP BY 1"
+USAGE_TOTALS_SQL = "WITH e AS (SELECT user_id, CASE WHEN event_type <> 'signup' THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events) SELECT user_id::VARCHAR AS call_id, coalesce(max(k), 0) AS total, coalesce(max(k), 0) AS deltas FROM e GROUP BY 1"
+
+
+def stream_paragraph_states(spark, d):
+    """Events as what happens to paragraphs (a code) of documents (a user): the last state of each, a purchase ending the document's run."""
+    kind = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "succeeded").when(F.col("event_type") == "error", "review_failed").when(F.col("event_type") == "purchase", "finish").otherwise("skipped")
+    code = (F.get_json_object("props", "$.k").cast("int") % 5).cast("string")
+    made = lambda e: e.select(F.col("user_id").alias("doc_id"), F.when(kind != "finish", code).alias("paragraph_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.lit(None).cast("string").alias("reason"))
+    rows = _streamed(spark, d, "events", lambda e: S.checkpoint_documents(made(e)), ordered="event_id")
+    best = rows.groupBy("doc_id", "paragraph_id").agg(F.max_by(F.struct("status", "reason"), "batch_id").alias("b"))
+    return best.select("doc_id", "paragraph_id", "b.status", "b.reason")
+
+
+PARAGRAPH_STATES_SQL = """
+WITH RECURSIVE e AS (
+  SELECT user_id AS doc_id, json_extract_string(props, '$.k')::INT % 5 AS p, event_id,
+    CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'review_failed' WHEN 'purchase' THEN 'finish' ELSE 'skipped' END AS kind FROM events),
+first AS (SELECT doc_id, p, min(event_id) AS since FROM e WHERE kind <> 'finish' GROUP BY ALL),
+own AS (SELECT f.doc_id, f.p, e.kind, row_number() OVER (PARTITION BY f.doc_id, f.p ORDER BY e.event_id) AS n
+  FROM first f JOIN e ON e.doc_id = f.doc_id AND e.event_id >= f.since AND (e.p = f.p OR e.kind = 'finish')),
+walk AS (
+  SELECT doc_id, p, 1::BIGINT AS n, CASE WHEN kind = 'review_failed' THEN NULL ELSE kind END AS status, NULL::VARCHAR AS reason FROM own WHERE n = 1
+  UNION ALL
+  SELECT o.doc_id, o.p, o.n,
+    CASE WHEN o.kind = 'finish' THEN CASE WHEN status = 'pending' THEN 'failed' ELSE status END WHEN o.kind = 'review_failed' THEN CASE WHEN status = 'succeeded' THEN 'failed' ELSE status END
+      WHEN o.kind = 'pending' AND status IN ('succeeded', 'skipped') THEN status ELSE o.kind END,
+    CASE WHEN o.kind = 'finish' THEN CASE WHEN status = 'pending' THEN 'paragraph_not_completed' ELSE reason END WHEN o.kind = 'review_failed' THEN CASE WHEN status = 'succeeded' THEN 'quality_review_failed' ELSE reason END
+      WHEN o.kind = 'pending' AND status IN ('succeeded', 'skipped') THEN reason END
+  FROM walk w JOIN own o ON o.doc_id = w.doc_id AND o.p = w.p AND o.n = w.n + 1)
+SELECT doc_id, p::VARCHAR AS paragraph_id, status, reason FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY n DESC) = 1
+"""
+
+
+def stream_buckets(spark, d):
+    """Requests and codes by five-minute buckets from a stream of events in the order of time."""
+    rows = _streamed(spark, d, "events", lambda e: S.bucket_stream(e.withColumns({"ts": F.col("ts").cast("timestamp"), "tokens": F.get_json_object("props", "$.k").cast("long")})), ordered="ts")
+    best = rows.groupBy(F.col("window.start").cast("timestamp_ntz").alias("bucket_start")).agg(F.max_by(F.struct("requests", "tokens"), "batch_id").alias("b"))
+    return best.select("bucket_start", "b.requests", "b.tokens")
+
+
+STREAM_BUCKETS_SQL = "SELECT time_bucket(INTERVAL 5 minutes, ts) AS bucket_start, count(*) AS requests, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS tokens FROM events GROUP BY 1"
+
+
+def stream_calls_once(spark, d):
+    """Of repeated events of a call (a user's code) the number that remain, each kind of event once a call, whatever lies between them."""
+    made = lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("-", "user_id", F.get_json_object("props", "$.k")).alias("call_id"), F.col("event_type").alias("event"))
+    rows = _streamed(spark, d, "events", lambda e: S.dedupe_calls(made(e), "10000 days"), mode="append")
+    return rows.groupBy("event").agg(F.count("*").alias("calls"))
+
+
+CALLS_ONCE_SQL = "SELECT event_type AS event, count(*) AS calls FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k, event_type FROM events) GROUP BY 1"
 
 
-QUERIES = {f.__name__: f for f in (region_assign, formula_region, element_assign, overlaps, protected_elements, line_metrics, paragraph_boxes, line_spacing, doc_flags, box_functions, char_lines, stream_task_feed, stream_usage_totals)}
+QUERIES = {f.__name__: f for f in (region_assign, formula_region, element_assign, overlaps, protected_elements, line_metrics, paragraph_boxes, line_spacing, doc_flags, box_functions, char_lines, stream_task_feed, stream_usage_totals, stream_paragraph_states, stream_buckets, stream_calls_once)}
 SQL = {
     "region_assign": REGION_SQL, "formula_region": FORMULA_REGION_SQL, "element_assign": ELEMENT_SQL, "overlaps": OVERLAPS_SQL, "protected_elements": PROTECTED_SQL, "line_metrics": LINE_METRICS_SQL, "paragraph_boxes": PARAGRAPH_BOXES_SQL, "line_spacing": LINE_SPACING_SQL, "doc_flags": DOC_FLAGS_SQL,
     "box_functions": BOX_FUNCTIONS_SQL, "stream_task_feed": TASK_FEED_SQL, "stream_usage_totals": USAGE_TOTALS_SQL,
+    "stream_paragraph_states": PARAGRAPH_STATES_SQL, "stream_buckets": STREAM_BUCKETS_SQL, "stream_calls_once": CALLS_ONCE_SQL,
 }
