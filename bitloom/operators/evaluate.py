@@ -21,12 +21,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     docs' texts are unique: copies are to be folded before (see text_classes). With ``other``, pairs of docs with other's rows.
     Candidates share one of a text's rarest shingles: a pair at the threshold shares all but few of the smaller's, so its
-    (1 - threshold) * n + 1 rarest must meet; texts of under SHORT_TEXT words, which may share none, meet on character trigrams.
+    (1 - threshold) * n + 1 rarest must meet; texts of under SHORT_TEXT words, which may share none, meet on words or parts of words.
     Texts of under ``shortest`` characters are not looked for inside others; with 1, all are.
     """
     side = lambda df, tag: df.select(F.col(id_col).alias("id"), F.lit(tag).alias("side"), T.squeeze(F.lower(text_col)).alias("t")).where("t <> ''")
     rows = side(docs, 0) if other is None else side(docs, 0).unionByName(side(other, 1))
-    rows = cut(rows.withColumn("g", F.transform(T.shingles(F.col("t"), k), lambda x: F.xxhash64(x))).withColumn("n", F.size("g")).withColumn("words", T.word_count(F.col("t"))))
+    rows = cut(rows.withColumn("g", T.shingle_hashes(F.split("t", " "), k)).withColumn("n", F.size("g")).withColumn("words", T.word_count(F.col("t"))))
     grams = rows.where("n > 0").select("side", "id", "n", F.explode("g").alias("gram"))
     # a gram is shared by the pair only if two rows have it; common ones are never expanded where a rarer one serves
     if other is not None:  # a pair has a gram from each side: those of the smaller side first, so that the larger side's others are never shuffled again
@@ -45,25 +45,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = ranked.select("gram", F.col("side").alias("s2"), F.col("id").alias("i2"), F.col("n").alias("n2"))
     apart = "(s1 <> s2)" if other is not None else "(i1 <> i2)"
     pairs = keys.join(every, "gram").where(f"n1 <= n2 + 2 and {apart}").select("s1", "i1", "s2", "i2").distinct()
-    tiny = inside_candidates(rows.where((F.col("words") < SHORT_TEXT) & (F.length("t") >= shortest)), rows).where(apart)
+    tiny = inside_candidates(rows.where((F.col("words") < SHORT_TEXT) & (F.length("t") >= shortest)), rows, other is not None).where(apart)
     return _verified(rows, pairs.unionByName(tiny).distinct(), threshold, other is not None)
 
 
-def inside_candidates(short: DataFrame, rows: DataFrame) -> DataFrame:
-    """(s1, i1, s2, i2): rows whose text may contain a short one's. Both: side, id, t.
+def inside_candidates(short: DataFrame, rows: DataFrame, across: bool = False) -> DataFrame:
+    """(s1, i1, s2, i2): rows whose text may contain a short one's; with ``across``, of the other side only. Both: side, id, t, with single spaces between words.
 
-    They meet on the short text's rarest character trigram; one of one or two characters on itself, as a run of the other's.
+    A text of three words and more is met on the rarest of its inner words, which are whole words of any text around it. Of one or
+    two words, the longer one is part of a word of the other text: such words are looked for among all different words, by their
+    rarest three characters, and by themselves if they are shorter.
     """
     own, every = ([F.col("side").alias(f"s{n}"), F.col("id").alias(f"i{n}")] for n in (1, 2))
-    runs = lambda *sizes: F.explode(F.array_distinct(F.concat(*(T.ngrams(T.characters(F.col("t")), k, "") for k in sizes)))).alias("tri")
-    short_tri = short.where(F.length("t") >= 3).select(*own, runs(3))
-    every_tri = rows.select(*every, runs(3)).join(short_tri.select("tri").distinct(), "tri")
-    weight = every_tri.groupBy("tri").agg(F.count("*").alias("df"))
-    rarest = short_tri.join(weight, "tri").groupBy("s1", "i1").agg(F.min_by("tri", F.struct("df", "tri")).alias("tri"))
-    found = rarest.join(every_tri, "tri").drop("tri")
-    whole = short.where("length(t) between 1 and 2").select(*own, F.col("t").alias("tri"))
-    # most tables have no such text, and then no text is taken apart for them
-    return found if whole.isEmpty() else found.unionByName(whole.join(rows.select(*every, runs(1, 2)), "tri").drop("tri"))
+    words = F.split("t", " ")
+    places = rows.select(*every, F.explode(F.array_distinct(words)).alias("word"))
+    asked = short.select(*own, words.alias("w"))
+    inner = asked.where("size(w) > 2").select("s1", "i1", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    often = places.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    keys = inner.join(often, "word").groupBy("s1", "i1").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    longer = lambda w: F.when(F.length(w[0]) >= F.length(F.coalesce(F.get(w, 1), F.lit(""))), w[0]).otherwise(F.get(w, 1))
+    parts = asked.where("size(w) between 1 and 2").select("s1", "i1", longer(F.col("w")).alias("part")).where("part <> ''")
+    if not parts.isEmpty():  # most tables have no such text, and then no word is taken apart for them
+        named = parts.select("part").distinct()
+        few = named.where("length(part) < 3")
+        runs = lambda c, *sizes: F.explode(F.array_distinct(F.concat(*(T.character_runs(F.col(c), k) for k in sizes)))).alias("run")
+        wanted = named.where("length(part) >= 3").select("part", runs("part", 3)).unionByName(few.select("part", F.col("part").alias("run")))
+        sizes = (3,) if few.isEmpty() else (1, 2, 3)
+        pieces = cut(places.select("word").distinct().select("word", runs("word", *sizes)).join(wanted.select("run").distinct(), "run", "left_semi"))
+        weight = pieces.groupBy("run").agg(F.count("*").alias("n"))
+        rarest = wanted.join(weight, "run").groupBy("part").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+        around = rarest.join(pieces, "run").where(F.contains("word", F.col("part"))).select("part", "word").distinct()
+        keys = keys.unionByName(parts.join(around, "part").select("s1", "i1", "word"))
+    met = keys.withColumnRenamed("word", "key").join(places, (F.col("key") == F.col("word")) & (F.col("s1") != F.col("s2")) if across else F.col("key") == F.col("word"))
+    return met.select("s1", "i1", "s2", "i2").distinct()
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, across: bool) -> DataFrame:

@@ -63,7 +63,7 @@ def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -
 
 def _holders(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """asked with the stored paragraphs of its document that may contain it: those with the query's rarest run of three characters there; all of the document's for a shorter query."""
-    runs = lambda c: F.explode(F.array_distinct(T.ngrams(T.characters(F.col(c)), 3, ""))).alias("run")
+    runs = lambda c: F.explode(F.array_distinct(T.character_runs(F.col(c), 3))).alias("run")
     own = stored.join(asked.select("doc_fingerprint").distinct(), "doc_fingerprint", "left_semi")
     long = asked.where("length(wanted) >= 3")
     wanted = long.select("doc_fingerprint", "query_id", runs("wanted"))
@@ -161,11 +161,11 @@ def history_prune(df: DataFrame, group: str, at: str, now: float, n: int = 128,
 
 def output_pages(pages: DataFrame, layout: str = "normal", translation_first: bool = False) -> DataFrame:
     """(doc_id, out_page, page) for pages (doc_id, page): the source page that each page of an output shows, from 1. layout "alternating": every page twice, negative where it shows the original."""
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    rows = pages.select("doc_id", "page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")).alias("nth"))
     if layout == "normal":
-        return pages.select("doc_id", nth.cast("int").alias("out_page"), "page")
+        return rows.select("doc_id", F.col("nth").cast("int").alias("out_page"), "page")
     pair = F.array(F.col("page"), -F.col("page")) if translation_first else F.array(-F.col("page"), F.col("page"))
-    return pages.select("doc_id", nth.alias("nth"), F.posexplode(pair).alias("half", "page")).select("doc_id", (F.col("nth") * 2 - 1 + F.col("half")).cast("int").alias("out_page"), "page")
+    return rows.select("doc_id", "nth", F.posexplode(pair).alias("half", "page")).select("doc_id", (F.col("nth") * 2 - 1 + F.col("half")).cast("int").alias("out_page"), "page")
 
 
 def generation_switch(history: DataFrame, fingerprint: str) -> DataFrame:

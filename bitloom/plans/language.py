@@ -201,7 +201,7 @@ def memory_contained(spark, d):
     short = items.where(~long)
     if not short.isEmpty():
         side = lambda df, i, t, n: df.select(F.lit(n).alias("side"), F.col(i).alias("id"), F.col(t).alias("t"))
-        pairs = inside_candidates(side(short, "item_id", "q", 1), side(docs, "doc_id", "t", 0)).select(F.col("i1").alias("item_id"), F.col("i2").alias("doc_id"))
+        pairs = inside_candidates(side(short, "item_id", "q", 1), side(docs, "doc_id", "t", 0), True).select(F.col("i1").alias("item_id"), F.col("i2").alias("doc_id"))
         near = near.unionByName(pairs.join(short, "item_id").select("doc_id", "item_id", "q").distinct())
     hit = near.join(docs, "doc_id").where(F.contains("t", F.col("q")))
     return hit.groupBy("item_id").agg(F.count("*").alias("documents"), F.min_by("doc_id", F.struct(F.length("t"), -F.col("doc_id"))).alias("best_doc_id"))
