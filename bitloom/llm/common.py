@@ -38,8 +38,10 @@ def stay(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> D
     gone = decisions.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[id_col].alias("__id"), F.xxhash64(ascii_lower(docs[text_col])).alias("__same"))
     left = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("__id", "__same").orderBy("__same"))
-    return left.withColumn("__nth", nth).where("__nth = 1 or __id is null").select("__row.*")
+    # rows without an id all stay, so they may be spread
+    salt = F.when(F.col("__id").isNull(), F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy("__id", "__same", "__salt").orderBy("__same"))
+    return left.withColumn("__salt", salt).withColumn("__nth", nth).where("__nth = 1 or __id is null").select("__row.*")
 
 
 def few_by_hash(df: DataFrame, id_col: str, rows: int) -> DataFrame:
@@ -54,6 +56,19 @@ def few_by_hash(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return near.orderBy(h, id_col).limit(rows)
 
 
+def bounded(texts: DataFrame, rows: int, size: int) -> DataFrame:
+    """Of texts (text and other columns, each text once), those with the smallest hashes of their text: at most ``rows`` rows and ``size`` bytes.
+
+    Rows and bytes are bounded before anything is gathered: a running sum over at most ``rows`` hashes and lengths says where to
+    stop. A text that does not fit ends the sample only for itself.
+    """
+    h = F.xxhash64("text")
+    some = cut(few_by_hash(texts.select(h.alias("__hash"), F.octet_length("text").alias("__bytes")), "__hash", rows))
+    upto = F.sum(F.when(F.col("__bytes") <= size, F.col("__bytes"))).over(Window.orderBy("__hash").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = some.where(F.col("__bytes") <= size).withColumn("__upto", upto).where(F.col("__upto") <= size).select("__hash").distinct()
+    return texts.withColumn("__hash", h).join(F.broadcast(chosen), "__hash", "left_semi").drop("__hash")
+
+
 def power_of_two(n: float, least: int = 1, most: int = 1 << 20) -> int:
     """The smallest power of two that is n or more, within limits."""
     k = least

@@ -104,7 +104,7 @@ def _merge(digests: np.ndarray, ids: np.ndarray, known: np.ndarray, counts: np.n
     """One entry per digest in the digests' order: the kept identifier (an unknown one gives way) and the sum of counts."""
     size = digests.shape[1]
     keys = np.ascontiguousarray(digests).view(f"V{size}")[:, 0] if size > 1 else digests[:, 0]
-    order = np.lexsort((ids, known)) if largest else np.lexsort((-ids, known))
+    order = np.lexsort((ids, known)) if largest else np.lexsort((~ids, known))
     order = order[np.argsort(keys[order], kind="stable")]
     keys = keys[order]
     last = np.r_[keys[1:] != keys[:-1], True] if len(keys) else np.zeros(0, dtype=bool)
@@ -115,7 +115,7 @@ def _merge(digests: np.ndarray, ids: np.ndarray, known: np.ndarray, counts: np.n
 
 
 def _flush(size: int, buckets: int, largest: bool, memtable_rows: int):
-    """Rows (doc_id, digest) to segments of sorted runs."""
+    """Rows (id, known, digest) to segments of sorted runs. No column has nulls, as pandas would turn an identifier beside one into a rounded number."""
 
     def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -132,9 +132,7 @@ def _flush(size: int, buckets: int, largest: bool, memtable_rows: int):
             return pd.DataFrame(out, columns=["bucket", "run", "n", "digests", "ids", "known", "counts"])
 
         for batch in batches:
-            ids = batch["doc_id"]
-            known = ids.notna().to_numpy().astype(np.int8)
-            held.append((_matrix(batch["digest"], size), ids.fillna(0).to_numpy().astype(np.int64), known, np.ones(len(batch), dtype=np.int64)))
+            held.append((_matrix(batch["digest"], size), batch["id"].to_numpy(np.int64), batch["known"].to_numpy(np.int8), np.ones(len(batch), dtype=np.int64)))
             rows += len(batch)
             if rows >= memtable_rows:
                 yield run()
@@ -179,7 +177,8 @@ def _compact(size: int, largest: bool):
 def build_index(digests: DataFrame, size: int = 32, keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """The compacted index over digests (doc_id, digest): one row per bucket, with sorted digests, identifiers, counts and a filter over those of more than one row."""
     buckets = power_of_two(digests.count() / BUCKET_ROWS)
-    runs = digests.mapInPandas(_flush(size, buckets, keep == "largest", memtable_rows), SEGMENT)
+    told = digests.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().cast("byte").alias("known"), "digest")
+    runs = told.mapInPandas(_flush(size, buckets, keep == "largest", memtable_rows), SEGMENT)
     dealt = runs.repartition(buckets, "bucket") if buckets > 1 else runs.repartition("bucket")
     return cut(dealt.sortWithinPartitions("bucket", "run").mapInPandas(_compact(size, keep == "largest"), LEVEL))
 
@@ -223,6 +222,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep: "smallest" or "largest", the identifier that stays in a group; a null identifier stays only in a group that
     has no other. Rows that repeat the kept identifier are all marked as kept. Bytes decide, not digests: texts that
     share a digest without being equal form groups of their own. An empty table gives an empty result. Other columns are not read.
+    Identifiers are whole numbers of up to 64 bits (or text that says one; other text is an error, as Spark's cast has it).
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")

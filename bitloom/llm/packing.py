@@ -235,12 +235,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = rows.where(~loose).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     names = rows.columns
 
-    def packed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def packed(part: pa.Table) -> pa.Table:
+        # Arrow, as pandas would round identifiers beside a null
+        part = part.take(pc.sort_indices(part, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
         at, offset = sum_of_squares(part["length"].to_numpy(), capacity)
-        part["sequence_id"] = (part["__group"].to_numpy() * GROUP_PIECES * 4 + at) * 2
-        part["offset"] = offset
-        return part[[*names, "sequence_id", "offset"]]
+        sequence = (part["__group"].to_numpy() * GROUP_PIECES * 4 + at) * 2
+        return part.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     dealt = rows.where(loose).withColumn("__group", by_id)
     # groups of over twice the size, which only shared ids make, are dealt by row into as many as they need, numbered after the others
@@ -253,7 +253,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         place = F.pmod(F.xxhash64("__row"), F.col("__parts"))
         dealt = dealt.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(split), "__group", "left").withColumn("__group", F.coalesce(F.col("__first") + place, "__group")).drop("__row", "__first", "__parts")
     schema = full.schema
-    return full.unionByName(dealt.groupBy("__group").applyInPandas(packed, schema))
+    return full.unionByName(dealt.groupBy("__group").applyInArrow(packed, schema))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

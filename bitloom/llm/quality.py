@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut, few_by_hash, prepare, text_of
+from bitloom.llm.common import bounded, cut, few_by_hash, prepare, text_of
 
 #: Labelled rows that the network is fitted on, at most; which ones follows from a hash of the identifier.
 SAMPLE_ROWS = 4_000
+#: Bytes of all their texts, at most.
+SAMPLE_BYTES = 16 << 20
 FILTERS, WIDTH, HIDDEN = 16, 5, 24
 #: Bytes of a chunk and between the starts of chunks; both whole numbers of BLOCK.
 BLOCK, CHUNK, STEP = 64, 512, 448
@@ -172,13 +174,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, allowed: Column | None = None) -> DataFrame:
-    """(text, label): at most so many labelled rows, those with the smallest hashes of their id, copies once; a null label or id is none. The chosen ids, bounded by ``rows``, are broadcast."""
+    """(text, label): at most ``rows`` texts of labelled rows, copies once, and SAMPLE_BYTES of them; a null label or id is none.
+
+    First the ids with the smallest hashes, which are broadcast, then the texts with the smallest hashes, as an id may have many texts.
+    """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if allowed is not None:
         some = some.where(allowed)
     each = some.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label"))
     chosen = cut(few_by_hash(each, "__id", rows))
-    return docs.select(docs[id_col].alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id").groupBy("text").agg(F.max("__label").alias("label"))
+    found = docs.select(docs[id_col].alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    return bounded(cut(found.groupBy("text").agg(F.max("__label").alias("label"))), rows, SAMPLE_BYTES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, allowed: Column | None = None) -> Network | None:

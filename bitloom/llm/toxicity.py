@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut, few_by_hash, prepare, text_of
+from bitloom.llm.common import bounded, cut, few_by_hash, prepare, text_of
 
 #: Labelled rows that the model is fitted on, at most; which ones follows from a hash of the identifier.
 SAMPLE_ROWS = 10_000
+#: Bytes of all their texts, at most; the texts stay in tasks.
+SAMPLE_BYTES = 256 << 20
 #: Of six parts of the sample, those that words are learned on and those that trees are fitted on; the rest is for calibration.
 WORD_PARTS, TREE_PARTS = (0, 1, 2), (3, 4)
 #: Learned beginnings: their lengths, the documents' words that have one at least, and the share of those in toxic documents.
@@ -30,14 +32,17 @@ NOWHERE = 1e12
 TREES, DEPTH, RATE, BINS, LEAF_ROWS = 60, 3, 0.2, 32, 5
 
 # English words of abuse, pronouns of the second person in four languages, characters used in place of letters.
-ABUSE = frozenset(
-    "asshole bastard bitch bonehead clown coward creep crap cretin cunt degenerate despicable dimwit disgrace disgusting "
-    "dumb dumbass dunce failure fool freak fucker fucking garbage gross halfwit hideous idiot idiotic ignorant imbecile "
-    "jackass jerk lazy liar lunatic loser lowlife maggot moron moronic nitwit parasite pathetic pig psycho rat repulsive "
-    "retard retarded rubbish scum scumbag shit slut stupid subhuman suck sucks swine trash trashy twit ugly useless vermin "
-    "vile weakling whore worthless wretch".split()
-)
-SECOND_PERSON = frozenset("you your yours yourself yourselves u ur ya thou thee dich dir du dein deine euch euer ihr ihnen sie te tu ti tus vos usted ustedes vosotros vous votre vos toi ton ta tes".split())
+ABUSE = frozenset((
+    "asshole", "bastard", "bitch", "bonehead", "clown", "coward", "creep", "crap", "cretin", "cunt", "degenerate", "despicable", "dimwit", "disgrace",
+    "disgusting", "dumb", "dumbass", "dunce", "failure", "fool", "freak", "fucker", "fucking", "garbage", "gross", "halfwit", "hideous", "idiot",
+    "idiotic", "ignorant", "imbecile", "jackass", "jerk", "lazy", "liar", "lunatic", "loser", "lowlife", "maggot", "moron", "moronic", "nitwit",
+    "parasite", "pathetic", "pig", "psycho", "rat", "repulsive", "retard", "retarded", "rubbish", "scum", "scumbag", "shit", "slut", "stupid",
+    "subhuman", "suck", "sucks", "swine", "trash", "trashy", "twit", "ugly", "useless", "vermin", "vile", "weakling", "whore", "worthless", "wretch",
+))
+SECOND_PERSON = frozenset((
+    "you", "your", "yours", "yourself", "yourselves", "u", "ur", "ya", "thou", "thee", "dich", "dir", "du", "dein", "deine", "euch", "euer", "ihr", "ihnen", "sie", "te", "tu", "ti", "tus",
+    "vos", "usted", "ustedes", "vosotros", "vous", "votre", "vos", "toi", "ton", "ta", "tes",
+))
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
 
 FEATURES = 18
@@ -228,7 +233,7 @@ def _unlearned() -> Model:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, allowed: Column | None = None) -> DataFrame:
     """(part, text, label): at most so many labelled rows, each in one of six parts by its id, those with the smallest hashes of their id; a null label or id is none.
 
-    The ids, bounded by ``rows``, are broadcast to the documents. An id that repeats gives its label's largest value and all its texts.
+    The ids, bounded by ``rows``, are broadcast to the documents. An id that repeats gives its label's largest value and all its texts; fit() bounds those.
     """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if allowed is not None:
@@ -239,9 +244,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, allowed: Column | None = None) -> Model:
-    """Fit on at most ``rows`` labelled rows, copies once: words, trees and calibration each on a part of their own, so that each is honest evidence for the next."""
+    """Fit on at most ``rows`` texts of labelled rows, copies once, and SAMPLE_BYTES of them: words, trees and calibration each on a part of their own, so that each is honest evidence for the next."""
     prepare(docs.sparkSession)
     known = cut(sample(docs, labels, id_col, text_col, label_col, rows, allowed).groupBy("text").agg(F.min("part").alias("part"), F.max("label").alias("label")))
+    known = cut(bounded(known, rows, SAMPLE_BYTES))
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
     by_word = known.where(F.col("part").isin(*WORD_PARTS)).select("label", word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
     stems = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))

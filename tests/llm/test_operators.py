@@ -746,3 +746,38 @@ def test_exact_groups_in_parts_and_without_filters(spark, monkeypatch):
         for size in (32, 1):
             got = exact_dedup.exact_groups(frame, keep="largest", size=size).select("doc_id", "keep_id", "group_size")
             assert rows(got) == sorted(want, key=repr)
+
+
+# --- identifiers beyond the exact range of doubles, and samples
+
+
+WIDE = [2**60 + 1, 2**60 + 3, 2**60 + 5, 2**60 + 7]
+
+
+@pytest.mark.parametrize("keep,want", [("largest", 2**60 + 7), ("smallest", 2**60 + 1)])
+def test_wide_ids_beside_nulls_stay_exact_in_groups(spark, keep, want):
+    made = spark.createDataFrame([(i, "the same text") for i in [*WIDE, None]] + [(-(2**63), "low"), (2**63 - 1, "low")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(made, keep=keep).collect()}
+    assert {i: got[i] for i in [*WIDE, None]} == {i: (want, 5, i == want) for i in [*WIDE, None]}
+    assert got[-(2**63)][0] == (2**63 - 1 if keep == "largest" else -(2**63))
+    assert {r["doc_id"] for r in exact_dedup.keep_one(made, keep=keep).collect()} == {want, None, got[-(2**63)][0]}
+
+
+def test_wide_ids_beside_nulls_stay_exact_in_packing(spark):
+    made = spark.createDataFrame([(i, k, 100 + k, 0) for k, i in enumerate([*WIDE, None, *WIDE])], "doc_id long, piece int, length long, start long").coalesce(1)
+    out = packing.pack(made, 256).toPandas()
+    got = packing.pack(made, 256).select("doc_id", "piece", "length").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, k, 100 + k) for k, i in enumerate([*WIDE, None, *WIDE])), key=repr)
+    check_packing(out, 256)
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    texts = spark.range(10_000).selectExpr("1L as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(2, "other"), (3, "z" * 5000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    got = quality.sample(texts, labels, "doc_id", "text", "quality", 10).collect()
+    assert 0 < len(got) <= 10
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    got = quality.sample(texts, labels, "doc_id", "text", "quality", 9000).collect()
+    assert 0 < sum(len(r["text"]) for r in got) <= 1000
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 16)
+    assert toxicity.fit(texts, labels.withColumnRenamed("quality", "toxic"), rows=50) is not None
