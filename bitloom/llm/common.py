@@ -69,6 +69,26 @@ def bounded(texts: DataFrame, rows: int, size: int) -> DataFrame:
     return texts.withColumn("__hash", h).join(F.broadcast(chosen), "__hash", "left_semi").drop("__hash")
 
 
+#: Rows of a table of offsets that are sent to every executor, at most; a longer table is joined by shuffling.
+OFFSET_ROWS = 200_000
+
+
+def ranked(df: DataFrame, part: str, order: list) -> DataFrame:
+    """df with rank (from 0, in its part by ``order``) and n (rows of its part), written once.
+
+    Rows are sorted in ranges, so a hot part lies in many tasks; each range's first rank is the sum of the counts of the ranges before it.
+    """
+    rows = cut(df.orderBy(part, *order).withColumn("__at", F.monotonically_increasing_id()))
+    here = F.shiftright("__at", 33)
+    runs = rows.groupBy(F.col(part).alias("__part"), here.alias("__of")).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    own = Window.partitionBy("__part")
+    before = F.coalesce(F.sum("__rows").over(own.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = cut(runs.select("__part", "__of", (F.col("__first") - before).alias("__less"), F.sum("__rows").over(own).alias("n")))
+    runs = F.broadcast(runs) if runs.count() <= OFFSET_ROWS else runs
+    met = rows.join(runs, F.col(part).eqNullSafe(F.col("__part")) & (here == F.col("__of")))
+    return met.select(*df.columns, (F.col("__at") - F.col("__less")).alias("rank"), "n")
+
+
 def power_of_two(n: float, least: int = 1, most: int = 1 << 20) -> int:
     """The smallest power of two that is n or more, within limits."""
     k = least

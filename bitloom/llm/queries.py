@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import exact_dedup, media_tiff, mixing, packing, pii, quality, sharding, simhash, toxicity, url_filters
+from bitloom.llm import exact_dedup, media_tiff, merkle, mixing, packing, pii, quality, sharding, simhash, toxicity, url_filters
 
 #: The tokenizer's vocabulary file; a name that the tokenizer package resolves.
 VOCABULARY = "word_bpe_49k.json"
@@ -116,6 +116,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = F.when(hit, merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]))
+    proved = merkle.prove(merkle.manifest(docs, carry={"doc_id": F.col("doc_id"), "changed": changed}))
+    own = merkle.hex_of(F.col("digest"))
+    folded = proved.select("doc_id", own.alias("leaf"), "subroot", "root", merkle.digest(merkle.proof_text(F.col("path"))).alias("proof_sha256"), merkle.fold(F.coalesce("changed", own), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _tree_sql(shards: list[sharding.Shard]) -> str:
     """The descent as one SQL expression over a column named key."""
     weight: dict[tuple[int, ...], float] = {}
@@ -237,6 +247,44 @@ FROM normal
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) r(n)),
+told AS (
+  SELECT row_number() OVER () AS id, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS part,
+    coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS size, coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1), '-') AS more, coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail,
+    list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+leaves AS (
+  SELECT id, doc_id, part, sha256(head || size || tail) AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 THEN sha256(head || more || tail) ELSE sha256(head || size || tail) END AS given
+  FROM told, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n FROM leaves),
+up AS (
+  SELECT part, 0 AS level, pos, leaf AS d, n FROM placed
+  UNION ALL SELECT part, level + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY part, level, pos // 2, n),
+parts AS (SELECT part, d AS subroot, row_number() OVER (ORDER BY part) - 1 AS place, count(*) OVER () AS parts FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS level, place AS pos, subroot AS d, parts AS n FROM parts
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM over WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT p.id, u.level, CASE WHEN u.pos < p.pos >> u.level THEN u.d ELSE '' END AS l, CASE WHEN u.pos > p.pos >> u.level THEN u.d ELSE '' END AS r
+  FROM placed p JOIN up u ON p.part = u.part AND u.n > 1 AND u.pos // 2 = p.pos >> (u.level + 1)
+  UNION ALL
+  SELECT p.id, 1000 + o.level, CASE WHEN o.pos < q.place >> o.level THEN o.d ELSE '' END, CASE WHEN o.pos > q.place >> o.level THEN o.d ELSE '' END
+  FROM placed p JOIN parts q USING (part) JOIN over o ON o.n > 1 AND o.pos // 2 = q.place >> (o.level + 1)),
+joined AS (SELECT id, level, string_agg(l, '') AS l, string_agg(r, '') AS r FROM steps GROUP BY id, level),
+paths AS (SELECT id, list({'l': l, 'r': r} ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS proof FROM joined GROUP BY id),
+folded AS (
+  SELECT p.*, q.subroot, (SELECT d FROM over WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    (list_reduce(list_prepend({'l': given, 'r': ''}, coalesce(path, [])), lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''})).l AS folded_root
+  FROM placed p JOIN parts q USING (part) LEFT JOIN paths USING (id))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -255,9 +303,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle": op11_merkle,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_merkle": OP11_SQL}
