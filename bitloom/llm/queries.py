@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import exact_dedup, media_tiff, merkle, mixing, packing, pii, quality, sharding, simhash, toxicity, url_filters
+from bitloom.llm import exact_dedup, media_tiff, merkle, mixing, packing, pii, quality, resample, sharding, simhash, toxicity, url_filters
 
 #: The tokenizer's vocabulary file; a name that the tokenizer package resolves.
 VOCABULARY = "word_bpe_49k.json"
@@ -126,6 +126,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _tree_sql(shards: list[sharding.Shard]) -> str:
     """The descent as one SQL expression over a column named key."""
     weight: dict[tuple[int, ...], float] = {}
@@ -285,6 +289,31 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) r(n)),
+texts AS (SELECT 0 AS part, doc_id, row_number() OVER () AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), coalesce(text, '') FROM benchmark),
+listed AS (SELECT part, doc_id, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS words FROM texts),
+each AS (SELECT part, id, unnest(words) AS word FROM listed),
+sums AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM each), crc),
+counts AS (SELECT bucket, count(*) FILTER (part = 0) AS s, count(*) FILTER (part = 1) AS t FROM each JOIN sums USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts),
+weights AS (SELECT id, sum(gain)::BIGINT AS weight FROM each JOIN sums USING (word) JOIN gains USING (bucket) WHERE part = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, l.id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM listed l LEFT JOIN weights w ON l.id = w.id WHERE part = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -304,9 +333,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle": op11_merkle,
+        "op12_resampling": op12_resampling,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_resampling": OP12_SQL}
