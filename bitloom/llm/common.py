@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,13 @@ from bitloom.functions.storage import cut  # noqa: F401  (for this package)
 BATCH_ROWS = 1024
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the checkpoint folder, which the driver and all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by rows, unless the session's owner has chosen otherwise."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import exact_dedup, media_tiff, merkle, mixing, packing, pii, quality, resample, sharding, simhash, toxicity, url_filters
+from bitloom.llm import exact_dedup, media_tiff, merkle, mixing, packing, pii, quality, resample, sharding, simhash, toxicity, url_filters, warc
+from bitloom.llm.common import shared_folder
 
 #: The tokenizer's vocabulary file; a name that the tokenizer package resolves.
 VOCABULARY = "word_bpe_49k.json"
@@ -130,6 +131,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder, "page_id", "html", "url")
+    back = warc.resolve(warc.read(spark, folder, payloads=False))
+    return back.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _tree_sql(shards: list[sharding.Shard]) -> str:
     """The descent as one SQL expression over a column named key."""
     weight: dict[tuple[int, ...], float] = {}
@@ -314,6 +322,17 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+OP13_SQL = """
+WITH seen AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS id FROM pages),
+sums AS (SELECT page_id, html, id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM seen),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, id) AS place, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, id) AS best FROM sums)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN best END AS refers_to
+FROM ranked
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -334,9 +353,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle": op11_merkle,
         "op12_resampling": op12_resampling,
+        "op13_warc": op13_warc,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_resampling": OP12_SQL}
+    return {"op1_sharding": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_resampling": OP12_SQL, "op13_warc": OP13_SQL}
