@@ -393,10 +393,19 @@ def reference_flags(spark, d):
     return P.reference_flags(rows.withColumn("text", text)).groupBy("doc_id").agg(F.count_if("is_reference").alias("references"), F.count("*").alias("paragraphs"))
 
 
+def _fragments(spark, d) -> DataFrame:
+    """Every paragraph as two fragments, cut after half of its characters, with a hyphen where that is inside a word; the second stands in the next column."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    left = F.when(left.rlike("[A-Za-z]$") & right.rlike("^[A-Za-z]"), F.concat(left, F.lit("-"))).otherwise(left)
+    rows = _paged(spark, d).select("doc_id", "page", "label", "para_idx", F.posexplode(F.array(left, right)).alias("nth", "text"))
+    place = {"para_idx": F.col("para_idx") * 2 + F.col("nth"), "x": F.col("nth") * 100.0, "x2": F.col("nth") * 100.0 + 90, "y2": F.col("nth") * 100.0}
+    return rows.withColumns(place).drop("nth")
+
+
 def continuations(spark, d):
-    rows = _paged(spark, d).withColumn("x", F.col("para_idx").cast("double")).withColumn("x2", F.col("x"))
-    out = P.continuation_groups(rows.select("doc_id", "page", "para_idx", F.lower("text").alias("text"), "label", "x", "x2", "y2"))
-    return out.where("continuation_group is not null").select("doc_id", "para_idx", "continues", "continuation_group", F.length("previous_context").alias("before"), F.length("next_context").alias("after"))
+    out = P.continuation_groups(_fragments(spark, d))
+    return out.where("continuation_group is not null").select("doc_id", "para_idx", "continues", "continuation_group", F.length("previous_context").alias("before"), F.length("next_context").alias("after"), F.sha2("body_text", 256).alias("body_sha256"))
 
 
 def sentence_align(spark, d):
