@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,3 +37,14 @@ def add_by_group(df: DataFrame, keys: list[str], reads: list[str], added: dict[s
 
 def _type(ddl: str):
     return StructType.fromDDL(f"x {ddl}").fields[0].dataType
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n nodes and links a-b the smallest node that each reaches: the larger of two linked labels takes the smaller, until all links agree."""
+    label = np.arange(n)
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label != label[label]).any():
+            label = label[label]
+    return label

@@ -11,11 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from bitloom.functions import geometry as G
+from bitloom.functions.groups import add_by_group, components
 
 PAGE = ["doc_id", "page"]
+# Fixed value: the class of regions that are cells of tables with lines.
+CELL_CLASS = "wired_table_cell"
 CELL = 100.0
 
 
@@ -142,7 +144,9 @@ def line_spacing(lines: DataFrame, keys: list[str], order: str = "line_idx") ->
 def group_chars(chars: DataFrame, bullets: str = "•◦▪●○■□–*") -> DataFrame:
     """chars with para_idx, per page in reading order: a new paragraph on a change of region (unless at a space) or object and at a bullet after another region's end; characters of under 5 % of the page's median area stay with what is before them.
 
-    chars: doc_id, page, char_idx, char_unicode, region_id, xobj_id, box.
+    chars: doc_id, page, char_idx, char_unicode, region_id, xobj_id, box. With class_name (the region's) there too, paragraphs in cells of
+    wired tables that share region, object and direction (vertical, if there) become the first of them, wherever they stand: a
+    cell's text may be drawn in turns with its neighbours'. Their numbers leave gaps.
     """
     w = Window.partitionBy(*PAGE).orderBy("char_idx")
     size = (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y"))
@@ -153,7 +157,14 @@ def group_chars(chars: DataFrame, bullets: str = "•◦▪●○■□–*") ->
     rows = rows.withColumn("__r", F.coalesce(F.last(region, ignorenulls=True).over(w), F.lit(-1).cast("long")))
     line_start = F.coalesce(G.is_newline(F.lag(_box()).over(w), _box(), F.col("x2") - F.col("x")), F.lit(True))
     new = (F.lag("__r").over(w) != F.col("__r")) | ~F.lag("xobj_id").over(w).eqNullSafe(F.col("xobj_id")) | (F.lit(bullets).contains(F.col("char_unicode")) & (F.trim("char_unicode") != "") & line_start)
-    return rows.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("para_idx", F.sum("__new").over(w) - 1).drop("__median", "__r", "__new")
+    rows = rows.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("para_idx", F.sum("__new").over(w) - 1)
+    if "class_name" in chars.columns:
+        begins = Window.partitionBy(*PAGE, "para_idx").orderBy("char_idx")
+        upright = F.coalesce(F.col("vertical"), F.lit(False)) if "vertical" in chars.columns else F.lit(False)
+        rows = rows.withColumn("__cell", F.first(F.struct(F.col("class_name").eqNullSafe(CELL_CLASS).alias("is"), "region_id", "xobj_id", upright.alias("upright"))).over(begins))
+        cell = Window.partitionBy(*PAGE, "__cell")
+        rows = rows.withColumn("para_idx", F.when(F.col("__cell.is"), F.min("para_idx").over(cell)).otherwise(F.col("para_idx"))).drop("__cell")
+    return rows.drop("__median", "__r", "__new")
 
 
 def split_lines(chars: DataFrame, keys: list[str], step: float = 0.25, flat: float = 5.0) -> DataFrame:
@@ -167,29 +178,161 @@ def split_lines(chars: DataFrame, keys: list[str], step: float = 0.25, flat: flo
     return rows.withColumn("line_idx", F.sum("__new").over(w).cast("int")).drop("__new")
 
 
-def cluster_lines(chars: DataFrame, reach: float = 3.5) -> DataFrame:
-    """chars with band and line_idx per page: bands of characters that overlap vertically by over half the smaller height with the band's last; in a band, a gap of over ``reach`` mean widths starts another line."""
-    spec = StructType([*chars.schema.fields, StructField("band", IntegerType()), StructField("line_idx", IntegerType())])
+# Shares and multiples that decide what is a line.
+BAND_SHARE = 0.5  # of a character's size that lies in its band
+LINE_REACH = 3.5  # mean sizes between neighbours of a line
+TALL, VALLEY = 1.5, 0.5  # largest sizes: of a line that is split, and between the parts
+INSIDE_SHARE = 0.6  # of a line's area that lies in a larger one
+LEVEL_SHARE = 0.7  # of both lines' sizes that adjacent ones share
+GAP_BESIDE, GAP_BELOW = 1.5, 1.5  # mean sizes between adjacent lines, and down to where a line looks for others
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y2", "x", "char_idx"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        y, y2 = rows["y"].to_numpy(), rows["y2"].to_numpy()
-        band = np.zeros(len(rows), dtype=np.int32)
-        low, high, b = y[0], y2[0], 0
-        for i in range(len(rows)):
-            shared = min(high, y2[i]) - max(low, y[i])
-            if i and shared <= 0.5 * min(high - low, y2[i] - y[i]):
-                b, low, high = b + 1, y[i], y2[i]
-            band[i] = b
-        rows["band"] = band
-        rows = rows.sort_values(["band", "x", "char_idx"], kind="stable").reset_index(drop=True)
-        reach_by = reach * max(float((rows["x2"] - rows["x"]).mean()), 1e-9)
-        far = rows.groupby("band")["x2"].cummax().shift()
-        new = (rows["band"] != rows["band"].shift()) | (rows["x"] - far > reach_by)
-        rows["line_idx"] = (new.cumsum() - 1).astype("int32")
-        return rows[[f.name for f in spec]]
 
-    return chars.groupBy(*PAGE).applyInPandas(page, spec)
+def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A band for each interval, by their starts: the one that holds the largest share of it, over BAND_SHARE; of equal ones that which grew last. Bands are looked at from the last grown to the first that ends below."""
+    band, ends, grown = np.zeros(len(low), dtype=np.int64), [], []
+    for i in np.argsort(low, kind="stable").tolist():
+        best, share = None, BAND_SHARE
+        for b in reversed(grown):
+            if ends[b] < low[i]:
+                break
+            # a band starts no later than what comes after it
+            part = (min(high[i], ends[b]) - low[i]) / (high[i] - low[i]) if high[i] > low[i] else 0.0
+            if part > share:
+                best, share = b, part
+        if best is None:
+            best = len(ends)
+            ends.append(high[i])
+        else:
+            grown.remove(best)
+            ends[best] = max(ends[best], high[i])
+        grown.append(best)
+        band[i] = best
+    # bands in the order in which they last grew
+    return np.argsort(np.array(grown, dtype=np.int64))[band] if grown else band
+
+
+def _within_reach(points: np.ndarray, reach: float) -> np.ndarray:
+    """Single linkage: a label per point, the same for points that steps of ``reach`` or less connect (sums of distances by axis). Points are compared with those behind them by the first axis, as far as that axis allows."""
+    order = np.argsort(points[:, 0], kind="stable")
+    at, links = points[order], []
+    for k in range(1, len(at)):
+        step = np.abs(at[k:] - at[:-k])
+        if (step[:, 0] > reach).all():
+            break
+        i = np.flatnonzero(step.sum(axis=1) <= reach)
+        links.append(np.stack([i, i + k]))
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
+    label = np.empty(len(at), dtype=np.int64)
+    label[order] = components(len(at), a, b)
+    return label
+
+
+def _parts(members: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """members split by label, in the order in which labels come first."""
+    _, first, which = np.unique(label, return_index=True, return_inverse=True)
+    return [members[which == k] for k in np.argsort(first, kind="stable")]
+
+
+def _mean_size(sizes: np.ndarray, without: float) -> float:
+    sizes = sizes[sizes > 0]
+    return float(sizes.mean()) if len(sizes) else without
+
+
+def _runs(box: np.ndarray, along: int) -> list[np.ndarray]:
+    """Lines of the boxes (x, y, x2, y2) of one direction: bands across, single linkage in a band, and where a line is much taller than its characters a split at the valleys of its centres."""
+    low, high = box[:, 1 - along], box[:, 3 - along]
+    size, centre = box[:, 2 + along] - box[:, along], (box[:, :2] + box[:, 2:]) / 2
+    order = np.argsort(low, kind="stable")
+    out = []
+    band = _bands(low, high)
+    for b in range(int(band.max()) + 1 if len(band) else 0):
+        members = order[band[order] == b]
+        for line in _parts(members, _within_reach(centre[members], _mean_size(size[members], 10.0) * LINE_REACH)):
+            line = line[np.argsort(box[line, along], kind="stable")]
+            tallest = max((high[line] - low[line]).max(), 0.0)
+            if tallest > 0 and high[line].max() - low[line].min() > tallest * TALL and len(line) > 1:
+                middle = (low[line] + high[line])[:, None] / 2
+                out += _parts(line, _within_reach(middle, tallest * VALLEY))
+            else:
+                out.append(line)
+    return out
+
+
+def _frame(box: np.ndarray) -> np.ndarray:
+    return np.r_[box[:, :2].min(axis=0), box[:, 2:].max(axis=0)]
+
+
+def _becomes_one(a: np.ndarray, b: np.ndarray, along: int, sizes) -> str | None:
+    """"inside" if the smaller frame lies mostly in the other, "beside" if the two are level and near; sizes: of the characters of both, asked for only where it matters."""
+    shared = np.maximum(np.minimum(a[2:], b[2:]) - np.maximum(a[:2], b[:2]), 0.0)
+    smaller = min(float(np.prod(np.maximum(f[2:] - f[:2], 0.0))) for f in (a, b))
+    if smaller > 0 and float(np.prod(shared)) / smaller > INSIDE_SHARE:
+        return "inside"
+    across = 1 - along
+    tall = [f[2 + across] - f[across] for f in (a, b)]
+    gap = max(a[along], b[along]) - min(a[2 + along], b[2 + along])
+    if min(tall) <= 0 or shared[across] / max(tall) <= LEVEL_SHARE or gap < 0:
+        return None
+    return "beside" if gap < _mean_size(sizes(), 0.0) * GAP_BESIDE else None
+
+
+def lines_of(box: np.ndarray, vertical: np.ndarray) -> list[np.ndarray]:
+    """The lines of a page's boxes (x, y, x2, y2), from the top, each as its boxes in reading order."""
+    lines = []
+    for flag, along in ((False, 0), (True, 1)):
+        own = np.flatnonzero(vertical == flag)
+        lines += [own[line] for line in _runs(box[own], along)] if len(own) else []
+    centre = (box[:, :2] + box[:, 2:]) / 2
+    lines.sort(key=lambda line: (-float(np.mean(centre[line, 1])), float(np.mean(centre[line, 0]))))
+    frames, upright = [_frame(box[line]) for line in lines], [bool(vertical[line[0]]) for line in lines]
+    area = lambda f: float(np.prod(np.maximum(f[2:] - f[:2], 0.0)))
+    gone, out = set(), []
+    for i in range(len(lines)):
+        if i in gone:
+            continue
+        floor = _mean_size(box[lines[i], 3] - box[lines[i], 1], 0.0) * GAP_BELOW
+        for j in range(i + 1, len(lines)):
+            if j in gone:
+                continue
+            if frames[i][1] - frames[j][3] > floor:
+                break
+            along = int(upright[i])
+            both = [lines[i], lines[j]]
+            how = _becomes_one(frames[i], frames[j], along, lambda m=both, k=along: np.concatenate([box[x, 2 + k] - box[x, k] for x in m]))
+            if how is None:
+                continue
+            if how == "inside" and area(frames[j]) > area(frames[i]):  # the larger one leads
+                both.reverse()
+                upright[i] = upright[j]
+            gone.add(j)
+            lines[i] = np.concatenate(both)
+            frames[i] = np.r_[np.minimum(frames[i][:2], frames[j][:2]), np.maximum(frames[i][2:], frames[j][2:])]
+        out.append(lines[i][np.argsort(box[lines[i], int(upright[i])], kind="stable")])
+    return out
+
+
+def cluster_lines(chars: DataFrame) -> DataFrame:
+    """chars (doc_id, page, char_idx, box; vertical if there) with line_idx, from the top of the page, and line_pos, the place in the line.
+
+    Characters of one direction form bands across it, each band lines by single linkage with a reach of LINE_REACH mean sizes; a line
+    over TALL times its largest character is split where centres leave a gap. Lines then become one where the smaller lies
+    mostly in the larger, or where two are level and near. A null in vertical is false; characters without a box have no line.
+    A page is one task's.
+    """
+    flag = "vertical" in chars.columns
+
+    def page(rows: pd.DataFrame) -> dict:
+        box = rows[["x", "y", "x2", "y2"]].to_numpy(dtype=float, na_value=np.nan)
+        sound = np.flatnonzero(~np.isnan(box).any(axis=1))
+        order = sound[np.argsort(rows["char_idx"].to_numpy()[sound], kind="stable")]
+        upright = rows["vertical"].fillna(False).to_numpy(dtype=bool) if flag else np.zeros(len(rows), dtype=bool)
+        line, place = (pd.array([pd.NA] * len(rows), dtype="Int32") for _ in range(2))
+        for n, members in enumerate(lines_of(box[order], upright[order])):
+            line[order[members]] = n
+            place[order[members]] = np.arange(len(members))
+        return {"line_idx": line, "line_pos": place}
+
+    return add_by_group(chars, PAGE, ["char_idx", "x", "y", "x2", "y2", *(["vertical"] if flag else [])], {"line_idx": "int", "line_pos": "int"}, page)
 
 
 def merge_line_numbers(paragraphs: DataFrame) -> DataFrame:
@@ -222,8 +365,8 @@ def split_short_lines(lines: DataFrame, share: float = 0.8, narrow: bool = True,
 def resolve_overlap(df: DataFrame, key: str = "para_idx", rounds: int = 5) -> DataFrame:
     """Boxes of a page that overlap vertically are drawn back to 1 off the overlap's middle, until none do or the rounds are over."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key).reset_index(drop=True)
+    def page(rows: pd.DataFrame) -> dict:
+        rows = rows.sort_values(key)
         x, y, x2, y2 = (rows[c].to_numpy(dtype=float, copy=True) for c in ("x", "y", "x2", "y2"))
         for _ in range(rounds):
             moved = False
@@ -237,9 +380,10 @@ def resolve_overlap(df: DataFrame, key: str = "para_idx", rounds: int = 5) -> Da
                     moved = True
             if not moved:
                 break
-        return rows.assign(y=y, y2=y2)
+        back = np.argsort(np.argsort(rows.index))
+        return {"y": y[back], "y2": y2[back]}
 
-    return df.groupBy(*PAGE).applyInPandas(page, df.schema)
+    return add_by_group(df, PAGE, [key, "x", "y", "x2", "y2"], {"y": "double", "y2": "double"}, page)
 
 
 def translatable_formula(text: Column, offset: Column) -> Column:
@@ -275,7 +419,6 @@ def merge_formulas(formulas: DataFrame) -> DataFrame:
     within the other's and they share height within 1, or if they touch sideways within 2 and share over half of their common height. The
     earliest pair comes first, and what has become one goes on as one, until no pair is left.
     """
-    spec = StructType([*formulas.schema.fields, StructField("group", LongType())])
 
     def covers(a: np.ndarray, b: np.ndarray) -> float:
         shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -287,11 +430,11 @@ def merge_formulas(formulas: DataFrame) -> DataFrame:
         both = (a[3] - a[1]) + (b[3] - b[1]) - max(0.0, -apart_y)
         return (within and apart_y <= 1) or (apart_x <= 2 and both > 0 and max(0.0, -apart_y) / both > 0.5)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part_idx").reset_index(drop=True)
+    def one(rows: pd.DataFrame) -> dict:
+        rows = rows.sort_values("part_idx")
         box = rows[["x", "y", "x2", "y2"]].to_numpy(dtype=float)
         place, line = rows["part_idx"].tolist(), rows["line_id"].tolist()
-        region = [{r} if pd.notna(r) and r else set() for r in rows["region_id"]]
+        region = [{r} if pd.notna(r) and r else set() for r in rows["region_id"].tolist()]
         members = [[i] for i in range(len(rows))]
 
         def joins(i: int, j: int) -> bool:
@@ -311,31 +454,75 @@ def merge_formulas(formulas: DataFrame) -> DataFrame:
         group = np.zeros(len(rows), dtype=np.int64)
         for n, i in enumerate(live):
             group[members[i]] = n
-        return rows.assign(group=group)[[f.name for f in spec]]
+        return {"group": pd.Series(group, index=rows.index).sort_index().to_numpy()}
 
-    return formulas.groupBy(*PAGE, "para_idx").applyInPandas(one, spec)
+    return add_by_group(formulas, [*PAGE, "para_idx"], ["part_idx", "line_id", "region_id", "x", "y", "x2", "y2"], {"group": "long"}, one)
 
 
-def tag_formula_chars(chars: DataFrame, small: float = 0.79, large: float = 1.1) -> DataFrame:
-    """chars (doc_id, page, line_idx, char_idx, char_unicode, font_size, formula_font, box) with is_formula: formula fonts and symbols, and small raised or lowered characters after one; spaces keep what is before them."""
-    spec = StructType([*chars.schema.fields, StructField("is_formula", BooleanType())])
+# Characters that start a formula (by Unicode category, Greek letters, digits and brackets), those that only go on
+# in one, marks that start a list's item, and how much smaller a script is than its neighbour when it starts and while it lasts.
+FORMULA_START = r"^[\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\p{Co}\u0370-\u03ff0-9\[\]•]"
+FORMULA_MIDDLE = ","
+BULLETS = "■•⚫⬤◆◇○●◦‣⁃▪▫∗†‡¹²³⁴⁵⁶⁷⁸⁹⁰₁₂₃₄₅₆₇₈₉₀ᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐⁿᵒᵖʳˢᵗᵘᵛʷˣʸᶻ¶※⁑⁂⁕⁎⁜❧☙⁋‖‽·"
+SCRIPT_STARTS, SCRIPT_LASTS = 0.79, 1.1
 
-    def line(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("char_idx").reset_index(drop=True)
-        sizes = rows["font_size"].to_numpy(dtype=float)
-        base = float(np.median(sizes)) if len(sizes) else 1.0
-        out, sticky = [], False
-        for c, size, font in zip(rows["char_unicode"], sizes, rows["formula_font"], strict=True):
-            if c.isspace():
-                out.append(sticky)
-                continue
-            symbol = not c.isalnum() and c in "=+−×÷∑∏∫√≤≥≠≈∈∉⊂∪∩∞∂∇→←↔±·^_|<>"
-            script = size < small * base or size > large * base and sticky
-            sticky = bool(font) or symbol or (script and (sticky or size < small * base))
-            out.append(sticky)
-        return rows.assign(is_formula=out)[[f.name for f in spec]]
 
-    return chars.groupBy(*PAGE, "line_idx").applyInPandas(line, spec)
+def tag_formula_chars(chars: DataFrame, fonts: DataFrame | None = None, pattern: str | None = None, small: float = SCRIPT_STARTS, large: float = SCRIPT_LASTS) -> DataFrame:
+    """chars (doc_id, page, line_idx, char_idx, char_unicode, font_size, box) with is_formula and is_script, per line in order.
+
+    Used where there: para_idx; formula_font, formula_region_id, vertical, vx, vy, vx2, vy2 (what is seen of a character), in_font (false: the
+    text fonts lack it), xobj_id and font_id. fonts: what formula_fonts gives; pattern: more characters that start a formula.
+
+    A character is a formula's by its region, font, direction or kind, or if it is drawn beside its box; a comma or a character
+    without text only goes on in a formula, and a space is what is before it. A script is much smaller than the character before it (at a
+    line's start, than the one after) and lasts while sizes grow by less than ``large``; white space ends it, and from a
+    bullet at a line's start on a paragraph has none.
+    Whether a state holds is whether the last row that sets it comes after the last one that ends it, so all of it is windows over a line.
+    """
+    has = lambda *names: set(names) <= set(chars.columns)
+    group = [*PAGE, *(["para_idx"] if has("para_idx") else []), "line_idx"]
+    line = Window.partitionBy(*group).orderBy("char_idx")
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    false = F.lit(False)
+    sure = F.coalesce(F.col("formula_font"), false) if has("formula_font") else false
+    rows = chars
+    if fonts is not None:
+        told = fonts.select(*(F.col(c).alias(f"__{c}") for c in (*PAGE, "xobj_id", "font_id")), F.lit(True).alias("__hit")).distinct()
+        named = fonts.where("xobj_id is not null").select(*(F.col(c).alias(f"__o_{c}") for c in (*PAGE, "xobj_id"))).distinct().withColumn("__own", F.lit(True))
+        rows = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__o_doc_id")) & (F.col("page") == F.col("__o_page")) & (F.col("xobj_id") == F.col("__o_xobj_id")), "left")
+        scope = F.when(F.col("__own"), F.col("xobj_id"))  # an object with fonts of its own, else the page
+        rows = rows.withColumn("__scope", scope.cast("long"))
+        rows = rows.join(told, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("page") == F.col("__page")) & F.col("__scope").eqNullSafe(F.col("__xobj_id")) & (F.col("font_id") == F.col("__font_id")), "left")
+        sure = sure | F.coalesce(F.col("__hit"), false)
+    c = F.col("char_unicode")
+    space, blank = F.coalesce(c == " ", false), F.coalesce(c.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]+$"), false)
+    kind = F.coalesce(c.rlike(FORMULA_START) | c.contains("(cid:"), false) | (F.coalesce(c.rlike(f"^(?:{pattern})"), false) if pattern else false)
+    sure = sure | kind
+    if has("in_font"):
+        sure = sure | (F.coalesce(~F.col("in_font"), false) & c.isNotNull())
+    if has("formula_region_id"):
+        sure = sure | F.coalesce(F.col("formula_region_id") != 0, false)
+    if has("vertical"):
+        sure = sure | F.coalesce(F.col("vertical"), false)
+    if has("vx", "vy", "vx2", "vy2"):
+        sure = sure | F.coalesce((F.col("x") > F.col("vx2")) | (F.col("x2") < F.col("vx")) | (F.col("y") > F.col("vy2")) | (F.col("y2") < F.col("vy")), false)
+    bullet = F.coalesce(F.lag("char_idx").over(line).isNull() & F.lit(BULLETS).contains(F.substring(c, 1, 1)) & (c != ""), false)
+    rows = rows.withColumns({"__sure": sure, "__space": space, "__blank": blank, "__bullet": bullet, "__nth": F.row_number().over(line)})
+    paragraph = Window.partitionBy(*group[:-1]).orderBy("line_idx", "char_idx") if has("para_idx") else line
+    listed = F.max("__bullet").over(paragraph.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = F.lag("font_size").over(line), F.lead("font_size").over(line)
+    able = ~F.col("__blank") & ~listed & ~F.coalesce(F.lag("__blank").over(line), false)
+    first = F.col("__nth") == 1
+    starts = able & F.coalesce(F.when(first, F.col("font_size") < after * small).otherwise(F.col("font_size") < before * small), false)
+    lasts = able & ~first & F.coalesce(F.col("font_size") < before * large, false)
+    rows = rows.withColumns({"__starts": starts, "__lasts": lasts | starts})
+    last = lambda flag: F.coalesce(F.max(F.when(flag, F.col("__nth"))).over(so_far), F.lit(0))
+    rows = rows.withColumn("is_script", last(F.col("__starts")) > last(~F.col("__lasts")))
+    # what neither makes a formula nor ends one
+    carries = F.col("__space") | F.coalesce(c.startswith(FORMULA_MIDDLE), false) | c.isNull()
+    rows = rows.withColumn("__is", ~F.col("__space") & (F.col("__sure") | F.col("is_script"))).withColumn("__ends", ~F.col("__is") & ~carries)
+    rows = rows.withColumn("is_formula", last(F.col("__is")) > last(F.col("__ends")))
+    return rows.select(*chars.columns, "is_formula", "is_script")
 
 
 def style_runs(chars: DataFrame, keys: list[str], order: str = "char_idx") -> DataFrame:

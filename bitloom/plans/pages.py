@@ -183,7 +183,8 @@ def char_lines(spark, d):
     """Lines of each page by both ways, with how many characters they have."""
     chars = L.split_lines(_chars(spark, d), [*L.PAGE, "xobj_id"]).withColumnRenamed("line_idx", "gap_line")
     rows = L.cluster_lines(chars.drop("xobj_id", "render_order"))
-    return rows.groupBy(*L.PAGE).agg(F.count("*").alias("chars"), F.count_distinct("line_idx").alias("lines"), F.count_distinct("band").alias("bands"), (F.max("gap_line") + 1).alias("gap_lines"))
+    text = F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "line_pos", "char_idx"))), lambda x: F.concat_ws(":", x["line_idx"].cast("string"), x["char_idx"].cast("string")))
+    return rows.groupBy(*L.PAGE).agg(F.count("*").alias("chars"), F.count_distinct("line_idx").alias("lines"), (F.max("gap_line") + 1).alias("gap_lines"), F.sha2(F.array_join(text, ","), 256).alias("order_sha256"))
 
 
 # --- streams, run to their end over the tables
