@@ -224,7 +224,7 @@ def _batch_files(spark) -> int:
 def stream_task_feed(spark, d):
     """The newest state of each user's task from the events as a feed, whatever their order: later numbers are later revisions, errors delete."""
     code = F.get_json_object("props", "$.k").cast("int")
-    feed = lambda e: e.select(F.lit("s").alias("server"), F.lit(1).cast("long").alias("generation"), F.col("event_id").alias("revision"), F.col("user_id").cast("string").alias("task_id"), F.when(F.col("event_type") == "error", "deleted").otherwise("task").alias("type"), F.col("event_type").alias("status"), (code * 0).alias("attempt"))
+    feed = lambda e: e.select(F.concat(F.lit("s"), F.floor(F.col("user_id") / 8).cast("string")).alias("server"), F.lit(1).cast("long").alias("generation"), F.col("event_id").alias("revision"), F.col("user_id").cast("string").alias("task_id"), F.when(F.col("event_type") == "error", "deleted").otherwise("task").alias("type"), F.col("event_type").alias("status"), (code * 0).alias("attempt"))
     rows = _streamed(spark, d, "events", lambda e: S.snapshot_upsert(feed(e)))
     best = rows.groupBy("task_id").agg(F.max_by(F.struct("revision", "status", "deleted"), "batch_id").alias("b"))
     return best.select("task_id", "b.revision", "b.status", "b.deleted")

@@ -5,14 +5,13 @@ Late data: event time with watermarks where metrics are windowed; revisions, not
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bitloom.operators.memory import upsert_memory
 
@@ -76,93 +75,162 @@ def session_stream(events: DataFrame, gap: str = "30 seconds", delay: str = "1 m
     return events.withWatermark("ts", delay).groupBy("task_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
 
 
-def usage_delta_stream(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
-    """(call_id, total, delta): of cumulative usage events (call_id, seq, output) what each call adds over all before, repeats and stale values nothing. A call's state goes after it has been idle for so long; None keeps it."""
-    spec = "call_id string, total long, delta long"
-    limit = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "update", time_mode: str = "None") -> DataFrame:
+    """Keyed state with types of its own, timers and lifetimes. It needs the RocksDB store, which the session is set to where it has Spark's default.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("seq")
-        most = rows["output"].max()  # missing where no event of the batch knows it
-        new = total if pd.isna(most) else max(total, int(most))
-        state.update((new,))
-        if limit:
-            state.setTimeoutDuration(limit)
+    With time_mode "ProcessingTime" Spark always asks for another batch, as time may have passed, so a query with the trigger
+    availableNow never ends; start those with a trigger of fixed intervals and stop them.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in conf.get(name):
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, time_mode)
+
+
+def _millis(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+class _UsageDelta(StatefulProcessor):
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "total long", self.idle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total = self.total.get()[0] if self.total.exists() else 0
+        new = max([total, *(int(r["output"].max()) for r in rows)])
+        self.total.update((new,))
         yield pd.DataFrame({"call_id": [key[0]], "total": [new], "delta": [new - total]})
 
-    return events.groupBy("call_id").applyInPandasWithState(step, spec, "total long", "update", GroupStateTimeout.ProcessingTimeTimeout if limit else GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def usage_delta_stream(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
+    """(call_id, total, delta): of cumulative usage events (call_id, seq, output) what each call adds over all before, repeats, stale and unknown values nothing. A call's state goes after it has been idle for so long (start it with a trigger of fixed intervals then); None keeps it."""
+    known = events.select("call_id", F.coalesce("output", F.lit(0)).cast("long").alias("output"))  # no nulls, which pandas would round numbers for
+    return _stateful(known, ["call_id"], _UsageDelta(idle and _millis(idle)), "call_id string, total long, delta long", time_mode="ProcessingTime" if idle else "None")
+
+
+class _TaskFeed(StatefulProcessor):
+    """One server's tasks: each task's newest event, by instance and revision, and the server's newest instance."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.instance = handle.getValueState("instance", "generation long")
+        self.tasks = handle.getMapState("tasks", "task_id string", "generation long, revision long, status string, attempt int, deleted boolean")
+
+    @staticmethod
+    def newer(now: tuple | None, event: tuple) -> tuple | None:
+        """The task after an event: older instances and revisions do not count, nor, within an instance, lower attempts of a task that is there."""
+        if now is None or event[0] > now[0]:
+            return event
+        if event[0] < now[0] or event[1] <= now[1] or (not event[4] and not now[4] and event[3] < now[3]):
+            return now
+        return event
+
+    @staticmethod
+    def shown(task: tuple | None, instance: int) -> tuple | None:
+        """What the table holds: tasks of an instance that is gone are deleted."""
+        gone = task is not None and (task[4] or task[0] < instance)
+        return (task[0], task[1], None, task[3], True) if gone else task
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was = self.instance.get()[0] if self.instance.exists() else -1
+        events = pd.concat(list(rows)).sort_values(["generation", "revision"], kind="stable")
+        instance = max(was, int(events["generation"].max()))
+        before, now = {}, {}
+        if instance > was:  # a new instance retires all that is there
+            self.instance.update((instance,))
+            before = {k[0]: tuple(v) for k, v in self.tasks.iterator()} if was >= 0 else {}
+            now = dict(before)
+        for r in events.itertuples(index=False):
+            task = r.task_id
+            if task not in now:
+                before[task] = now[task] = tuple(self.tasks.getValue((task,))) if self.tasks.containsKey((task,)) else None
+            deleted = r.type == "deleted"
+            now[task] = self.newer(now[task], (int(r.generation), int(r.revision), None if deleted else r.status, int(r.attempt), deleted))
+        out = []
+        for task, state in now.items():
+            if state != before.get(task):
+                self.tasks.updateValue((task,), state)
+            if self.shown(state, instance) != self.shown(before.get(task), was):
+                out.append((key[0], task, *self.shown(state, instance)))
+        if out:
+            yield pd.DataFrame(out, columns=["server", "task_id", "generation", "revision", "status", "attempt", "deleted"])
+
+    def close(self) -> None:
+        pass
 
 
 def snapshot_upsert(feed: DataFrame) -> DataFrame:
-    """(server, task_id, instance, revision, status, attempt, deleted): the task table's changes from a feed of task and deleted events.
+    """(server, task_id, generation, revision, status, attempt, deleted): the task table's changes from a feed of task and deleted events.
 
-    feed: server, generation (rising with each server instance), revision, task_id, type, status, attempt. An event is dropped if its
-    instance is retired, its revision is no newer than the task's or its tombstone's, or its attempt is lower than the task's in the
-    same instance. A newer instance starts revisions anew. Results do not depend on how events fall into micro-batches.
+    feed: server, generation (rising with each server instance, from 0), revision, task_id, type, status, attempt. An event does not
+    count if its revision is no newer than the task's or its tombstone's, or its attempt is lower than the task's in the same
+    instance. A newer instance starts revisions anew and retires all of its server's tasks, those that never send again too:
+    they are told as deleted, as are tasks that a late event of a gone instance tells of for the first time. What the table ends with
+    does not depend on how events fall into micro-batches. A server is one key; its tasks are a map in the state store.
     """
-    spec = "server string, task_id string, generation long, revision long, status string, attempt int, deleted boolean"
+    events = feed.select("server", "generation", "revision", "task_id", "type", "status", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return _stateful(events, ["server"], _TaskFeed(), "server string, task_id string, generation long, revision long, status string, attempt int, deleted boolean")
+
+
+class _Progress(StatefulProcessor):
+    def __init__(self, stall: int) -> None:
+        self.stall = stall
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "seq long, percent double, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq, before, done = self.state.get() if self.state.exists() else (-1, -1.0, False)
+        percent = max(before, 0.0)
+        seen = seq
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            if r.seq > seq and not done:
+                seq, done = int(r.seq), bool(r.terminal)
+                percent = 100.0 if done else max(percent, min(99.0, float(r.percent)))
+        if seq == seen:
+            return
+        self.state.update((seq, percent, done))
+        if percent > before or done:  # the clock starts anew with each advance and stops at the end
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if not done:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stall)
+        yield pd.DataFrame({"task_id": [key[0]], "seq": [seq], "percent": [percent], "stalled": [False]})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        before = now
-        rows = pd.concat(list(batches)).sort_values(["generation", "revision"], kind="stable")
-        for r in rows.itertuples(index=False):
-            deleted = r.type == "deleted"
-            attempt = 0 if pd.isna(r.attempt) else int(r.attempt)
-            if now is not None:
-                if r.generation < now[0] or (r.generation == now[0] and r.revision <= now[1]):
-                    continue
-                if r.generation == now[0] and not deleted and not now[4] and attempt < now[3]:
-                    continue
-            now = (int(r.generation), int(r.revision), None if deleted else r.status, attempt, deleted)
-        if now is not None and now != before:
-            state.update(now)
-            yield pd.DataFrame([(key[0], key[1], *now)], columns=["server", "task_id", "generation", "revision", "status", "attempt", "deleted"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, percent, _ = self.state.get()
+        yield pd.DataFrame({"task_id": [key[0]], "seq": [seq], "percent": [percent], "stalled": [True]})
 
-    return feed.groupBy("server", "task_id").applyInPandasWithState(step, spec, "generation long, revision long, status string, attempt int, deleted boolean", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def progress_stream(events: DataFrame, stall: str = "30 seconds") -> DataFrame:
-    """(task_id, seq, percent, stalled): progress that only rises in seq; 99 at most until the task ends; stalled after so long without a rise."""
-    spec = "task_id string, seq long, percent double, stalled boolean"
-    limit = int(pd.Timedelta(stall).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seq, percent, _ = state.get
-            state.update((seq, percent, True))
-            yield pd.DataFrame({"task_id": [key[0]], "seq": [seq], "percent": [percent], "stalled": [True]})
-            return
-        seq, percent, done = state.get if state.exists else (-1, 0.0, False)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if r.seq <= seq:
-                continue
-            seq, done = int(r.seq), bool(r.terminal)
-            percent = 100.0 if done else max(percent, min(99.0, float(r.percent)))
-        state.update((seq, percent, False))
-        if not done:
-            state.setTimeoutDuration(limit)
-        yield pd.DataFrame({"task_id": [key[0]], "seq": [seq], "percent": [percent], "stalled": [False]})
+    """(task_id, seq, percent, stalled): progress that only rises in seq; 99 at most until the task ends, which nothing undoes; told as stalled once after so long without an advance, by a timer. events: task_id, seq, percent, terminal; nulls in the last two are 0 and false.
 
-    return events.groupBy("task_id").applyInPandasWithState(step, spec, "seq long, percent double, stalled boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    Timers run in processing time: start it with a trigger of fixed intervals; with availableNow it would never end.
+    """
+    made = events.select("task_id", "seq", F.coalesce("percent", F.lit(0.0)).alias("percent"), F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    return _stateful(made, ["task_id"], _Progress(_millis(stall)), "task_id string, seq long, percent double, stalled boolean", time_mode="ProcessingTime")
 
 
-def early_cancel(events: DataFrame, keep: str = "60 seconds") -> DataFrame:
-    """(request_id, outcome): a cancel that comes before its request, by up to so long, suppresses it. events: request_id, type (request or cancel), seq."""
-    spec = "request_id string, outcome string"
-    limit = int(pd.Timedelta(keep).total_seconds() * 1000)
+class _EarlyCancel(StatefulProcessor):
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get[0] if state.exists else ""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "now string", self.keep)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = now = self.state.get()[0] if self.state.exists() else ""
         out = []
-        for kind in pd.concat(list(batches)).sort_values("seq")["type"]:
+        for kind in pd.concat(list(rows)).sort_values("seq")["type"]:
             if kind == "cancel":
                 out += ["cancelled"] if now == "running" else []
                 now = "cancelled"
@@ -171,51 +239,74 @@ def early_cancel(events: DataFrame, keep: str = "60 seconds") -> DataFrame:
             elif now != "running":
                 out.append("running")
                 now = "running"
-        state.update((now,))
-        state.setTimeoutDuration(limit)
+        if now != before:  # repeats do not prolong
+            self.state.update((now,))
         if out:
             yield pd.DataFrame({"request_id": [key[0]] * len(out), "outcome": out})
 
-    return events.groupBy("request_id").applyInPandasWithState(step, spec, "now string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
-def checkpoint_state(events: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_id, status, reason) as batches come: success is not undone by pending, the end of a run turns pending into failed, a failed review demotes success.
+def early_cancel(events: DataFrame, keep: str = "60 seconds") -> DataFrame:
+    """(request_id, outcome): a cancel that comes before its request, by up to so long, suppresses it; what is known of a request is forgotten so long after it last changed. events: request_id, type (request or cancel), seq."""
+    return _stateful(events.select("request_id", "type", "seq"), ["request_id"], _EarlyCancel(_millis(keep)), "request_id string, outcome string", "append", "ProcessingTime")
 
-    events: doc_id, paragraph_id, seq, type (pending, succeeded, failed, skipped, finish, review_failed), reason.
-    """
-    spec = "doc_id long, paragraph_id string, status string, reason string"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else (None, None)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            now = next_state(now, r.type, r.reason)
-        state.update(now)
-        yield pd.DataFrame([(*key, *now)], columns=["doc_id", "paragraph_id", "status", "reason"])
+PARAGRAPH = "doc_id long, paragraph_id string, status string, reason string"
 
-    return events.groupBy("doc_id", "paragraph_id").applyInPandasWithState(step, spec, "status string, reason string", "update", GroupStateTimeout.NoTimeout)
 
+class _Paragraphs(StatefulProcessor):
+    """One document's paragraphs, each in an entry of its own, so that a batch reads and writes only those it tells of."""
 
-def checkpoint_documents(events: DataFrame) -> DataFrame:
-    """As checkpoint_state, with the end of a run sent once per document: an event without paragraph_id holds for all of its document's paragraphs. Gives the paragraphs that a batch has changed.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.paragraphs = handle.getMapState("paragraphs", "paragraph_id string", "status string, reason string")
 
-    A document's paragraphs are one state; they are as many as a document has.
-    """
-    spec = "doc_id long, paragraph_id string, status string, reason string"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before: dict[str, tuple] = {k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        now = dict(before)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            whole = r.paragraph_id is None or pd.isna(r.paragraph_id)
-            for k in list(now) if whole else [r.paragraph_id]:
-                now[k] = next_state(now.get(k, (None, None)), r.type, r.reason)
-        state.update((json.dumps(now),))
-        changed = [(key[0], k, *v) for k, v in now.items() if before.get(k) != v]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before: dict[str, tuple | None] = {}
+        now: dict[str, tuple] = {}
+
+        def known(p: str) -> tuple:
+            if p not in now:
+                before[p] = tuple(self.paragraphs.getValue((p,))) if self.paragraphs.containsKey((p,)) else None
+                now[p] = before[p] or (None, None)
+            return now[p]
+
+        whole = False
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            if r.paragraph_id is not None and not pd.isna(r.paragraph_id):
+                now[r.paragraph_id] = next_state(known(r.paragraph_id), r.type, r.reason)
+                continue
+            if not whole:  # once a batch at most
+                for k, v in list(self.paragraphs.iterator()):
+                    if k[0] not in now:
+                        before[k[0]] = now[k[0]] = tuple(v)
+                whole = True
+            for p in now:
+                now[p] = next_state(now[p], r.type, r.reason)
+        changed = [(key[0], p, *v) for p, v in now.items() if before[p] != v]
+        for _, p, *v in changed:
+            self.paragraphs.updateValue((p,), tuple(v))
         if changed:
             yield pd.DataFrame(changed, columns=["doc_id", "paragraph_id", "status", "reason"])
 
-    return events.groupBy("doc_id").applyInPandasWithState(step, spec, "paragraphs string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def checkpoint_state(events: DataFrame) -> DataFrame:
+    """The paragraphs that each batch has changed (PARAGRAPH): success is not undone by pending, the end of a run turns pending into failed, a failed review demotes success.
+
+    events: doc_id, paragraph_id, seq, type (pending, succeeded, failed, skipped, finish, review_failed), reason. One key per
+    paragraph: here each has its own finish event, and documents of any size spread.
+    """
+    made = events.where("paragraph_id is not null").select("doc_id", "paragraph_id", "seq", "type", "reason")
+    return _stateful(made, ["doc_id", "paragraph_id"], _Paragraphs(), PARAGRAPH)
+
+
+def checkpoint_documents(events: DataFrame) -> DataFrame:
+    """As checkpoint_state, with the end of a run sent once per document: an event without paragraph_id holds for all of its document's paragraphs that are known by then. One key per document."""
+    return _stateful(events.select("doc_id", "paragraph_id", "seq", "type", "reason"), ["doc_id"], _Paragraphs(), PARAGRAPH)
 
 
 def next_state(now: tuple, kind: str, reason: str | None) -> tuple:

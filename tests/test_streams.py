@@ -1,8 +1,10 @@
 """Streams replayed from files, in order and shuffled, against what a batch would give."""
 
 import json
+import os
 import random
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -33,7 +35,16 @@ def test_task_feed_is_the_same_in_any_order(spark):
         shuffled = [dict(zip(names, e, strict=True), server="s") for e in events]
         random.Random(seed).shuffle(shuffled)
         last = {r["task_id"]: (r["generation"], r["status"], r["deleted"]) for _, r in replay(spark, shuffled, FEED, S.snapshot_upsert)}
-        assert last["t"] == (2, "queued", False) and last["v"] == (2, "queued", False) and last["u"][0] == 1
+        assert last["t"] == (2, "queued", False) and last["v"] == (2, "queued", False) and last["u"] == (1, None, True)
+
+
+def test_a_new_instance_retires_all_tasks_of_its_server(spark):
+    names = ["server", "generation", "revision", "task_id", "type", "status", "attempt"]
+    feed = [("s", 1, 7, "a", "task", "running", 1), ("r", 1, 2, "a", "task", "running", None), ("s", 1, 8, "b", "deleted", None, None), ("s", 1, 9, "c", "task", "running", 1), ("s", 2, 1, "z", "task", "queued", 1), ("s", 1, 99, "c", "task", "late", 9)]
+    got = replay(spark, [dict(zip(names, e, strict=True)) for e in feed], FEED, S.snapshot_upsert, parts=6)
+    last = {(r["server"], r["task_id"]): (r["generation"], r["status"], r["deleted"]) for _, r in got}
+    assert last == {("s", "a"): (1, None, True), ("r", "a"): (1, "running", False), ("s", "b"): (1, None, True), ("s", "c"): (1, None, True), ("s", "z"): (2, "queued", False)}
+    assert [r["task_id"] for i, r in got if i == 4 and r["deleted"]] == ["a", "c"]  # told with the new instance's first event
 
 
 def test_usage_deltas_add_up(spark):
@@ -43,6 +54,98 @@ def test_usage_deltas_add_up(spark):
         assert sum(r["delta"] for _, r in got if r["call_id"] == call) == total == max(r["total"] for _, r in got if r["call_id"] == call)
 
 
+def test_wide_usage_beside_unknown_is_exact(spark):
+    rows = [{"call_id": "a", "seq": 1, "output": 2**60 + 1}, {"call_id": "a", "seq": 2, "output": None}, {"call_id": "b", "seq": 3, "output": None}]
+    got = replay(spark, rows, "call_id string, seq long, output long", lambda f: S.usage_delta_stream(f, None), parts=1)
+    assert sorted(tuple(r) for _, r in got) == [("a", 2**60 + 1, 2**60 + 1), ("b", 0, 0)]
+
+
+class Live:
+    """A stream that files are added to while it runs, with a trigger of short intervals."""
+
+    def __init__(self, spark, schema, make, mode="update"):
+        self.folder, self.out = tempfile.mkdtemp(prefix="spark-live-"), []
+        frame = spark.readStream.schema(schema).json(f"{self.folder}/*.json")
+        sink = make(frame).writeStream.outputMode(mode).foreachBatch(lambda b, i: self.out.extend(b.collect()))
+        self.query = sink.option("checkpointLocation", f"{self.folder}/log").trigger(processingTime="200 milliseconds").start()
+        self.files = 0
+
+    def send(self, *rows):
+        with open(f"{self.folder}/.{self.files}", "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows))
+        os.rename(f"{self.folder}/.{self.files}", f"{self.folder}/{self.files}.json")
+        self.files += 1
+
+    def wait(self, n, seconds=60):
+        end = time.time() + seconds
+        while len(self.out) < n and time.time() < end:
+            time.sleep(0.1)
+        assert len(self.out) >= n, (self.out, self.query.exception())
+        return [tuple(r) for r in self.out]
+
+
+def test_progress_rises_ends_and_stalls(spark):
+    live = Live(spark, "task_id string, seq long, percent double, terminal boolean", lambda f: S.progress_stream(f, "3 seconds"))
+    try:
+        row = lambda t, seq, p, end=False: {"task_id": t, "seq": seq, "percent": p, "terminal": end}
+        live.send(row("a", 1, 10.0), row("a", 3, 120.0), row("a", 2, 5.0), row("b", 1, 50.0), row("b", 2, None, True))
+        assert sorted(live.wait(2)) == [("a", 3, 99.0, False), ("b", 2, 100.0, False)]
+        assert live.wait(3)[2] == ("a", 3, 99.0, True)  # the timer; none for what has ended
+        live.send(row("a", 3, 1.0), row("b", 9, 1.0), row("a", 4, None, True))
+        assert live.wait(4)[3:] == [("a", 4, 100.0, False)]
+        time.sleep(4)
+        assert len(live.out) == 4
+    finally:
+        live.query.stop()
+
+
+def test_early_cancels_are_forgotten_in_time(spark):
+    live = Live(spark, "request_id string, type string, seq long", lambda f: S.early_cancel(f, "25 seconds"), "append")
+    try:
+        live.send(*({"request_id": r, "type": k, "seq": i} for i, (r, k) in enumerate([("a", "cancel"), ("b", "request"), ("c", "cancel"), ("b", "cancel"), ("d", "cancel"), ("d", "request")])))
+        assert sorted(live.wait(3)) == [("b", "cancelled"), ("b", "running"), ("d", "suppressed")]
+        live.send({"request_id": "a", "type": "request", "seq": 9})
+        assert live.wait(4)[3] == ("a", "suppressed")
+        time.sleep(26)
+        live.send({"request_id": "c", "type": "request", "seq": 10})
+        assert live.wait(5)[4] == ("c", "running")  # its cancel is too long ago
+    finally:
+        live.query.stop()
+
+
+def test_paragraph_states_over_batches(spark):
+    kinds = [("p", "pending"), ("q", "pending"), ("p", "succeeded"), ("r", "skipped"), ("p", "pending"), (None, "finish"), ("r", "pending"), ("p", "review_failed"), ("z", "failed")]
+    rows = [{"doc_id": 2**60 + 1, "paragraph_id": p, "seq": i, "type": k, "reason": "why" if k == "failed" else None} for i, (p, k) in enumerate(kinds)]
+    schema = "doc_id long, paragraph_id string, seq long, type string, reason string"
+    want = {"p": ("failed", "quality_review_failed"), "q": ("failed", "paragraph_not_completed"), "r": ("skipped", None), "z": ("failed", "why")}
+    ordered = [rows[k::9][0] for k in range(9)]
+    for parts in (1, 9):
+        got = replay(spark, ordered, schema, S.checkpoint_documents, parts=parts)
+        assert {r["paragraph_id"]: (r["status"], r["reason"]) for _, r in got} == want and {r["doc_id"] for _, r in got} == {2**60 + 1}
+    own = replay(spark, [r for r in ordered if r["paragraph_id"]], schema, S.checkpoint_state, parts=4)
+    last = {r["paragraph_id"]: (r["status"], r["reason"]) for _, r in own}
+    assert last["q"] == ("pending", None) and last["p"] == want["p"] and last["z"] == want["z"]
+
+
+def test_calls_join_their_finish_or_come_out_unfinished(spark):
+    t = lambda s: f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}"
+    rows = [{"call_id": c, "ts": t(s), "event": e, "succeeded": True if e == "f" else None} for c, s, e in [("a", 0, "s"), ("b", 1, "s"), ("a", 9, "f"), ("x", 3000, "s"), ("x", 3001, "f"), ("y", 3500, "s"), ("y", 3501, "f")]]
+    both = lambda f: S.join_calls_stream(f.where("event = 's'"), f.where("event = 'f'"), "2 minutes")
+    got = replay(spark, rows, "call_id string, ts timestamp, event string, succeeded boolean", both, parts=7, mode="append")
+    assert {r["call_id"]: r["succeeded"] for _, r in got} == {"a": True, "b": None, "x": True, "y": True}
+
+
+def test_rates_over_sliding_windows(spark):
+    rows = [{"ts": f"2024-01-01T00:00:{i:02d}", "output": 30 if i < 9 else None, "complete": i != 5, "paragraphs": 1} for i in range(10)]
+    schema = "ts timestamp, output long, complete boolean, paragraphs long"
+    last = {}
+    for _, r in replay(spark, rows, schema, lambda f: S.sliding_rate(f, 10, "5 seconds", "output"), parts=1):
+        last[r["window"]["start"].second] = r["rate"]
+    assert last[0] == 27.0 and last[5] == 12.0
+    last = {r["window"]["start"].second: (r["output_per_second"], r["paragraphs_per_minute"]) for _, r in replay(spark, rows, schema, lambda f: S.throughput_stream(f, 4, "2 seconds"), parts=1)}
+    assert last[0] == (30.0, 60.0) and last[4] == (None, 60.0) and last[6] == (22.5, 60.0)
+
+
 def test_checkpoint_states():
     def walk(*kinds):
         now = (None, None)
