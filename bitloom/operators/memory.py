@@ -31,32 +31,37 @@ def prepare_memory(batch: DataFrame) -> DataFrame:
 
 
 def upsert_memory(target: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The memory table after a batch: the last writing of each key wins, and a paragraph keeps the seq of its first. Applying a batch twice changes nothing."""
+    """The memory table after a batch: of each key the last writing's translation, its normal form and flag, the first one's source and seq. Applying a batch twice changes nothing."""
     new = prepare_memory(batch).withColumn("updated_seq", F.col("seq"))
     rows = new if target is None else target.select(*new.columns).unionByName(new)
-    kept = [c for c in rows.columns if c not in (*MEMORY_KEY, "seq")]
-    best = rows.groupBy(*MEMORY_KEY).agg(F.max_by(F.struct(*kept), "updated_seq").alias("row"), F.min("seq").alias("seq"))
-    return best.select(*MEMORY_KEY, "row.*", "seq").select(*rows.columns)
+    kept = [c for c in rows.columns if c not in (*MEMORY_KEY, "seq", "source")]
+    best = rows.groupBy(*MEMORY_KEY).agg(F.max_by(F.struct(*kept), "updated_seq").alias("row"), F.min_by("source", "seq").alias("source"), F.min("seq").alias("seq"))
+    return best.select(*MEMORY_KEY, "row.*", "source", "seq").select(*rows.columns)
 
 
 def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -> DataFrame:
-    """queries (query_id, doc_fingerprint, text, page) with the best match: match_type, memory_seq, source, translation, match_page.
+    """queries (query_id, doc_fingerprint, text, page; lang if there) with the best match: match_type, memory_seq, source, translation, match_page, paragraph_id, match_lang, formatting_incomplete.
 
+    With lang, which may be spelled in any case and with _ or -, only entries in that language match; a null or empty one takes any.
     Tiers: the same text (exact; the query's page first, then the newest), then a paragraph that contains it (contained), of the
     page first and then of any page, the shortest, then the newest. Containment is literal. A tier sees only
     queries that the one before left open.
     """
     column = f"normalized_{side}"
     asked = queries.withColumn("wanted", T.normalize_text(F.col("text"))).where("wanted <> ''")
-    asked = cut(asked.select("query_id", "doc_fingerprint", "page", "wanted"))  # the normal form is worked out once
-    stored = memory.select("doc_fingerprint", F.col("page").alias("match_page"), F.col("seq").alias("memory_seq"), "source", "translation", F.col(column).alias("stored"))
-    row = F.struct("memory_seq", "source", "translation", "match_page")
+    lang = F.nullif(T.lang_key(F.col("lang")), F.lit("")) if "lang" in queries.columns else F.lit(None).cast("string")
+    asked = cut(asked.select("query_id", "doc_fingerprint", "page", "wanted", lang.alias("wanted_lang")))  # the normal form is worked out once
+    told = lambda c, kind: (F.col(c) if c in memory.columns else F.lit(None)).cast(kind)  # noqa: E731  (a table may lack what only the answer shows)
+    shown = [told("paragraph_id", "string").alias("paragraph_id"), told("target_lang", "string").alias("match_lang"), told("formatting_incomplete", "boolean").alias("formatting_incomplete")]
+    stored = memory.select("doc_fingerprint", F.col("page").alias("match_page"), F.col("seq").alias("memory_seq"), "source", "translation", *shown, F.col(column).alias("stored"))
+    row = F.struct("memory_seq", "source", "translation", "match_page", "paragraph_id", "match_lang", "formatting_incomplete")
+    own_lang = F.col("wanted_lang").isNull() | (F.col("wanted_lang") == F.col("match_lang"))
     pick = lambda df, kind, order: df.groupBy("query_id").agg(F.max_by(row, F.struct(*order)).alias("m")).select("query_id", F.lit(kind).alias("match_type"), "m.*")
     same_page = F.coalesce((F.col("match_page") == F.col("page")).cast("int"), F.lit(0))
     same_text = (asked["doc_fingerprint"] == stored["doc_fingerprint"]) & (F.sha2("wanted", 256) == F.sha2("stored", 256)) & (F.col("wanted") == F.col("stored"))
-    exact = cut(pick(asked.join(stored, same_text), "exact", [same_page.alias("a"), F.col("memory_seq").alias("b")]))
+    exact = cut(pick(asked.join(stored, same_text).where(own_lang), "exact", [same_page.alias("a"), F.col("memory_seq").alias("b")]))
     left = asked.join(exact, "query_id", "left_anti")
-    inside = _holders(left, stored).where(F.contains(F.col("stored"), F.col("wanted")))
+    inside = _holders(left, stored).where(F.contains(F.col("stored"), F.col("wanted")) & own_lang)
     contained = pick(inside, "contained", [same_page.alias("a"), (-F.length("stored")).alias("b"), F.col("memory_seq").alias("c")])
     return queries.join(exact.unionByName(contained), "query_id", "left")
 

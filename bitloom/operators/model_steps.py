@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
+from bitloom.functions.groups import add_by_group
 from bitloom.functions.storage import cut
 from bitloom.operators.paragraphs import batch_by_budget
 from bitloom.operators.terms import match_terms, vote_targets
@@ -26,17 +27,28 @@ def quality_summary(candidates: DataFrame, *keys: str) -> DataFrame:
 
 
 def inspect_batch(replies: DataFrame, sources: DataFrame, lang: str = "") -> DataFrame:
-    """(batch_id, row_id, output, code): per source row (batch_id, row_id, source) the reply's output or what is wrong.
+    """(batch_id, row_id, source, output, code, unassigned): per source row (batch_id, row_id, source) the reply's output or what is wrong.
 
-    replies: batch_id, reply (JSON array of objects id, output). An id that comes twice, is unknown or lacks an output is not assigned.
+    replies: batch_id, reply (a JSON array of objects id, output, or one such object). An id is a whole number or its decimal
+    digits as text. What names no row of the batch, and what is no object, is not assigned: unassigned says whether a batch has any.
+    Codes: paragraph_count_mismatch for a row without a reply (all, if the reply is JSON of another kind), invalid_or_duplicate_paragraph_id
+    for one with several, invalid_json for all rows of a reply that is none, else what validate_pair finds. A batch without a reply has invalid_json.
     """
-    parsed = F.from_json(T.clean_json(T.strip_reasoning(F.col("reply"))), "array<struct<id:int,output:string>>")
-    rows = replies.select("batch_id", F.explode_outer(parsed).alias("r")).select("batch_id", F.col("r.id").alias("row_id"), F.col("r.output").alias("output"))
-    one = rows.where("row_id is not null").groupBy("batch_id", "row_id").agg(F.count("*").alias("n"), F.first("output").alias("output"))
-    joined = sources.join(one, ["batch_id", "row_id"], "left")
-    code = F.when(F.col("n").isNull(), "missing_row").when(F.col("n") > 1, "duplicate_row").otherwise(T.validate_pair(F.col("source"), F.col("output"), lang))
+    body = T.clean_json(T.strip_reasoning(F.col("reply")))
+    listed = F.from_json(F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body), "array<string>")
+    read = replies.select("batch_id", F.try_parse_json(body).isNotNull().alias("json"), listed.alias("items"))
+    items = read.select("batch_id", F.explode("items").alias("item"))
+    told = F.get_json_object("item", "$.id")
+    # a whole number, quoted or not; true, 1.0 and the like are none
+    rows = items.select("batch_id", F.when(F.coalesce(F.col("item").startswith("{"), F.lit(False)) & told.rlike("^[0-9]{1,18}$"), told.cast("long")).alias("row_id"), F.get_json_object("item", "$.output").alias("output"))
+    known = sources.select("batch_id", F.col("row_id").cast("long").alias("row_id"), F.lit(True).alias("known")).distinct()
+    placed = cut(rows.join(known, ["batch_id", "row_id"], "left"))
+    odd = placed.groupBy("batch_id").agg(F.bool_or(F.col("known").isNull()).alias("unassigned"))
+    one = placed.where("known").groupBy("batch_id", "row_id").agg(F.count("*").alias("n"), F.first("output").alias("output"))
+    joined = sources.join(one, ["batch_id", "row_id"], "left").join(read.select("batch_id", "json"), "batch_id", "left").join(odd, "batch_id", "left")
+    code = F.when(~F.coalesce("json", F.lit(False)), "invalid_json").when(F.col("n").isNull(), "paragraph_count_mismatch").when(F.col("n") > 1, "invalid_or_duplicate_paragraph_id").otherwise(T.validate_pair(F.col("source"), F.col("output"), lang))
     out = joined.withColumn("code", code)
-    return out.select("batch_id", "row_id", "source", F.when(F.col("code").isNull(), T.canonicalize_placeholders(F.col("source"), F.col("output"))).alias("output"), "code")
+    return out.select("batch_id", "row_id", "source", F.when(F.col("code").isNull(), T.canonicalize_placeholders(F.col("source"), F.col("output"))).alias("output"), "code", F.coalesce("unassigned", F.lit(False)).alias("unassigned"))
 
 
 def repair_slots(df: DataFrame, key: str = "row_id", text: str = "source") -> DataFrame:
@@ -70,44 +82,90 @@ def prompt_column(batches: DataFrame, role: str, keys: list[str], terms: str | N
     return batches.groupBy(*keys).agg(F.concat_ws("\n\n", *parts, rows).alias("prompt"))
 
 
-def _called(batches: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFrame:
-    """(doc_id, page, batch, row_id, output) of fn over each batch's sources in order. A batch that fails gives null outputs."""
-    spec = "doc_id long, page int, batch int, row_id long, output string"
+def _called(batches: DataFrame, keys: list[str], order: str, fn: Callable[[list[str]], list[str]]) -> DataFrame:
+    """batches with output and error: fn over each group's sources in order. A call that fails, or gives another number of outputs, gives null outputs and says why."""
 
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
+    def call(rows: pd.DataFrame) -> dict:
+        rows = rows.sort_values(order)
+        error = None
         try:
             got = list(fn(rows["source"].tolist()))
-            got = got if len(got) == len(rows) else [None] * len(rows)
-        except Exception:  # the user's function may fail in any way; its rows then count as not answered
-            got = [None] * len(rows)
-        return rows[["doc_id", "page", "batch", "row_id"]].assign(output=got)
-
-    return batches.groupBy("doc_id", "page", "batch").applyInPandas(call, spec)
-
-
-def translate_batches(paragraphs: DataFrame, fn: Callable[[list[str]], list[str]], cache: DataFrame | None = None, lang: str = "", max_sum: int = 200, max_rows: int = 5, attempts: int = 2) -> DataFrame:
-    """paragraphs (doc_id, page, row_id, source) with output, status (succeeded, failed, skipped), code and from_cache.
-
-    Skipped paragraphs and cached ones are not sent. What is invalid is sent again, alone, until its attempts are used up.
-    cache: source_hash, output.
+            if len(got) != len(rows):
+                got, error = [None] * len(rows), f"{len(got)} outputs for {len(rows)} rows"
+        except Exception as e:  # the user's function may fail in any way; its rows then count as not answered
+            got, error = [None] * len(rows), f"{type(e).__name__}: {e}"
+        return {"output": pd.Series(got, index=rows.index, dtype=object).sort_index().tolist(), "error": [error] * len(rows)}
+
+    return add_by_group(batches, keys, [order, "source"], {"output": "string", "error": "string"}, call)
+
+
+def _within_budget(batches: DataFrame, spent: DataFrame, requests: int | None) -> DataFrame:
+    """batches (doc_id, page, batch and rows) with allowed: whether a document's requests, in the order of its batches and after those spent (doc_id, used), reach that far."""
+    if requests is None:
+        return batches.withColumn("allowed", F.lit(True))
+    each = batches.select("doc_id", "page", "batch").distinct().join(spent, "doc_id", "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "batch")) + F.coalesce("used", F.lit(0))
+    return batches.join(each.select("doc_id", "page", "batch", (nth <= requests).alias("allowed")), ["doc_id", "page", "batch"])
+
+
+def translate_batches(
+    paragraphs: DataFrame,
+    fn: Callable[[list[str]], list[str]],
+    cache: DataFrame | None = None,
+    lang: str = "",
+    max_sum: int = 200,
+    max_rows: int = 5,
+    attempts: int = 2,
+    repair_fn: Callable[[list[str]], list[str]] | None = None,
+    requests: int | None = None,
+) -> DataFrame:
+    """paragraphs (doc_id, page, row_id, source) with output, status (succeeded, failed, skipped), code, from_cache, attempts, committed and error. doc_id and row_id are never null.
+
+    Skipped paragraphs and cached ones are not sent. What is invalid is sent again until its attempts are used up: with repair_fn,
+    a paragraph whose placeholders differ first by its pieces between placeholders (repair_slots), which are put together again; else, and
+    then, alone. requests bounds a document's calls over all rounds; what it does not reach fails with budget_exhausted.
+    committed: a valid result to be kept, of a first batch only if all its rows are valid or have become so. cache: source_hash, output.
     """
     rows = paragraphs.withColumn("reason", T.skip_reason(F.col("source"))).withColumn("source_hash", F.sha2("source", 256)).withColumn("tokens", T.word_count(F.col("source")))
     known = rows.limit(0).select("source_hash", F.lit("").alias("cached")) if cache is None else cache.groupBy("source_hash").agg(F.min("output").alias("cached"))
     rows = cut(rows.join(known, "source_hash", "left"))
-    open_ = rows.where("reason is null and cached is null").select("doc_id", "page", "row_id", "source", "tokens")
-    done: DataFrame | None = None
+    columns = ["doc_id", "page", "row_id", "source", "tokens"]
+    open_ = rows.where("reason is null and cached is null").select(*columns, F.lit(None).cast("int").alias("first_batch"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"))
+    spent = rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("used"))
+    done = []
     for attempt in range(attempts):
         size = (max_sum, max_rows) if attempt == 0 else (0, 0)
-        batches = batch_by_budget(open_, ["doc_id", "page"], "row_id", "tokens", *size)
-        got = _called(batches, fn).select("doc_id", "row_id", "output")
-        seen = cut(open_.join(got, ["doc_id", "row_id"], "left").withColumn("code", T.validate_pair(F.col("source"), F.col("output"), lang)))
-        good = seen.where("code is null" if attempt + 1 < attempts else "true").select("doc_id", "row_id", F.when(F.col("code").isNull(), T.canonicalize_placeholders(F.col("source"), F.col("output"))).alias("output"), "code")
-        done = good if done is None else done.unionByName(good)
-        open_ = seen.where("code is not null").select("doc_id", "page", "row_id", "source", "tokens")
-    out = rows.join(done.withColumn("sent", F.lit(True)), ["doc_id", "row_id"], "left")
+        batches = _within_budget(batch_by_budget(open_, ["doc_id", "page"], "row_id", "tokens", *size), spent, requests)
+        batches = cut(batches.withColumn("first_batch", F.coalesce("first_batch", "batch")).withColumn("apart", F.lit(bool(repair_fn) and attempt == 1) & F.coalesce(F.col("code") == "placeholder_mismatch", F.lit(False))))
+        whole = batches.where("allowed and not apart").drop("error")
+        sent = _called(whole, ["doc_id", "page", "batch"], "row_id", fn)
+        if repair_fn and attempt == 1:
+            pieces = batches.where("allowed and apart")
+            slots = cut(repair_slots(pieces.select(F.struct("doc_id", "row_id").alias("key"), "source"), "key"))
+            asked = slots.where("not is_token").withColumnRenamed("piece", "source")
+            answers = cut(_called(asked.select("key.doc_id", "key.row_id", "slot", "source"), ["doc_id", "row_id"], "slot", repair_fn))
+            outputs = answers.where("output is not null").select(F.struct("doc_id", "row_id").alias("key"), "slot", "output")
+            why = answers.groupBy("doc_id", "row_id").agg(F.max("error").alias("error"))
+            mended = join_slots(slots, outputs, "key").select("key.doc_id", "key.row_id", "output")
+            sent = sent.unionByName(pieces.drop("error").join(mended, ["doc_id", "row_id"], "left").join(why, ["doc_id", "row_id"], "left"))
+        seen = sent.withColumn("code", T.validate_pair(F.col("source"), F.col("output"), lang)).withColumn("attempts", F.col("attempts") + 1)
+        seen = cut(seen.unionByName(batches.where("not allowed").withColumns({"code": F.lit("budget_exhausted"), "output": F.lit(None).cast("string")})))
+        over = (F.col("code") == "budget_exhausted") if attempt + 1 < attempts else F.lit(True)
+        ended = seen.where(F.col("code").isNull() | over)
+        done.append(ended.select("doc_id", "row_id", "page", "first_batch", F.when(F.col("code").isNull(), T.canonicalize_placeholders(F.col("source"), F.col("output"))).alias("output"), "code", "error", "attempts"))
+        calls = batches.where("allowed").select("doc_id", "page", "batch").distinct().groupBy("doc_id").agg(F.count("*").alias("used"))
+        spent = cut(spent.unionByName(calls).groupBy("doc_id").agg(F.sum("used").alias("used")))
+        open_ = seen.where(F.col("code").isNotNull() & ~over).select(*columns, "first_batch", "code", "error", "attempts")
+    results = done[0]
+    for more in done[1:]:
+        results = results.unionByName(more)
+    complete = F.min(F.col("code").isNull()).over(Window.partitionBy("doc_id", "page", "first_batch"))
+    results = results.withColumn("committed", complete & F.col("code").isNull()).drop("page", "first_batch")
+    out = rows.join(results.withColumn("sent", F.lit(True)), ["doc_id", "row_id"], "left")
     status = F.when(F.col("reason").isNotNull(), "skipped").when(F.col("cached").isNotNull() | (F.col("sent") & F.col("code").isNull()), "succeeded").otherwise("failed")
-    return out.select("doc_id", "page", "row_id", "source", F.coalesce("cached", "output").alias("output"), status.alias("status"), F.coalesce("code", "reason").alias("code"), F.col("cached").isNotNull().alias("from_cache"))
+    return out.select(
+        "doc_id", "page", "row_id", "source", F.coalesce("cached", "output").alias("output"), status.alias("status"), F.coalesce("code", "reason").alias("code"), F.col("cached").isNotNull().alias("from_cache"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("committed", F.lit(False)).alias("committed"), "error"
+    )
 
 
 def term_rows(reply: Column) -> Column:
@@ -157,9 +215,9 @@ def context_meaning_valid(value: Column, fields: tuple[str, ...] = ("meaning", "
 
 
 def verdict_rows(reply: Column, n: Column) -> Column:
-    """array<struct<id,verdict,output>> if the reply has each id from 0 to n - 1 once, as a whole number, and known verdicts; else null."""
+    """array<struct<id,verdict,output,evidence>> if the reply has each id from 0 to n - 1 once, as a whole number, and known verdicts; else null."""
 
-    @F.pandas_udf("array<struct<id:int,verdict:string,output:string>>")
+    @F.pandas_udf("array<struct<id:int,verdict:string,output:string,evidence:string>>")
     def parse(replies: pd.Series, sizes: pd.Series) -> pd.Series:
         def one(text, size):
             try:
@@ -170,7 +228,7 @@ def verdict_rows(reply: Column, n: Column) -> Column:
                 return None
             return rows if sorted(r["id"] for r in rows) == list(range(size)) else None
 
-        return pd.Series([None if (r := one(t, int(k))) is None else [{"id": x["id"], "verdict": x["verdict"], "output": x.get("output")} for x in r] for t, k in zip(replies, sizes, strict=True)], dtype=object)
+        return pd.Series([None if (r := one(t, int(k))) is None else [{"id": x["id"], "verdict": x["verdict"], **{k: v if isinstance(v := x.get(k), str) else None for k in ("output", "evidence")}} for x in r] for t, k in zip(replies, sizes, strict=True)], dtype=object)
 
     return parse(T.clean_json(reply), n)
 
@@ -217,28 +275,36 @@ def select_for_review(candidates: DataFrame, cap: int = REVIEW_CAP, batch: int =
 
 
 def review_batches(candidates: DataFrame, fn: Callable[[list[dict]], str], lang: str = "", requests: int = REQUESTS) -> DataFrame:
-    """Candidates with review (passed, corrected, failed, unchecked, not_selected) and output after a user's reviewer has seen the selected ones.
+    """Candidates with review (passed, corrected, failed, unchecked, not_selected), reason and output after a user's reviewer has seen the selected ones.
 
-    A reply must name each row once; a correction must stand up to validation, else the row fails and loses its output. Batches
-    beyond the request budget stay unchecked.
+    A reply must name each row once. A correction must quote, as evidence, words that stand in the source, else the row stays unchecked
+    (invalid_review) with the output it had; it must stand up to validation, and so must what passes, else the row fails and loses
+    its output. A correction that changes nothing has passed. Batches beyond a document's request budget stay unchecked
+    (budget_exhausted), as do those whose call fails (provider_error, with its message).
     """
     rows = cut(select_for_review(candidates))
-    spec = "doc_id long, review_batch int, row_ids array<long>, reply string, n int"
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
+    def ask(part: pd.DataFrame) -> dict:
         part = part.sort_values("row_id")
+        reply = error = None
         try:
             reply = fn([{"id": i, "source": s, "output": o} for i, (s, o) in enumerate(zip(part["source"], part["output"], strict=True))])
-        except Exception:  # as for translation
-            reply = None
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[:1], "review_batch": part["review_batch"].iloc[:1], "row_ids": [part["row_id"].tolist()], "reply": [reply], "n": [len(part)]})
+        except Exception as e:  # as for translation
+            error = f"provider_error: {type(e).__name__}: {e}"
+        place = pd.Series(range(len(part)), index=part.index).sort_index()
+        return {"place": place.tolist(), "reply": [reply] * len(part), "error": [error] * len(part), "n": [len(part)] * len(part)}
 
     sent = rows.where(F.col("selected") & (F.col("review_batch") < requests)).select("doc_id", "review_batch", "row_id", "source", "output")
-    replies = sent.groupBy("doc_id", "review_batch").applyInPandas(ask, spec).withColumn("v", verdict_rows(F.col("reply"), F.col("n")))
-    verdicts = replies.where("v is not null").select("doc_id", F.explode("v").alias("x"), "row_ids").select("doc_id", F.element_at("row_ids", F.col("x.id") + 1).alias("row_id"), F.col("x.verdict").alias("verdict"), F.col("x.output").alias("new_output"))
+    replies = cut(add_by_group(sent, ["doc_id", "review_batch"], ["row_id", "source", "output"], {"place": "int", "reply": "string", "error": "string", "n": "int"}, ask))
+    own = F.filter(verdict_rows(F.col("reply"), F.col("n")), lambda x: x["id"] == F.col("place"))
+    verdicts = replies.select("doc_id", "row_id", own.alias("v"), "error").select("doc_id", "row_id", "error", F.get("v", F.lit(0)).alias("x")).select("doc_id", "row_id", "error", F.col("x.verdict").alias("verdict"), F.col("x.output").alias("new_output"), F.col("x.evidence").alias("evidence"), F.lit(True).alias("sent"))
     out = rows.join(verdicts, ["doc_id", "row_id"], "left")
-    code = T.validate_pair(F.col("source"), F.coalesce("new_output", "output"), lang)
-    out = out.withColumn("__code", F.when(F.col("verdict") == "corrected", code))
-    review = F.when(~F.col("selected"), "not_selected").when(F.col("verdict").isNull(), "unchecked").when(F.col("__code").isNotNull(), "failed").otherwise(F.col("verdict"))
+    corrects = F.coalesce(F.col("verdict") == "corrected", F.lit(False))
+    quoted = F.coalesce((F.trim("evidence") != "") & F.contains("source", F.col("evidence")), F.lit(False))
+    final = F.when(corrects, F.col("new_output")).otherwise(F.col("output"))
+    out = out.withColumn("__code", F.when(F.col("verdict").isNotNull(), T.validate_pair(F.col("source"), final, lang)))
+    unchecked = F.col("verdict").isNull() | (corrects & ~quoted)
+    review = F.when(~F.col("selected"), "not_selected").when(unchecked, "unchecked").when(F.col("__code").isNotNull(), "failed").when(corrects & ~F.col("new_output").eqNullSafe(F.col("output")), "corrected").otherwise("passed")
+    reason = F.when(~F.col("selected"), None).when(F.col("sent").isNull(), "budget_exhausted").when(F.col("error").isNotNull(), F.col("error")).when(unchecked | F.col("__code").isNotNull(), "invalid_review")
     new = F.when(review == "failed", F.lit(None)).when(review == "corrected", F.col("new_output")).otherwise(F.col("output"))
-    return out.withColumn("review", review).withColumn("output", new).drop("__code", "verdict", "new_output")
+    return out.withColumn("review", review).withColumn("reason", reason).withColumn("output", new).drop("__code", "verdict", "new_output", "evidence", "error", "sent")

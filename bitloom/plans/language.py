@@ -233,7 +233,7 @@ def _confirmed(spark, d) -> DataFrame:
 def memory_table(spark, d):
     """The memory after two batches, of even and of odd turns; keys are texts on one of two pages of a conversation."""
     rows = _confirmed(spark, d)
-    return M.upsert_memory(M.upsert_memory(None, rows.where("seq % 2 = 0")), rows.where("seq % 2 = 1")).select("doc_fingerprint", "target_lang", "page", "source_hash", "seq", "formatting_incomplete", F.length("translation").alias("chars"))
+    return M.upsert_memory(M.upsert_memory(None, rows.where("seq % 2 = 0")), rows.where("seq % 2 = 1")).select("doc_fingerprint", "target_lang", "page", "source_hash", "seq", "formatting_incomplete", F.length("translation").alias("chars"), F.sha2("source", 256).alias("source_sha256"))
 
 
 _CONFIRMED_SQL = r"""paired AS (
@@ -242,7 +242,7 @@ _CONFIRMED_SQL = r"""paired AS (
   FROM conversations WHERE text IS NOT NULL AND strpos(text, '!') = 0)"""
 MEMORY_TABLE_SQL = rf"""
 WITH {_CONFIRMED_SQL}
-SELECT doc_fingerprint, target_lang, page, sha256(n) AS source_hash, min(turn)::BIGINT AS seq, arg_max(incomplete, turn) AS formatting_incomplete, arg_max(length(shown), turn)::INT AS chars
+SELECT doc_fingerprint, target_lang, page, sha256(n) AS source_hash, min(turn)::BIGINT AS seq, arg_max(incomplete, turn) AS formatting_incomplete, arg_max(length(shown), turn)::INT AS chars, sha256(arg_min(text, turn)) AS source_sha256
 FROM paired WHERE n <> '' GROUP BY doc_fingerprint, target_lang, page, n
 """
 
@@ -252,17 +252,18 @@ def memory_lookup(spark, d):
     rows = M.upsert_memory(None, _confirmed(spark, d))
     t = table(spark, d, "conversations")
     part = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, F.floor(F.length("text") / 2).cast("int")))
-    asked = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").cast("string").alias("doc_fingerprint"), part.alias("text"), F.lit(0).alias("page"))
-    return M.lookup_memory(asked, rows).select("query_id", "match_type", "memory_seq", "match_page")
+    lang = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ZH_"), F.upper("role")))  # some ask in one language only
+    asked = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").cast("string").alias("doc_fingerprint"), part.alias("text"), F.lit(0).alias("page"), lang.alias("lang"))
+    return M.lookup_memory(asked, rows).select("query_id", "match_type", "memory_seq", "match_page", "match_lang", "formatting_incomplete")
 
 
 MEMORY_LOOKUP_SQL = rf"""
 WITH {_CONFIRMED_SQL},
-m AS (SELECT doc_fingerprint, page, n, min(turn)::BIGINT AS seq FROM paired WHERE n <> '' GROUP BY doc_fingerprint, target_lang, page, n),
-q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id::VARCHAR AS doc, trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN text ELSE substr(text, 1, length(text) // 2) END, '\s+', ' ', 'g')) AS w FROM conversations),
-f AS (SELECT query_id, seq, page, CASE WHEN n = w THEN 'exact' ELSE 'contained' END AS kind, row_number() OVER (PARTITION BY query_id ORDER BY n = w DESC, page = 0 DESC, CASE WHEN n = w THEN 0 ELSE length(n) END, seq DESC, page) AS k
-  FROM q JOIN m ON doc = doc_fingerprint AND contains(n, w) WHERE w <> '')
-SELECT q.query_id, kind AS match_type, seq AS memory_seq, page AS match_page FROM q LEFT JOIN f ON f.query_id = q.query_id AND k = 1
+m AS (SELECT doc_fingerprint, target_lang, page, n, min(turn)::BIGINT AS seq, arg_max(incomplete, turn) AS incomplete FROM paired WHERE n <> '' GROUP BY doc_fingerprint, target_lang, page, n),
+q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id::VARCHAR AS doc, CASE WHEN turn % 4 = 1 THEN 'zh-' || lower(role) END AS lang, trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN text ELSE substr(text, 1, length(text) // 2) END, '\s+', ' ', 'g')) AS w FROM conversations),
+f AS (SELECT query_id, seq, page, target_lang, incomplete, CASE WHEN n = w THEN 'exact' ELSE 'contained' END AS kind, row_number() OVER (PARTITION BY query_id ORDER BY n = w DESC, page = 0 DESC, CASE WHEN n = w THEN 0 ELSE length(n) END, seq DESC, page) AS k
+  FROM q JOIN m ON doc = doc_fingerprint AND contains(n, w) WHERE w <> '' AND (lang IS NULL OR lang = target_lang))
+SELECT q.query_id, kind AS match_type, seq AS memory_seq, page AS match_page, target_lang AS match_lang, incomplete AS formatting_incomplete FROM q LEFT JOIN f ON f.query_id = q.query_id AND k = 1
 """
 
 

@@ -248,11 +248,11 @@ def test_review_selection(spark):
     assert dict(rows(reviewed.groupBy("review").count())) == {"passed": 20, "not_selected": 5}
     bad = model_steps.review_batches(c, lambda rows_: '[{"id": true, "verdict": "passed"}]')
     assert dict(rows(bad.groupBy("review").count())) == {"unchecked": 20, "not_selected": 5}
-    wrong = model_steps.review_batches(c, lambda rows_: "[" + ",".join(f'{{"id": {r["id"]}, "verdict": "corrected", "output": "{{v9}}"}}' for r in rows_) + "]")
+    wrong = model_steps.review_batches(c, lambda rows_: "[" + ",".join(f'{{"id": {r["id"]}, "verdict": "corrected", "evidence": "words", "output": "{{v9}}"}}' for r in rows_) + "]")
     assert wrong.where("review = 'failed' and output is null").count() == 20
 
 
 def test_trim_and_inspect(spark):
     s = spark.createDataFrame([(1, 0, "first plain prose text"), (1, 1, "second plain prose text"), (1, 2, "third")], "batch_id int, row_id int, source string")
     r = spark.createDataFrame([(1, '<think>x</think>```json\n[{"id": 0, "output": "甲"}, {"id": 1, "output": "乙"}, {"id": 1, "output": "丙"}, {"id": 7, "output": "z"}]\n```')], "batch_id int, reply string")
-    assert rows(model_steps.inspect_batch(r, s, "zh"), "row_id", "output", "code") == [(0, "甲", None), (1, None, "duplicate_row"), (2, None, "missing_row")]
+    assert rows(model_steps.inspect_batch(r, s, "zh"), "row_id", "output", "code") == [(0, "甲", None), (1, None, "invalid_or_duplicate_paragraph_id"), (2, None, "paragraph_count_mismatch")]
