@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,20 +224,56 @@ def paired_delta(pairs: DataFrame, keys: list[str], before: str = "before", afte
     return pairs.groupBy(*keys).agg(F.count(d).alias("pairs"), gate(F.avg(d)).alias("mean_delta"), gate(F.min(d)).alias("low_delta"), gate(F.max(d)).alias("high_delta"))
 
 
+# Multipliers of a 32-bit mixing function, and a step between repetitions.
+MIX = (0x7FEB352D, 0x5BD1E995)
+STEP = 0x9E3779B1
+#: A cluster is drawn at most so often in a repetition; the chance of more is under one in 10 ** 12.
+MOST_DRAWN = 14
+
+
+def draw_limits() -> list[int]:
+    """Below which number of 2 ** 32 a cluster is drawn 0, 1, 2 ... times: the sums of the Poisson distribution of mean 1."""
+    out, p, total = [], math.exp(-1), 0.0
+    for k in range(MOST_DRAWN):
+        total += p
+        out.append(int(total * 2**32))
+        p /= k + 1
+    return out
+
+
+def replicate_weights(seeds: np.ndarray, reps: int) -> np.ndarray:
+    """(seeds, reps): how often each cluster is drawn in each repetition, from its 32-bit seed."""
+    x = (seeds.astype(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None] * np.uint64(STEP)) & np.uint64(0xFFFFFFFF)
+    for m in MIX:
+        x = ((x ^ (x >> np.uint64(15))) * np.uint64(m)) & np.uint64(0xFFFFFFFF)
+    return np.searchsorted(np.array(draw_limits(), dtype=np.uint64), x ^ (x >> np.uint64(15)), side="right")
+
+
 def cluster_bootstrap(pairs: DataFrame, cluster: str, stratum: str, delta: str, reps: int = 4000, seed: int = 61027) -> DataFrame:
-    """(mean_delta, low, high): a 95 % interval of the mean difference, clusters drawn anew within strata.
+    """(mean_delta, low, high): a 95 % interval of the mean difference over repetitions in which clusters are drawn anew.
 
-    Clusters are summed first; a draw is a hash of seed, repetition, stratum and place, so nothing random is kept on the driver
-    and the work is repetitions times clusters, however many pairs there are.
+    Clusters of a stratum are summed first. Each cluster is drawn in each repetition as often as a hash of seed, stratum, cluster and
+    repetition says, with mean 1 (so a stratum's number of clusters is held on average). A task adds up its clusters' weighted sums as
+    two vectors, so what is shuffled is repetitions times tasks, however many clusters and pairs there are; the work in tasks is
+    repetitions times clusters. Null differences do not count; without any, all three are null.
     """
-    sums = pairs.where(F.col(delta).isNotNull()).groupBy(F.col(stratum).alias("s"), F.col(cluster).alias("c")).agg(F.sum(delta).alias("d"), F.count(delta).alias("n"))
-    numbered = cut(sums.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("c")) - 1))
-    counts = numbered.groupBy("s").agg(F.count("*").alias("k"))
-    draws = counts.select("s", "k", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("s", "k", "rep", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"))
-    drawn = draws.select("rep", "s", F.pmod(F.xxhash64(F.lit(seed), "rep", "s", "j"), F.col("k")).alias("i"))
-    means = drawn.join(numbered, ["s", "i"]).groupBy("rep").agg((F.sum("d") / F.sum("n")).alias("m"))
+    sums = pairs.where(F.col(delta).isNotNull()).groupBy(F.col(stratum).alias("s"), F.col(cluster).alias("c")).agg(F.sum(delta).cast("double").alias("d"), F.count(delta).alias("n"))
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("s").cast("string"), F.lit("")), F.coalesce(F.col("c").cast("string"), F.lit("")))
+    hashed = sums.select(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long").alias("seed"), "d", "n")
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, n = np.zeros(reps), np.zeros(reps)
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.iloc[a : a + 1000]
+                w = replicate_weights(part["seed"].to_numpy(), reps)
+                d += part["d"].to_numpy() @ w
+                n += part["n"].to_numpy() @ w
+        yield pd.DataFrame({"rep": np.arange(1, reps + 1), "d": d, "n": n})
+
+    means = hashed.mapInPandas(vectors, "rep int, d double, n double").groupBy("rep").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return sums.agg((F.sum("d") / F.sum("n")).alias("mean_delta")).join(ends)
+    return sums.agg(F.try_divide(F.sum("d"), F.sum("n")).alias("mean_delta")).join(ends)
 
 
 def quota_check(df: DataFrame, spec: DataFrame, keys: list[str]) -> DataFrame:

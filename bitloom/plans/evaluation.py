@@ -167,7 +167,20 @@ PAIRED_DELTA_SQL = f"WITH {_PAIRS_SQL} SELECT user_id, count(*) AS pairs, round(
 
 def bootstrap_ci(spark, d):
     rows = _labelled(spark, d).select("source", "lang", (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
-    return E.cluster_bootstrap(rows, "source", "lang", "delta")
+    out = E.cluster_bootstrap(rows, "source", "lang", "delta")
+    return out.select(*(F.round(c, 9).alias(c) for c in ("mean_delta", "low", "high")))
+
+
+BOOTSTRAP_SQL = f"""
+WITH sums AS (SELECT lang AS s, source AS c, sum((quality - toxic)::DOUBLE) AS d, count(quality - toxic)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) WHERE quality - toxic IS NOT NULL GROUP BY ALL),
+seeds AS (SELECT ('0x' || substr(md5('61027|' || coalesce(s, '') || '|' || coalesce(c, '')), 1, 8))::BIGINT AS seed, d, n FROM sums),
+x0 AS (SELECT rep, d, n, (seed + rep::BIGINT * {E.STEP}) & 4294967295 AS x FROM seeds, range(1, 4001) r(rep)),
+x1 AS (SELECT rep, d, n, (xor(x, x >> 15) * {E.MIX[0]}) & 4294967295 AS x FROM x0),
+x2 AS (SELECT rep, d, n, (xor(x, x >> 15) * {E.MIX[1]}) & 4294967295 AS x FROM x1),
+drawn AS (SELECT rep, d, n, len(list_filter({E.draw_limits()}, lambda l: l <= xor(x, x >> 15))) AS w FROM x2),
+means AS (SELECT rep, sum(w * d) / nullif(sum(w * n), 0) AS m FROM drawn GROUP BY rep)
+SELECT round((SELECT sum(d) / sum(n) FROM sums), 9) AS mean_delta, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means
+"""
 
 
 def quota_check(spark, d):
@@ -437,6 +450,7 @@ SELECT sample_id, sum(n)::BIGINT AS runs, string_agg(s || '=' || n, ',' ORDER BY
 
 QUERIES = {f.__name__: f for f in (near_duplicates, leakage_pairs, spanning_families, length_strata, run_summary, weighted_score, stability, repeat_stability, paired_runs, paired_delta, bootstrap_ci, quota_check, coverage, model_common_papers, common_keys, audit_sample, blind_packet, run_complete, unresolved_dispatch, unexecuted, review_coverage, placeholder_diff, review_binding, exposure, schedule_jobs, samples_from_blocks, fingerprint, leakage_spans, samples_checked, run_results, jobs_left, blind_keys, payload_pairs, repeat_statuses)}
 SQL = {
+    "bootstrap_ci": BOOTSTRAP_SQL,
     "near_duplicates": NEAR_DUPLICATES_SQL, "leakage_pairs": LEAKAGE_SQL, "spanning_families": SPANNING_SQL, "length_strata": LENGTH_STRATA_SQL, "run_summary": RUN_SUMMARY_SQL, "weighted_score": WEIGHTED_SQL, "stability": STABILITY_SQL, "repeat_stability": REPEAT_SQL, "paired_runs": PAIRED_RUNS_SQL,
     "paired_delta": PAIRED_DELTA_SQL, "quota_check": QUOTA_SQL, "coverage": COVERAGE_SQL, "model_common_papers": MODELS_SQL, "common_keys": COMMON_SQL, "audit_sample": AUDIT_SQL, "blind_packet": BLIND_SQL, "run_complete": RUN_COMPLETE_SQL, "unresolved_dispatch": UNRESOLVED_SQL, "unexecuted": UNEXECUTED_SQL,
     "review_coverage": REVIEW_COVERAGE_SQL, "placeholder_diff": PLACEHOLDER_SQL, "review_binding": REVIEW_BINDING_SQL, "exposure": EXPOSURE_SQL, "schedule_jobs": SCHEDULE_SQL, "samples_from_blocks": SAMPLES_SQL,

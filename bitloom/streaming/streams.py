@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bitloom.operators.memory import upsert_memory
+from bitloom.sources import published
 
 
 def live_request_metrics(ledger: DataFrame, delay: str = "1 minute", width: str = "1 minute") -> DataFrame:
@@ -325,45 +325,35 @@ MEMORY_PARTS = 64
 
 
 def read_memory(spark: SparkSession, table: str) -> DataFrame | None:
-    """The memory table that sync_memory_stream keeps: of each part its newest generation; None before the first."""
-    files = _parts(spark, table)
-    if files is None:
-        return None
-    newest = files.groupBy("part").agg(F.max("generation").alias("generation"))
-    return spark.read.parquet(table).join(F.broadcast(newest), ["part", "generation"], "left_semi").drop("part", "generation")
-
-
-def _parts(spark: SparkSession, table: str) -> DataFrame | None:
-    """(part, generation) of the table's folders: MEMORY_PARTS times the generations that are kept."""
-    try:
-        return spark.read.parquet(table).select("part", "generation").distinct()
-    except AnalysisException:  # nothing written yet
-        return None
+    """The memory table that sync_memory_stream keeps; None before the first batch that changes anything."""
+    return published.read(spark, table)
 
 
 def sync_memory_stream(batches: DataFrame, table: str, checkpoint: str, done: Callable[[int], None] | None = None):
     """Start a query that upserts confirmed paragraphs into a Parquet table of parts by document.
 
-    A batch reads and writes only the parts that its documents belong to, in a generation folder of its own, so that one that is
-    run again writes the same folder again. A batch that changes nothing, as with sources that have been synced before, writes nothing.
+    A batch reads and writes only the parts that its documents belong to and then publishes them (see sources.published), so that readers see all of a
+    batch or nothing of it. One that is run again before it was published writes its folder again, one that was published is
+    passed over. A batch that changes nothing, as with sources that have been synced before, writes nothing. Parts that are replaced are removed
+    one batch later, so files do not grow with the number of batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("doc_fingerprint"), F.lit(MEMORY_PARTS)).cast("int")
-        rows = batch.persist()
-        touched = [r[0] for r in rows.select(part.alias("part")).distinct().collect()]  # MEMORY_PARTS at most
-        files = _parts(spark, table)
-        before = None
-        if files is not None:
-            newest = files.where(F.col("generation") < batch_id).groupBy("part").agg(F.max("generation").alias("generation"))
-            before = spark.read.parquet(table).where(F.col("part").isin(touched)).join(F.broadcast(newest), ["part", "generation"], "left_semi").drop("part", "generation")
-        after = upsert_memory(before, rows).persist()
-        content = [c for c in after.columns if c not in ("seq", "updated_seq")]
-        if before is None or not after.select(content).exceptAll(before.select(content)).isEmpty():
-            after.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{table}/generation={batch_id}")
-        after.unpersist()
-        rows.unpersist()
+        origin = f"{checkpoint}#{batch_id}"
+        if not published.was_published(spark, table, origin):
+            part = F.pmod(F.xxhash64("doc_fingerprint"), F.lit(MEMORY_PARTS)).cast("string")
+            rows = batch.persist()
+            touched = [r[0] for r in rows.select(part.alias("part")).distinct().collect()]  # MEMORY_PARTS at most
+            before = published.read(spark, table, touched)
+            after = upsert_memory(before, rows).persist()
+            content = [c for c in after.columns if c not in ("seq", "updated_seq")]
+            if before is None or not after.select(content).exceptAll(before.select(content)).isEmpty():
+                version = published.next_version(spark, table)
+                made = published.write(after.withColumn("__part", part), table, version, "__part")
+                published.publish(spark, table, version, {**published.manifest(spark, table)[0], **made}, origin=origin)
+            after.unpersist()
+            rows.unpersist()
         if done:
             done(batch_id)
 
