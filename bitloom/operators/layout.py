@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import geometry as G
+from bitloom.functions import text as T
 from bitloom.functions.groups import add_by_group, components
+from bitloom.functions.storage import cut
 
 PAGE = ["doc_id", "page"]
 # Fixed value: the class of regions that are cells of tables with lines.
@@ -552,40 +554,35 @@ def formula_offsets(parts: DataFrame, keys: list[str], order: str = "part_idx")
 
 
 def locate_text(glyphs: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle_id, line, x, y, x2, y2): line rectangles of a text that occurs once on its page. glyphs: doc_id, page, glyph_idx, char, box; needles: needle_id, doc_id, page, text.
+    """(needle_id, line, x, y, x2, y2): line rectangles of a text that occurs once on its page. glyphs: doc_id, page, glyph_idx, char, box; needles: needle_id (unique), doc_id, page, text.
 
-    Both are compared in lower case without white space; with no match, hyphens at line ends are left out of the page as well.
+    Both are compared in lower case without white space; where that gives no single place, hyphens at line ends are left out of the page
+    as well. A page's text is made once, as one row for each of the two ways; needles meet that row for the place alone, and then
+    by position the glyphs that lie there. A line ends where the next glyph lies below, above or left of all of it.
+    Null and blank glyphs do not count; a null or blank needle is nowhere.
     """
-    spec = "needle_id long, line int, x double, y double, x2 double, y2 double"
-    body = glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("glyph_idx", "char", "x", "y", "x2", "y2"))).alias("glyphs"))
-    asked = needles.join(body, PAGE).select("needle_id", "text", "glyphs")
-
-    def find(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                g = [x for x in r.glyphs if x["char"] and not x["char"].isspace()]
-                wanted = "".join(r.text.lower().split())
-                last = [i + 1 < len(g) and (g[i + 1]["y2"] <= g[i]["y"] or g[i + 1]["x2"] < g[i]["x"]) for i in range(len(g))]
-                for kept in (list(range(len(g))), [i for i in range(len(g)) if not (g[i]["char"] in "-­" and last[i])]):
-                    chars, owner = [], []
-                    for i in kept:
-                        for c in g[i]["char"].lower():
-                            chars.append(c)
-                            owner.append(i)
-                    page = "".join(chars)
-                    at = page.find(wanted) if wanted else -1
-                    if at < 0 or page.find(wanted, at + 1) >= 0:
-                        continue
-                    line, box = 0, None
-                    for i in dict.fromkeys(owner[at : at + len(wanted)]):
-                        b = [g[i][k] for k in ("x", "y", "x2", "y2")]
-                        if box and (b[3] <= box[1] or b[1] >= box[3] or b[0] < box[0]):
-                            out.append((r.needle_id, line, *box))
-                            line, box = line + 1, None
-                        box = b if box is None else [min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3])]
-                    out.append((r.needle_id, line, *box))
-                    break
-            yield pd.DataFrame(out, columns=["needle_id", "line", "x", "y", "x2", "y2"])
-
-    return asked.mapInPandas(find, spec)
+    order = Window.partitionBy(*PAGE).orderBy("glyph_idx")
+    shown = glyphs.where(F.translate("char", T.WHITE, "") != "").select(*PAGE, "glyph_idx", "char", "x", "y", "x2", "y2")
+    turns = F.coalesce((F.lead("y2").over(order) <= F.col("y")) | (F.lead("x2").over(order) < F.col("x")), F.lit(False))
+    shown = shown.withColumns({"n": F.row_number().over(order), "folded": F.lower("char"), "wraps": F.col("char").isin("-", "\u00ad") & turns})
+    shown = cut(shown.withColumn("way", F.explode(F.when(F.col("wraps"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))))
+    pages = shown.groupBy(*PAGE, "way").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "folded"))), lambda g: g["folded"]), "").alias("body"))
+    wanted = F.translate(F.lower("text"), T.WHITE, "")
+    asked = needles.select("needle_id", *PAGE, wanted.alias("wanted")).where("wanted <> ''")
+    found = asked.join(pages, PAGE).withColumn("at", F.position("wanted", "body")).where("at > 0")
+    found = found.where(F.position(F.col("wanted"), F.col("body"), F.col("at") + 1) == 0)
+    place = found.groupBy("needle_id", *PAGE).agg(F.min(F.struct("way", "at", F.length("wanted").alias("size"))).alias("p"))
+    at = place.select("needle_id", *PAGE, F.col("p.way").alias("way"), F.explode(F.sequence(F.col("p.at"), F.col("p.at") + F.col("p.size") - 1)).alias("pos"))
+    through = F.sum(F.length("folded")).over(Window.partitionBy(*PAGE, "way").orderBy("n")).cast("int")
+    owners = shown.withColumn("through", through).select(*PAGE, "way", "n", "x", "y", "x2", "y2", F.explode(F.sequence(F.col("through") - F.length("folded") + 1, F.col("through"))).alias("pos"))
+    box = lambda *c: F.struct(*(v.alias(k) for v, k in zip(c, ("x", "y", "x2", "y2"), strict=True)))
+    hit = at.join(owners, [*PAGE, "way", "pos"]).groupBy("needle_id").agg(F.sort_array(F.collect_set(F.struct("n", "x", "y", "x2", "y2"))).alias("g"))
+
+    def grow(lines: Column, g: Column) -> Column:
+        last = F.element_at(lines, -1)
+        apart = (F.size(lines) == 0) | (g["y2"] <= last["y"]) | (g["y"] >= last["y2"]) | (g["x"] < last["x"])
+        wider = box(F.least(last["x"], g["x"]), F.least(last["y"], g["y"]), F.greatest(last["x2"], g["x2"]), F.greatest(last["y2"], g["y2"]))
+        return F.when(apart, F.concat(lines, F.array(box(g["x"], g["y"], g["x2"], g["y2"])))).otherwise(F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(wider)))
+
+    lines = F.aggregate("g", F.array().cast("array<struct<x:double,y:double,x2:double,y2:double>>"), grow)
+    return hit.select("needle_id", F.posexplode(lines).alias("line", "b")).select("needle_id", "line", "b.*")

@@ -187,6 +187,30 @@ def char_lines(spark, d):
     return rows.groupBy(*L.PAGE).agg(F.count("*").alias("chars"), F.count_distinct("line_idx").alias("lines"), (F.max("gap_line") + 1).alias("gap_lines"), F.sha2(F.array_join(text, ","), 256).alias("order_sha256"))
 
 
+def located_words(spark, d):
+    """Where on its page a turn's third to twelfth word stand; a turn is a page, a word a glyph, eight of them a line."""
+    words = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.regexp_extract_all("text", F.lit(r"(\S+)"), 1).alias("w"))
+    row, place = F.floor(F.col("glyph_idx") / 8), F.col("glyph_idx") % 8 * 60.0
+    glyphs = words.select("doc_id", "page", F.posexplode("w").alias("glyph_idx", "char")).withColumns({"x": place, "y": 800.0 - row * 12, "x2": place + 50, "y2": 810.0 - row * 12})
+    needles = words.select((F.col("doc_id") * 1000 + F.col("page")).alias("needle_id"), "doc_id", "page", F.array_join(F.slice("w", 3, 10), " ").alias("text"))
+    return L.locate_text(glyphs, needles)
+
+
+LOCATED_SQL = r"""
+WITH w AS (SELECT conv_id * 1000 + turn AS needle_id, regexp_extract_all(text, '\S+') AS w FROM conversations),
+g AS (SELECT needle_id, unnest(w) AS c, unnest(range(len(w))) AS i, len(w) AS n FROM w),
+ways AS (SELECT g.*, way FROM g, (SELECT unnest([0, 1]) AS way) WHERE way = 0 OR NOT (c IN ('-', chr(173)) AND i % 8 = 7 AND i + 1 < n)),
+body AS (SELECT needle_id, way, string_agg(lower(c), '' ORDER BY i) AS body FROM ways GROUP BY ALL),
+asked AS (SELECT needle_id, lower(array_to_string(w[3:12], '')) AS wanted FROM w),
+hit AS (SELECT needle_id, min(way) AS way FROM body JOIN asked USING (needle_id) WHERE wanted <> '' AND strpos(body, wanted) > 0 AND strpos(substr(body, strpos(body, wanted) + 1), wanted) = 0 GROUP BY 1),
+placed AS (SELECT needle_id, way, c, i, sum(length(lower(c))) OVER (PARTITION BY needle_id, way ORDER BY i) AS through FROM ways),
+found AS (SELECT p.needle_id, p.i FROM hit h JOIN asked a USING (needle_id) JOIN body b USING (needle_id, way) JOIN placed p USING (needle_id, way)
+  WHERE through >= strpos(body, wanted) AND through - length(lower(c)) + 1 < strpos(body, wanted) + length(wanted)),
+lines AS (SELECT needle_id, i // 8 AS row, min(i % 8) * 60.0::DOUBLE AS x, max(i % 8) * 60.0::DOUBLE + 50 AS x2 FROM found GROUP BY 1, 2)
+SELECT needle_id, (row_number() OVER (PARTITION BY needle_id ORDER BY row) - 1)::INT AS line, x, 800.0::DOUBLE - row * 12 AS y, x2, 810.0::DOUBLE - row * 12 AS y2 FROM lines
+"""
+
+
 # --- streams, run to their end over the tables
 
 
@@ -295,9 +319,9 @@ def stream_calls_once(spark, d):
 CALLS_ONCE_SQL = "SELECT event_type AS event, count(*) AS calls FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k, event_type FROM events) GROUP BY 1"
 
 
-QUERIES = {f.__name__: f for f in (region_assign, formula_region, element_assign, overlaps, protected_elements, line_metrics, paragraph_boxes, line_spacing, doc_flags, box_functions, char_lines, stream_task_feed, stream_usage_totals, stream_paragraph_states, stream_buckets, stream_calls_once)}
+QUERIES = {f.__name__: f for f in (region_assign, formula_region, element_assign, overlaps, protected_elements, line_metrics, paragraph_boxes, line_spacing, doc_flags, box_functions, char_lines, located_words, stream_task_feed, stream_usage_totals, stream_paragraph_states, stream_buckets, stream_calls_once)}
 SQL = {
     "region_assign": REGION_SQL, "formula_region": FORMULA_REGION_SQL, "element_assign": ELEMENT_SQL, "overlaps": OVERLAPS_SQL, "protected_elements": PROTECTED_SQL, "line_metrics": LINE_METRICS_SQL, "paragraph_boxes": PARAGRAPH_BOXES_SQL, "line_spacing": LINE_SPACING_SQL, "doc_flags": DOC_FLAGS_SQL,
-    "box_functions": BOX_FUNCTIONS_SQL, "stream_task_feed": TASK_FEED_SQL, "stream_usage_totals": USAGE_TOTALS_SQL,
+    "box_functions": BOX_FUNCTIONS_SQL, "located_words": LOCATED_SQL, "stream_task_feed": TASK_FEED_SQL, "stream_usage_totals": USAGE_TOTALS_SQL,
     "stream_paragraph_states": PARAGRAPH_STATES_SQL, "stream_buckets": STREAM_BUCKETS_SQL, "stream_calls_once": CALLS_ONCE_SQL,
 }

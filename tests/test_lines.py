@@ -202,3 +202,15 @@ def test_other_columns_pass_unchanged(spark):
     for out in (paragraphs.batch_by_budget(df, ["doc_id", "page"], "part_idx", "size"), layout.resolve_overlap(df, "part_idx"), layout.merge_formulas(df), layout.cluster_lines(df.withColumnRenamed("part_idx", "char_idx")).withColumnRenamed("char_idx", "part_idx")):
         assert key(out.select("doc_id", "part_idx", "region_id", "size").collect()) == key([(m[0], m[3], m[5], m[6]) for m in made])
     assert [r["group"] for r in layout.merge_formulas(df).where("doc_id = 1").orderBy("part_idx").collect()] == [0, 1, 2, 3]
+
+
+def test_texts_are_located_once_whatever_asks(spark):
+    line = lambda i, c: (i % 4 * 10.0, 100.0 - 12 * (i // 4), i % 4 * 10.0 + 9, 108.0 - 12 * (i // 4))
+    glyphs = [(1, 0, i, c, *line(i, c)) for i, c in enumerate(["ﬁ", "B", " ", "-", "c", None, "-", "d", "E", "f", "İ", "x"])] + [(None, 0, 0, "a", *line(0, "a"))]
+    needles = [(1, 1, 0, "fib"), (2, 1, 0, "ﬁ b-c"), (3, 1, 0, "bc"), (4, 1, 0, "de f"), (5, 1, 0, ""), (6, 1, 0, None), (7, 1, 0, "-"), (8, 1, 0, "c-d"), (9, 2, 0, "b"), (10, 1, 0, "i̇X"), (11, 1, 0, "bcd")]
+    out = layout.locate_text(spark.createDataFrame(glyphs, f"doc_id long, page int, glyph_idx int, char string, {BOX}"), spark.createDataFrame(needles, "needle_id long, doc_id long, page int, text string"))
+    got = {}
+    for r in out.orderBy("needle_id", "line").collect():
+        got.setdefault(r["needle_id"], []).append((r["x"], r["y"], r["x2"], r["y2"]))
+    top, middle, low = (0.0, 100.0, 19.0, 108.0), (0.0, 88.0, 9.0, 96.0), (0.0, 76.0, 19.0, 84.0)
+    assert got == {2: [(0.0, 100.0, 39.0, 108.0), middle], 3: [(10.0, 100.0, 19.0, 108.0), middle], 4: [(30.0, 88.0, 39.0, 96.0), low], 7: [(20.0, 88.0, 29.0, 96.0)], 8: [(0.0, 88.0, 39.0, 96.0)], 10: [(20.0, 76.0, 39.0, 84.0)]} and top
