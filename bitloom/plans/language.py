@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions import tables
 from bitloom.functions import text as T
 from bitloom.operators import memory as M
 from bitloom.operators import paragraphs as P
@@ -376,6 +377,13 @@ def batches_by_budget(spark, d):
     return P.batch_by_budget(rows, ["doc_id", "page"], "para_idx", "tokens")
 
 
+def batches_from_sql(spark, d):
+    """batches_by_budget as a table function in SQL."""
+    tables.register(spark)
+    rows = _paged(spark, d).select("doc_id", "page", "para_idx", T.word_count(F.col("text")).alias("tokens"))
+    return spark.sql("SELECT * FROM budget_batches(TABLE({rows}) PARTITION BY (doc_id, page) ORDER BY (para_idx), 'tokens', 200, 5)", rows=rows)
+
+
 BATCHES_SQL = f"""
 WITH RECURSIVE {PARAS_SQL},
 sized AS (SELECT doc_id, para_idx // 20 AS page, para_idx, len(regexp_extract_all(text, '\\S+'))::INT AS tokens FROM paras),
@@ -458,9 +466,9 @@ SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '^[\p{{P}}\s]+$')) AS p
 FROM w GROUP BY lang
 """
 
-QUERIES = {f.__name__: f for f in (term_hits_by_lang, auto_glossary_vote, term_language_override, term_conflicts, term_source_counts, pack_status, dictionary_topk, dictionary_lookup, memory_exact, memory_contained, memory_upsert_latest, memory_table, memory_lookup, cache_lookup, reverse_lookup, import_new, source_map, skip_reasons, latest_title, neighbor_context, boundary_pairs, batches_by_budget, reference_flags, continuations, sentence_align, text_volume, safe_csv, attachment_names, text_checks)}
+QUERIES = {f.__name__: f for f in (term_hits_by_lang, auto_glossary_vote, term_language_override, term_conflicts, term_source_counts, pack_status, dictionary_topk, dictionary_lookup, memory_exact, memory_contained, memory_upsert_latest, memory_table, memory_lookup, cache_lookup, reverse_lookup, import_new, source_map, skip_reasons, latest_title, neighbor_context, boundary_pairs, batches_by_budget, batches_from_sql, reference_flags, continuations, sentence_align, text_volume, safe_csv, attachment_names, text_checks)}
 SQL = {
     "term_hits_by_lang": TERM_HITS_SQL, "auto_glossary_vote": AUTO_GLOSSARY_SQL, "term_language_override": TERM_LANGUAGE_SQL, "term_conflicts": TERM_CONFLICTS_SQL, "term_source_counts": TERM_SOURCE_COUNTS_SQL, "pack_status": PACK_STATUS_SQL,
     "dictionary_topk": DICTIONARY_TOPK_SQL, "memory_exact": MEMORY_EXACT_SQL, "memory_contained": MEMORY_CONTAINED_SQL, "memory_upsert_latest": MEMORY_UPSERT_SQL, "cache_lookup": CACHE_LOOKUP_SQL, "memory_table": MEMORY_TABLE_SQL, "memory_lookup": MEMORY_LOOKUP_SQL, "source_map": SOURCE_MAP_SQL, "reverse_lookup": REVERSE_LOOKUP_SQL,
-    "skip_reasons": SKIP_REASONS_SQL, "latest_title": LATEST_TITLE_SQL, "neighbor_context": NEIGHBOR_CONTEXT_SQL, "batches_by_budget": BATCHES_SQL, "text_volume": TEXT_VOLUME_SQL, "safe_csv": SAFE_CSV_SQL, "attachment_names": ATTACHMENT_SQL, "text_checks": TEXT_CHECKS_SQL, "import_new": IMPORT_NEW_SQL,
+    "skip_reasons": SKIP_REASONS_SQL, "latest_title": LATEST_TITLE_SQL, "neighbor_context": NEIGHBOR_CONTEXT_SQL, "batches_by_budget": BATCHES_SQL, "batches_from_sql": BATCHES_SQL, "text_volume": TEXT_VOLUME_SQL, "safe_csv": SAFE_CSV_SQL, "attachment_names": ATTACHMENT_SQL, "text_checks": TEXT_CHECKS_SQL, "import_new": IMPORT_NEW_SQL,
 }
