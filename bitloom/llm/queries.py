@@ -207,7 +207,7 @@ asked AS (
     list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
     list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS pattern
   FROM (SELECT *, list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)), '/'), lambda x: x <> '') AS segments
-        FROM (SELECT DISTINCT * FROM seen) WHERE host <> '' AND length(host) <= 253)),
+        FROM (SELECT DISTINCT * FROM seen) WHERE host <> '')),
 best AS (
   SELECT page_id, url, fetched_at, count(*) AS matches,
          min_by({'v': verdict, 'l': list, 'p': pattern, 'f': valid_from, 't': valid_to}, {'a': -length(pattern), 'b': verdict <> 'allow', 'c': list, 'd': pattern}) AS e

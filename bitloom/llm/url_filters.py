@@ -2,8 +2,8 @@
 
 Dated list entries (add or remove a pattern) become validity intervals. Every capture is held against the entries that
 were active when it was fetched: an as-of join as an equi-join on pattern and time bucket, verified by the interval. The
-candidates of a URL are its host, the host's parent domains, and the host with its first path segments, as many as the
-deepest entry has. A host with a
+candidates of a URL are its host and the host's parent domains, of as many labels as entries have, and the host with its
+first path segments, of as many as entries have: names and paths of any length cost no more than that. A host with a
 third of all captures is spread by the time buckets, and the join is one that Spark splits where it is still skewed.
 """
 
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import cut
 
 BUCKET_DAYS = 30
-#: A longer name is no host name and has no candidates (the limit of the domain name system).
-HOST_LENGTH = 253
 
 
 def host_of(url: Column) -> Column:
@@ -27,16 +25,17 @@ def _path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def candidates(url: Column, depth: int = 2) -> Column:
-    """The patterns that can match a URL, in lower case: host and parents of two labels or more, and host/segment and so on with up to ``depth`` segments."""
+def candidates(url: Column, labels: list[int], depths: list[int]) -> Column:
+    """The patterns that can match a URL, in lower case: host and parents of so many labels (one label only where the host has no more), and the host with so many path segments."""
     host = F.coalesce(host_of(url), F.lit(""))
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    names = F.split(host, r"\.")
+    n = F.size(names)
+    sizes = lambda values: F.lit(sorted(values)).cast("array<int>")
+    fit = F.filter(sizes(labels), lambda k: (k <= n) & ((k > 1) | (n == 1)))
+    parents = F.transform(fit, lambda k: F.array_join(F.slice(names, n - k + 1, k), "."))
     parts = F.filter(F.split(F.lower(F.coalesce(_path_of(url), F.lit(""))), "/"), lambda x: x != "")
-    deep = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    none = F.array().cast("array<string>")
-    return F.when((host == "") | (F.length(host) > HOST_LENGTH), none).otherwise(F.array_distinct(F.concat(parents, F.when((F.size(parts) > 0) & (F.lit(depth) > 0), deep).otherwise(none))))
+    deep = F.transform(F.filter(sizes(depths), lambda k: k <= F.size(parts)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, deep)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -64,12 +63,14 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """
     seen = captures.select(captures[id_col].alias("page_id"), captures[url_col].alias("url"), captures[at_col].cast("timestamp").alias("fetched_at"))
     valid = cut(intervals(entries))
-    depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    # the shapes of patterns: few different numbers, however long the list is
+    depth = F.size(F.split("pattern", "/")) - 1
+    shapes = valid.select(F.when(depth == 0, F.size(F.split("pattern", r"\."))).alias("labels"), F.when(depth > 0, depth).alias("depth")).agg(F.collect_set("labels"), F.collect_set("depth")).first()
     # only buckets in which something was fetched: at most as many as the calendar has months, however far an interval or a wrong date reaches
     buckets = sorted(r[0] for r in seen.where("fetched_at is not null").select(_bucket(F.col("fetched_at")).alias("bucket")).distinct().collect())
     inside = F.filter(F.lit(buckets).cast("array<bigint>"), lambda b: (b >= _bucket(F.col("valid_from"))) & (F.col("valid_to").isNull() | (b <= _bucket(F.col("valid_to")))))
     by_bucket = valid.withColumn("bucket", F.explode(inside))
-    asked = seen.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(candidates(F.col("url"), depth)).alias("pattern"), _bucket(F.col("fetched_at")).alias("bucket"))
+    asked = seen.where("url is not null and fetched_at is not null").distinct().select("*", F.explode(candidates(F.col("url"), *shapes)).alias("pattern"), _bucket(F.col("fetched_at")).alias("bucket"))
     active = asked.join(by_bucket, ["pattern", "bucket"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("pattern").alias("length"), (F.col("verdict") == "allow").alias("allow"))
     best = active.groupBy("page_id", "url", "fetched_at").agg(

@@ -178,6 +178,15 @@ def test_url_filters_match_deep_paths_and_any_case(spark):
     assert [r["url"] for r in hosts.collect()] == ["http://k.example/x/y/z"]
 
 
+def test_url_filters_know_hosts_and_paths_of_any_length(spark):
+    long = ".".join(["label"] * 100) + ".example"
+    path = "/".join("p" * 1 for _ in range(1500))
+    entries = spark.createDataFrame([("l", p, v, "add") for p, v in ((long, "block"), (f"deep.example/{path}", "block"), ("solo", "block"), ("com", "block"))], "list string, pattern string, verdict string, action string").selectExpr("*", "timestamp '2024-01-01' as at")
+    cases = {f"http://{long}/": "block", f"http://x.{long}/": "block", f"http://{long[6:]}/": "pass", f"http://deep.example/{path}/q": "block", f"http://deep.example/{path[2:]}": "pass", "http://solo/": "block", "http://a.com/": "pass", "http://x.solo/": "pass"}
+    captures = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").selectExpr("*", "timestamp '2024-02-01' as fetched_at")
+    assert {r["url"]: r["decision"] for r in url_filters.judge(captures, entries).collect()} == cases
+
+
 # --- 4
 
 
