@@ -29,13 +29,13 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_cols: list[str], text_col
     and formula placeholders are out of the way first. Every run of such characters inside a term is a whole run in a text
     that holds the term, so texts and terms meet on the term's longest run; terms without a run meet on their first pair of
     characters, or their only character. A term that is one run needs no more; the others are checked at their boundaries.
-    Terms are broadcast up to BROADCAST_TERMS rows, else both sides are shuffled by the key.
+    Terms are broadcast up to BROADCAST_TERMS rows, else both sides are shuffled by the key, texts only for terms of several runs.
+    Rows of texts that are the same each have their terms; terms that are the same count as one in the shuffled form.
     """
-    longest = lambda a: F.element_at(F.array_sort(a, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)), 1)
+    longest = lambda a: F.get(F.array_sort(a, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)), F.lit(0))
     spec = terms.withColumn("__term", F.lower(T.glossary_text(F.col(source_col)))).where(F.col("__term") != "")
     spec = spec.withColumn("__runs", _runs(F.col("__term")))
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    side = F.broadcast if small else (lambda df: df)
     body = texts.select(*id_cols, T.glossary_text(F.col(text_col)).alias("__text"))
     kinds = [(spec.where("size(__runs) > 0").withColumn("__key", longest(F.col("__runs"))), _runs(F.col("__text")))]
     bare = spec.where("size(__runs) = 0")
@@ -46,11 +46,22 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_cols: list[str], text_col
     word = r"[\p{IsLatin}\p{N}_]"
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("__term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pattern = F.concat(F.when(F.col("__term").rlike(f"^{word}"), f"(?<!{word})").otherwise(""), quoted, F.when(F.col("__term").rlike(f"{word}$"), f"(?!{word})").otherwise(""))
+    rest = [c for c in terms.columns if c not in id_cols]
+    inside = F.contains(F.lower("__text"), F.col("__term")) & F.regexp_like(F.lower("__text"), pattern)
     out = None
     for known, keys in kinds:
-        found = body.select(*id_cols, "__text", F.explode(keys).alias("__key")).join(side(known), "__key")
-        low = F.lower("__text")
-        hit = found.where((F.col("__term") == F.col("__key")) | (F.contains(low, F.col("__term")) & F.regexp_like(low, pattern))).drop("__text", "__key", "__term", "__runs")
+        known = known.select(*rest, "__term", "__key")
+        alone = F.col("__term") == F.col("__key")
+        if small:  # one pass over the texts, which are never copied
+            hit = body.select(*id_cols, "__text", F.explode(keys).alias("__key")).join(F.broadcast(known), "__key").where(alone | inside).select(*id_cols, *rest)
+        else:  # only ids and keys are shuffled; the texts come back for the few terms that need more than their key
+            told = body.select(*id_cols, F.xxhash64("__text").alias("__hash"), F.explode(keys).alias("__key"))
+            met = told.join(known, "__key")
+            asked = met.where(~alone).select(*(F.col(c).alias(f"__id_{c}") for c in id_cols), F.col("__hash").alias("__asked"), *rest, "__term").distinct()
+            same = F.xxhash64("__text") == F.col("__asked")
+            for c in id_cols:
+                same = same & F.col(c).eqNullSafe(F.col(f"__id_{c}"))
+            hit = met.where(alone).select(*id_cols, *rest).unionByName(body.join(asked, same).where(inside).select(*id_cols, *rest))
         out = hit if out is None else out.unionByName(hit)
     return out
 

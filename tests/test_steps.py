@@ -1,7 +1,7 @@
 """Batches around a model function: budgets, repair, commits, evidence; memory by language; replies' ids."""
 
 
-from bitloom.operators import memory, model_steps
+from bitloom.operators import memory, model_steps, terms
 
 P = "doc_id long, page int, row_id long, source string"
 WIDE = 2**60 + 1
@@ -97,3 +97,13 @@ def test_memory_keeps_the_first_source_and_knows_languages(spark):
     out = memory.lookup_memory(spark.createDataFrame(asked, "query_id int, doc_fingerprint string, text string, page int, lang string"), table)
     got = {r["query_id"]: (r["match_type"], r["match_lang"], r["paragraph_id"], r["formatting_incomplete"]) for r in out.collect()}
     assert got == {1: ("exact", "zh-cn", "p1", False), 2: ("contained", "ja", "p2", False), 3: ("contained", "zh-cn", "p1", False), 4: (None,) * 4, 5: ("exact", "ja", "p2", False), 6: ("contained", "ja", "p2", False)}
+
+
+def test_terms_meet_texts_alike_with_and_without_broadcast(spark, monkeypatch):
+    texts = [(1, None, "The world model and AI-based AI_model for training"), (1, None, "The world model and AI-based AI_model for training"), (None, "x", "用AI训练 模型 world  Model"), (3, "y", None), (4, "z", "")]
+    known = [("world model", "a", 1), ("AI", "b", 2), ("模型", "c", 3), ("模", "d", 4), ("AI_model", "e", 5), ("rain", "f", 6), ("for training", "g", 7)]
+    frame, words = spark.createDataFrame(texts, "doc int, part string, text string"), spark.createDataFrame(known, "source string, target string, seq int")
+    one = sorted(map(tuple, terms.match_terms(frame, words, ["doc", "part"]).collect()), key=repr)
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
+    many = sorted(map(tuple, terms.match_terms(frame, words, ["doc", "part"]).collect()), key=repr)
+    assert one == many and len([r for r in one if r[0] == 1]) == 8 and {r[2] for r in one if r[0] is None} == {"AI", "模型", "模", "world model"}
