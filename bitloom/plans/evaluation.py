@@ -269,10 +269,12 @@ UNRESOLVED_SQL = "SELECT l_orderkey AS job_id, max(l_returnflag) AS status FROM
 
 
 def unexecuted(spark, d):
-    return E.unexecuted(table(spark, d, "customer").select(F.col("c_custkey").alias("job_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("job_id")))
+    """Customers as jobs, which an order that is through has executed."""
+    runs = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("job_id"))
+    return E.unexecuted(table(spark, d, "customer").select(F.col("c_custkey").alias("job_id")), runs)
 
 
-UNEXECUTED_SQL = "SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+UNEXECUTED_SQL = "SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
 
 
 def review_coverage(spark, d):

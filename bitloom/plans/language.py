@@ -285,19 +285,25 @@ SELECT l_orderkey, l_linenumber, response AS cached FROM lineitem LEFT JOIN c ON
 
 
 def reverse_lookup(spark, d):
-    """The start of every answer, looked up among its conversation's turns as pairs of a question and an answer."""
-    turns = table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("page")).agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("source"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("translation"))
-    turns = turns.where("source is not null and translation is not null").withColumn("page", F.col("page") + 1)
-    pairs = turns.select(F.col("conv_id").alias("doc_id"), "page", "source", "translation")
-    pages = pairs.select("doc_id", F.col("page").alias("out_page"), "page")
-    asked = pairs.select((F.col("doc_id") * 100 + F.col("page")).alias("selection_id"), "doc_id", F.col("page").alias("out_page"), F.substring("translation", 1, 12).alias("text"))
-    return M.reverse_lookup(asked, pages, pairs).select("selection_id", F.length("source").alias("source_chars"), "page", "candidates", "uncertain")
-
-
-REVERSE_LOOKUP_SQL = """
-WITH t AS (SELECT conv_id, turn // 2 AS page, max(text) FILTER (WHERE role = 'user') AS source, max(text) FILTER (WHERE role = 'assistant') AS translation FROM conversations GROUP BY ALL)
-SELECT conv_id * 100 + page + 1 AS selection_id, length(source) AS source_chars, page + 1 AS page, 1::BIGINT AS candidates, length(trim(substr(translation, 1, 12))) < 4 AS uncertain
-FROM t WHERE source IS NOT NULL AND translation IS NOT NULL
+    """The starts of questions and answers, looked up among the pairs of their page; four pairs of a conversation are a page, which is shown twice, translated and as it was."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("nth")).agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("source"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("translation"))
+    pairs = turns.where("source is not null and translation is not null").select(F.col("conv_id").alias("doc_id"), "nth", (F.floor(F.col("nth") / 4) + 1).alias("page"), "source", "translation")
+    shown = F.explode(F.array(F.struct((F.col("page") * 2).alias("out_page"), "page"), F.struct((F.col("page") * 2 + 1).alias("out_page"), (-F.col("page")).alias("page")))).alias("p")
+    pages = pairs.select("doc_id", "page").distinct().select("doc_id", shown).select("doc_id", "p.*")
+    side = lambda k, text: F.struct((F.col("doc_id") * 1000 + F.col("nth") * 2 + k).alias("selection_id"), (F.col("page") * 2 + k).alias("out_page"), F.substring(text, 1, 5).alias("text"))
+    asked = pairs.select("doc_id", F.explode(F.array(side(0, "translation"), side(1, "source"))).alias("s")).select("doc_id", "s.*")
+    return M.reverse_lookup(asked, pages, pairs.select("doc_id", "page", "source", "translation")).select("selection_id", F.length("source").alias("source_chars"), "page", "candidates", "uncertain")
+
+
+REVERSE_LOOKUP_SQL = r"""
+WITH t AS (SELECT conv_id, turn // 2 AS nth, turn // 8 + 1 AS page, max(text) FILTER (WHERE role = 'user') AS source, max(text) FILTER (WHERE role = 'assistant') AS translation FROM conversations GROUP BY ALL),
+p AS (SELECT * FROM t WHERE source IS NOT NULL AND translation IS NOT NULL),
+asked AS (SELECT conv_id, page, conv_id * 1000 + nth * 2 AS selection_id, 0 AS side, substr(translation, 1, 5) AS text FROM p UNION ALL SELECT conv_id, page, conv_id * 1000 + nth * 2 + 1, 1, substr(source, 1, 5) FROM p),
+wanted AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM asked),
+found AS (SELECT selection_id, p.source, p.page, row_number() OVER (PARTITION BY selection_id ORDER BY length(p.translation), p.source, p.page) AS k, count(*) OVER (PARTITION BY selection_id) AS n
+  FROM wanted a JOIN p ON p.conv_id = a.conv_id AND p.page = a.page AND w <> '' AND contains(regexp_replace(CASE WHEN side = 0 THEN p.translation ELSE p.source END, '\s+', ' ', 'g'), w))
+SELECT a.selection_id, length(f.source) AS source_chars, f.page, coalesce(n, 0)::BIGINT AS candidates, coalesce(n, 0) > 1 OR length(w) < 4 AS uncertain
+FROM wanted a LEFT JOIN found f ON f.selection_id = a.selection_id AND k = 1
 """
 
 
