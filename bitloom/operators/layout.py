@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from bitloom.functions import geometry as G
 from bitloom.functions import text as T
 from bitloom.functions.groups import add_by_group, components
-from bitloom.functions.storage import cut
 
 PAGE = ["doc_id", "page"]
 # Fixed value: the class of regions that are cells of tables with lines.
@@ -557,32 +556,44 @@ def locate_text(glyphs: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle_id, line, x, y, x2, y2): line rectangles of a text that occurs once on its page. glyphs: doc_id, page, glyph_idx, char, box; needles: needle_id (unique), doc_id, page, text.
 
     Both are compared in lower case without white space; where that gives no single place, hyphens at line ends are left out of the page
-    as well. A page's text is made once, as one row for each of the two ways; needles meet that row for the place alone, and then
-    by position the glyphs that lie there. A line ends where the next glyph lies below, above or left of all of it.
+    as well. A page is one row, made once with its text in either way; a needle meets that row, and one pass over the page's
+    glyphs takes up those at its place. A line ends where the next glyph lies below, above or left of all of it.
     Null and blank glyphs do not count; a null or blank needle is nowhere.
     """
-    order = Window.partitionBy(*PAGE).orderBy("glyph_idx")
-    shown = glyphs.where(F.translate("char", T.WHITE, "") != "").select(*PAGE, "glyph_idx", "char", "x", "y", "x2", "y2")
-    turns = F.coalesce((F.lead("y2").over(order) <= F.col("y")) | (F.lead("x2").over(order) < F.col("x")), F.lit(False))
-    shown = shown.withColumns({"n": F.row_number().over(order), "folded": F.lower("char"), "wraps": F.col("char").isin("-", "\u00ad") & turns})
-    shown = cut(shown.withColumn("way", F.explode(F.when(F.col("wraps"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))))
-    pages = shown.groupBy(*PAGE, "way").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "folded"))), lambda g: g["folded"]), "").alias("body"))
-    wanted = F.translate(F.lower("text"), T.WHITE, "")
-    asked = needles.select("needle_id", *PAGE, wanted.alias("wanted")).where("wanted <> ''")
-    found = asked.join(pages, PAGE).withColumn("at", F.position("wanted", "body")).where("at > 0")
-    found = found.where(F.position(F.col("wanted"), F.col("body"), F.col("at") + 1) == 0)
-    place = found.groupBy("needle_id", *PAGE).agg(F.min(F.struct("way", "at", F.length("wanted").alias("size"))).alias("p"))
-    at = place.select("needle_id", *PAGE, F.col("p.way").alias("way"), F.explode(F.sequence(F.col("p.at"), F.col("p.at") + F.col("p.size") - 1)).alias("pos"))
-    through = F.sum(F.length("folded")).over(Window.partitionBy(*PAGE, "way").orderBy("n")).cast("int")
-    owners = shown.withColumn("through", through).select(*PAGE, "way", "n", "x", "y", "x2", "y2", F.explode(F.sequence(F.col("through") - F.length("folded") + 1, F.col("through"))).alias("pos"))
+    shown = glyphs.where(F.translate("char", T.WHITE, "") != "").select(*PAGE, "glyph_idx", F.lower("char").alias("folded"), F.col("char").isin("-", "\u00ad").alias("hyphen"), "x", "y", "x2", "y2")
+    glyph = F.struct("glyph_idx", "folded", "hyphen", "x", "y", "x2", "y2")
+    pages = shown.groupBy(*PAGE).agg(F.sort_array(F.collect_list(glyph)).alias("all"))
+
+    def wraps(g: Column, i: Column) -> Column:
+        after = F.get("all", i + 1)
+        return g["hyphen"] & F.coalesce((after["y2"] <= g["y"]) | (after["x2"] < g["x"]), F.lit(False))
+
+    text = lambda c: F.array_join(F.transform(c, lambda g: g["folded"]), "")
+    pages = pages.withColumn("some", F.filter("all", lambda g, i: ~wraps(g, i)))
+    pages = pages.select(*PAGE, "all", "some", text("all").alias("all_text"), F.when(F.size("some") < F.size("all"), text("some")).alias("some_text"))
+    asked = needles.select("needle_id", *PAGE, F.translate(F.lower("text"), T.WHITE, "").alias("wanted")).where("wanted <> ''")
+    met = asked.join(pages, PAGE)
+
+    def place(body: str) -> Column:
+        """Where the needle's only place in a text begins; null without one."""
+        at = F.position(F.col("wanted"), F.col(body))
+        return F.when((at > 0) & (F.position(F.col("wanted"), F.col(body), at + 1) == 0), at)
+
+    met = met.withColumns({"first": place("all_text"), "second": place("some_text")}).where("first is not null or second is not null")
+    met = met.select("needle_id", F.coalesce("first", "second").alias("at"), F.length("wanted").alias("size"), F.when(F.col("first").isNotNull(), F.col("all")).otherwise(F.col("some")).alias("glyphs"))
     box = lambda *c: F.struct(*(v.alias(k) for v, k in zip(c, ("x", "y", "x2", "y2"), strict=True)))
-    hit = at.join(owners, [*PAGE, "way", "pos"]).groupBy("needle_id").agg(F.sort_array(F.collect_set(F.struct("n", "x", "y", "x2", "y2"))).alias("g"))
 
     def grow(lines: Column, g: Column) -> Column:
-        last = F.element_at(lines, -1)
+        last = F.try_element_at(lines, F.lit(-1))
         apart = (F.size(lines) == 0) | (g["y2"] <= last["y"]) | (g["y"] >= last["y2"]) | (g["x"] < last["x"])
         wider = box(F.least(last["x"], g["x"]), F.least(last["y"], g["y"]), F.greatest(last["x2"], g["x2"]), F.greatest(last["y2"], g["y2"]))
         return F.when(apart, F.concat(lines, F.array(box(g["x"], g["y"], g["x2"], g["y2"])))).otherwise(F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(wider)))
 
-    lines = F.aggregate("g", F.array().cast("array<struct<x:double,y:double,x2:double,y2:double>>"), grow)
-    return hit.select("needle_id", F.posexplode(lines).alias("line", "b")).select("needle_id", "line", "b.*")
+    def step(a: Column, g: Column) -> Column:
+        through = a["through"] + F.length(g["folded"])
+        here = (through >= F.col("at")) & (a["through"] + 1 < F.col("at") + F.col("size"))
+        return F.struct(through.alias("through"), F.when(here, grow(a["lines"], g)).otherwise(a["lines"]).alias("lines"))
+
+    nothing = F.struct(F.lit(0).alias("through"), F.array().cast("array<struct<x:double,y:double,x2:double,y2:double>>").alias("lines"))
+    found = met.select("needle_id", F.aggregate("glyphs", nothing, step, lambda a: a["lines"]).alias("lines"))
+    return found.select("needle_id", F.posexplode("lines").alias("line", "b")).select("needle_id", "line", "b.*")
