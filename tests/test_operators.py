@@ -160,6 +160,15 @@ def test_short_texts_are_found_inside_others(spark, tmp_path):
     assert rows(language.memory_contained(spark, str(tmp_path)), "item_id", "documents") == want and len(want) == 4
 
 
+def test_short_texts_of_common_words_do_not_meet_all_texts_that_have_them(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short = [f"w{c} the of v" for c in letters] + [f"w{c} the v" for c in letters]
+    texts = short + [f"some more x{t}z here" for t in short]
+    data = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "side int, id int, t string")
+    found = {(r["i1"], r["i2"]) for r in evaluate.inside_candidates(data.where(f"id < {len(short)}"), data).collect()}
+    assert {(i, j) for i in range(len(short)) for j in range(len(texts)) if texts[i] in texts[j]} <= found and len(found) < 3 * len(short)
+
+
 def test_reviews(spark):
     names = list(evaluate.WEIGHTS)
     error = "array<struct<dimension:string,source_quote:string,target_quote:string,category:string>>"
