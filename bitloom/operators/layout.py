@@ -188,32 +188,67 @@ LEVEL_SHARE = 0.7  # of both lines' sizes that adjacent ones share
 GAP_BESIDE, GAP_BELOW = 1.5, 1.5  # mean sizes between adjacent lines, and down to where a line looks for others
 
 
-def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A band for each interval, by their starts: the one that holds the largest share of it, over BAND_SHARE; of equal ones that which grew last. Bands are looked at from the last grown to the first that ends below."""
-    band, ends, grown = np.zeros(len(low), dtype=np.int64), [], []
-    for i in np.argsort(low, kind="stable").tolist():
-        best, share = None, BAND_SHARE
+#: Points up to which a stretch is gone through without arrays, whose making would take most of the time.
+FEW = 64
+
+
+def _bands(low: list[float], high: list[float]) -> list[list[int]]:
+    """Intervals by band, in the order of their starts, the bands as they last grew: each goes to the band that holds the largest share of it, over BAND_SHARE; of equal ones to that which grew last. Bands are looked at from the last grown to the first that ends below."""
+    members, ends, grown = [], [], []
+    for i in sorted(range(len(low)), key=low.__getitem__):
+        best, share, start, size = None, BAND_SHARE, low[i], high[i] - low[i]
         for b in reversed(grown):
-            if ends[b] < low[i]:
+            if ends[b] < start:
                 break
             # a band starts no later than what comes after it
-            part = (min(high[i], ends[b]) - low[i]) / (high[i] - low[i]) if high[i] > low[i] else 0.0
+            part = (min(high[i], ends[b]) - start) / size if size > 0 else 0.0
             if part > share:
                 best, share = b, part
         if best is None:
             best = len(ends)
             ends.append(high[i])
+            members.append([])
         else:
-            grown.remove(best)
+            if grown[-1] != best:
+                grown.remove(best)
+            else:
+                grown.pop()
             ends[best] = max(ends[best], high[i])
         grown.append(best)
-        band[i] = best
-    # bands in the order in which they last grew
-    return np.argsort(np.array(grown, dtype=np.int64))[band] if grown else band
-
-
-def _within_reach(points: np.ndarray, reach: float) -> np.ndarray:
-    """Single linkage: a label per point, the same for points that steps of ``reach`` or less connect (sums of distances by axis). Points are compared with those behind them by the first axis, as far as that axis allows."""
+        members[best].append(i)
+    return [members[b] for b in grown]
+
+
+def _within_reach(points: list[tuple], reach: float) -> list[list[int]]:
+    """Single linkage: the places of points that steps of ``reach`` or less connect (sums of distances by axis), in order, by the first of each. Points are compared with those behind them by the first axis, as far as that axis allows."""
+    n = len(points)
+    if n == 1:
+        return [[0]]
+    if n > FEW:
+        label = _linked(np.array(points), reach).tolist()
+    else:
+        order = sorted(range(n), key=lambda i: points[i][0])
+        label = list(range(n))
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if points[j][0] - points[i][0] > reach:
+                    break
+                if label[i] != label[j] and _apart(points[i], points[j]) <= reach:
+                    old, now = label[j], label[i]
+                    label = [now if x == old else x for x in label]
+    parts: dict[int, list[int]] = {}
+    for i, x in enumerate(label):
+        parts.setdefault(x, []).append(i)
+    return list(parts.values())
+
+
+def _apart(a: tuple, b: tuple) -> float:
+    """The distances of two points by axis, added up."""
+    first = abs(a[0] - b[0])
+    return first + abs(a[1] - b[1]) if len(a) > 1 else first
+
+
+def _linked(points: np.ndarray, reach: float) -> np.ndarray:
     order = np.argsort(points[:, 0], kind="stable")
     at, links = points[order], []
     for k in range(1, len(at)):
@@ -228,87 +263,106 @@ def _within_reach(points: np.ndarray, reach: float) -> np.ndarray:
     return label
 
 
-def _parts(members: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-    """members split by label, in the order in which labels come first."""
-    _, first, which = np.unique(label, return_index=True, return_inverse=True)
-    return [members[which == k] for k in np.argsort(first, kind="stable")]
+def _mean(values: list[float]) -> float:
+    """As numpy adds them up: a few one after the other."""
+    if len(values) > 7:
+        return float(np.mean(np.array(values)))
+    total = 0.0
+    for v in values:
+        total += v
+    return total / len(values)
 
 
-def _mean_size(sizes: np.ndarray, without: float) -> float:
-    sizes = sizes[sizes > 0]
-    return float(sizes.mean()) if len(sizes) else without
+def _mean_size(sizes: list[float], without: float) -> float:
+    sizes = [v for v in sizes if v > 0]
+    return _mean(sizes) if sizes else without
 
 
-def _runs(box: np.ndarray, along: int) -> list[np.ndarray]:
+def _runs(box: list[list[float]], own: list[int], along: int) -> list[list[int]]:
     """Lines of the boxes (x, y, x2, y2) of one direction: bands across, single linkage in a band, and where a line is much taller than its characters a split at the valleys of its centres."""
-    low, high = box[:, 1 - along], box[:, 3 - along]
-    size, centre = box[:, 2 + along] - box[:, along], (box[:, :2] + box[:, 2:]) / 2
-    order = np.argsort(low, kind="stable")
+    low, high = [box[i][1 - along] for i in own], [box[i][3 - along] for i in own]
     out = []
-    band = _bands(low, high)
-    for b in range(int(band.max()) + 1 if len(band) else 0):
-        members = order[band[order] == b]
-        for line in _parts(members, _within_reach(centre[members], _mean_size(size[members], 10.0) * LINE_REACH)):
-            line = line[np.argsort(box[line, along], kind="stable")]
-            tallest = max((high[line] - low[line]).max(), 0.0)
-            if tallest > 0 and high[line].max() - low[line].min() > tallest * TALL and len(line) > 1:
-                middle = (low[line] + high[line])[:, None] / 2
-                out += _parts(line, _within_reach(middle, tallest * VALLEY))
-            else:
-                out.append(line)
+    for band in _bands(low, high):
+        members = [own[k] for k in band]
+        reach = _mean_size([box[i][2 + along] - box[i][along] for i in members], 10.0) * LINE_REACH
+        for part in _within_reach([((box[i][0] + box[i][2]) / 2, (box[i][1] + box[i][3]) / 2) for i in members], reach):
+            line = sorted((members[k] for k in part), key=lambda i: box[i][along])
+            if len(line) > 1:
+                lows, highs = [box[i][1 - along] for i in line], [box[i][3 - along] for i in line]
+                tallest = max(max(h - w for w, h in zip(lows, highs, strict=True)), 0.0)
+                if tallest > 0 and max(highs) - min(lows) > tallest * TALL:
+                    middle = [((w + h) / 2,) for w, h in zip(lows, highs, strict=True)]
+                    out += [[line[k] for k in piece] for piece in _within_reach(middle, tallest * VALLEY)]
+                    continue
+            out.append(line)
     return out
 
 
-def _frame(box: np.ndarray) -> np.ndarray:
-    return np.r_[box[:, :2].min(axis=0), box[:, 2:].max(axis=0)]
+def _frame(box: list[list[float]], line: list[int]) -> tuple[float, float, float, float]:
+    if len(line) == 1:
+        return tuple(box[line[0]])
+    return min(box[i][0] for i in line), min(box[i][1] for i in line), max(box[i][2] for i in line), max(box[i][3] for i in line)
 
 
-def _becomes_one(a: np.ndarray, b: np.ndarray, along: int, sizes) -> str | None:
-    """"inside" if the smaller frame lies mostly in the other, "beside" if the two are level and near; sizes: of the characters of both, asked for only where it matters."""
-    shared = np.maximum(np.minimum(a[2:], b[2:]) - np.maximum(a[:2], b[:2]), 0.0)
-    smaller = min(float(np.prod(np.maximum(f[2:] - f[:2], 0.0))) for f in (a, b))
-    if smaller > 0 and float(np.prod(shared)) / smaller > INSIDE_SHARE:
-        return "inside"
-    across = 1 - along
-    tall = [f[2 + across] - f[across] for f in (a, b)]
-    gap = max(a[along], b[along]) - min(a[2 + along], b[2 + along])
-    if min(tall) <= 0 or shared[across] / max(tall) <= LEVEL_SHARE or gap < 0:
-        return None
-    return "beside" if gap < _mean_size(sizes(), 0.0) * GAP_BESIDE else None
+def _area(f: tuple) -> float:
+    return max(f[2] - f[0], 0.0) * max(f[3] - f[1], 0.0)
 
 
-def lines_of(box: np.ndarray, vertical: np.ndarray) -> list[np.ndarray]:
-    """The lines of a page's boxes (x, y, x2, y2), from the top, each as its boxes in reading order."""
+def _reaches(gap: float, box: list[list[float]], a: list[int], b: list[int], along: int) -> bool:
+    """Whether a gap is under GAP_BESIDE mean sizes of the characters of two lines. A mean lies between the least and the largest size, which decide most."""
+    sizes = [v for line in (a, b) for i in line if (v := box[i][2 + along] - box[i][along]) > 0]
+    return bool(sizes) and gap < max(sizes) * GAP_BESIDE * (1 + 1e-9) and gap < _mean(sizes) * GAP_BESIDE
+
+
+def lines_of(boxes: np.ndarray, vertical: np.ndarray) -> list[list[int]]:
+    """The lines of a page's boxes (x, y, x2, y2), from the top, each as its boxes in reading order.
+
+    A page has about as many lines as characters where they stand alone, and each meets several: all of this is plain numbers, as an
+    array of two or four of them takes longer to make than to work on.
+    """
+    box, flags = boxes.tolist(), [bool(v) for v in vertical.tolist()]
     lines = []
     for flag, along in ((False, 0), (True, 1)):
-        own = np.flatnonzero(vertical == flag)
-        lines += [own[line] for line in _runs(box[own], along)] if len(own) else []
-    centre = (box[:, :2] + box[:, 2:]) / 2
-    lines.sort(key=lambda line: (-float(np.mean(centre[line, 1])), float(np.mean(centre[line, 0]))))
-    frames, upright = [_frame(box[line]) for line in lines], [bool(vertical[line[0]]) for line in lines]
-    area = lambda f: float(np.prod(np.maximum(f[2:] - f[:2], 0.0)))
-    gone, out = set(), []
+        own = [i for i, v in enumerate(flags) if v == flag]
+        lines += _runs(box, own, along) if own else []
+    lines.sort(key=lambda line: (-_mean([(box[i][1] + box[i][3]) / 2 for i in line]), _mean([(box[i][0] + box[i][2]) / 2 for i in line])))
+    frames, upright = [_frame(box, line) for line in lines], [flags[line[0]] for line in lines]
+    gone, out = [False] * len(lines), []
     for i in range(len(lines)):
-        if i in gone:
+        if gone[i]:
             continue
-        floor = _mean_size(box[lines[i], 3] - box[lines[i], 1], 0.0) * GAP_BELOW
+        floor = _mean_size([box[k][3] - box[k][1] for k in lines[i]], 0.0) * GAP_BELOW
+        ax, ay, ax2, ay2 = frames[i]
+        area = _area(frames[i])
         for j in range(i + 1, len(lines)):
-            if j in gone:
+            if gone[j]:
                 continue
-            if frames[i][1] - frames[j][3] > floor:
+            bx, by, bx2, by2 = frames[j]
+            if ay - by2 > floor:
                 break
-            along = int(upright[i])
-            both = [lines[i], lines[j]]
-            how = _becomes_one(frames[i], frames[j], along, lambda m=both, k=along: np.concatenate([box[x, 2 + k] - box[x, k] for x in m]))
-            if how is None:
-                continue
-            if how == "inside" and area(frames[j]) > area(frames[i]):  # the larger one leads
-                both.reverse()
+            wide, tall = min(ax2, bx2) - max(ax, bx), min(ay2, by2) - max(ay, by)
+            along = 1 if upright[i] else 0
+            leads = True
+            other = 0.0
+            if wide > 0 and tall > 0:
+                other = _area(frames[j])
+            smaller = min(area, other)
+            if smaller > 0 and wide * tall / smaller > INSIDE_SHARE:  # the smaller frame lies mostly in the other, which leads
+                leads = other <= area
+            else:  # level and near
+                across, high, gap = (wide, (ax2 - ax, bx2 - bx), max(ay, by) - min(ay2, by2)) if along else (tall, (ay2 - ay, by2 - by), max(ax, bx) - min(ax2, bx2))
+                if across <= 0 or gap < 0 or min(high) <= 0 or across / max(high) <= LEVEL_SHARE or not _reaches(gap, box, lines[i], lines[j], along):
+                    continue
+            gone[j] = True
+            if leads:
+                lines[i] = lines[i] + lines[j]
+            else:
+                lines[i] = lines[j] + lines[i]
                 upright[i] = upright[j]
-            gone.add(j)
-            lines[i] = np.concatenate(both)
-            frames[i] = np.r_[np.minimum(frames[i][:2], frames[j][:2]), np.maximum(frames[i][2:], frames[j][2:])]
-        out.append(lines[i][np.argsort(box[lines[i], int(upright[i])], kind="stable")])
+            frames[i] = ax, ay, ax2, ay2 = min(ax, bx), min(ay, by), max(ax2, bx2), max(ay2, by2)
+            area = _area(frames[i])
+        along = 1 if upright[i] else 0
+        out.append(sorted(lines[i], key=lambda k: box[k][along]) if len(lines[i]) > 1 else lines[i])
     return out
 
 
@@ -327,11 +381,14 @@ def cluster_lines(chars: DataFrame) -> DataFrame:
         sound = np.flatnonzero(~np.isnan(box).any(axis=1))
         order = sound[np.argsort(rows["char_idx"].to_numpy()[sound], kind="stable")]
         upright = rows["vertical"].fillna(False).to_numpy(dtype=bool) if flag else np.zeros(len(rows), dtype=bool)
-        line, place = (pd.array([pd.NA] * len(rows), dtype="Int32") for _ in range(2))
-        for n, members in enumerate(lines_of(box[order], upright[order])):
-            line[order[members]] = n
-            place[order[members]] = np.arange(len(members))
-        return {"line_idx": line, "line_pos": place}
+        line, place = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int32)
+        found = lines_of(box[order], upright[order])
+        at = order[np.array([k for members in found for k in members], dtype=np.int64)]
+        line[at] = [n for n, members in enumerate(found) for _ in members]
+        place[at] = [k for members in found for k in range(len(members))]
+        none = np.ones(len(rows), dtype=bool)
+        none[at] = False
+        return {"line_idx": pd.arrays.IntegerArray(line, none), "line_pos": pd.arrays.IntegerArray(place, none.copy())}
 
     return add_by_group(chars, PAGE, ["char_idx", "x", "y", "x2", "y2", *(["vertical"] if flag else [])], {"line_idx": "int", "line_pos": "int"}, page)
 
