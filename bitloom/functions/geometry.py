@@ -105,6 +105,8 @@ def y_iou(a: Column, b: Column) -> Column:
 def cells(a: Column, size: float) -> Column:
     """The grid cells that a box touches, as (cx, cy)."""
     low = lambda c: F.floor(c / size)
+    cell = lambda cx, cy: F.struct(cx.alias("cx"), cy.alias("cy"))
     across = F.sequence(low(a["x"]), F.greatest(low(a["x2"]), low(a["x"])))
     up = F.sequence(low(a["y"]), F.greatest(low(a["y2"]), low(a["y"])))
-    return F.flatten(F.transform(across, lambda cx: F.transform(up, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    one = (low(a["x2"]) <= low(a["x"])) & (low(a["y2"]) <= low(a["y"]))  # as nearly all small boxes have, which need no lambdas
+    return F.when(one, F.array(cell(low(a["x"]), low(a["y"])))).otherwise(F.flatten(F.transform(across, lambda cx: F.transform(up, lambda cy: cell(cx, cy)))))

@@ -27,7 +27,8 @@ def _box(prefix: str = "") -> Column:
 
 
 def _gridded(df: DataFrame, by: float = 0.0, cell: float = CELL) -> DataFrame:
-    return df.withColumn("__c", F.explode(G.cells(G.expanded(_box(), by) if by else _box(), cell)))
+    # outer: explode() filters what it takes apart first, for which cells, and all that the box follows from, would be worked out twice
+    return df.withColumn("__c", F.explode_outer(G.cells(G.expanded(_box(), by) if by else _box(), cell))).where("__c is not null")
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float = 0.0, cell: float = CELL, on: list[str] | None = None) -> DataFrame:
@@ -57,9 +58,10 @@ def assign_regions(chars: DataFrame, regions: DataFrame, priority: list[str], ke
 
 def formula_region(chars: DataFrame, regions: DataFrame, key: str = "char_idx", least: float = 0.4, agree: float = 0.2) -> DataFrame:
     """chars with formula_region_id: the formula region that covers over ``least`` of the visual box (vx, vy, vx2, vy2), or of the box itself where the visual one agrees with it by less than ``agree``."""
-    seen = chars.withColumn("__use", F.when(G.iou(_box(), _box("v")) < agree, _box()).otherwise(_box("v")))
-    rows = seen.select(*PAGE, key, *(F.col(f"__use.{c}").alias(c) for c in ("x", "y", "x2", "y2")))
-    pairs = spatial_pairs(rows, regions, key, "region_id").withColumn("cov", G.coverage(_box(), _box("r_"))).where(F.col("cov") > least)
+    # taken out of an array: filters on it would be pushed below, each with all of the comparison, into a method too long to be compiled
+    used = F.array(F.when(G.iou(_box(), _box("v")) < agree, _box()).otherwise(_box("v")))
+    rows = chars.select(*PAGE, key, F.inline_outer(used))
+    pairs = spatial_pairs(rows, regions.select(*PAGE, "region_id", "x", "y", "x2", "y2"), key, "region_id").withColumn("cov", G.coverage(_box(), _box("r_"))).where(F.col("cov") > least)
     best = pairs.groupBy(*PAGE, key).agg(F.max_by("r_region_id", F.struct("cov", -F.col("r_region_id"))).alias("formula_region_id"))
     return chars.join(best, [*PAGE, key], "left")
 

@@ -225,3 +225,8 @@ def test_texts_are_located_once_whatever_asks(spark):
         got.setdefault(r["needle_id"], []).append((r["x"], r["y"], r["x2"], r["y2"]))
     top, middle, low = (0.0, 100.0, 19.0, 108.0), (0.0, 88.0, 9.0, 96.0), (0.0, 76.0, 19.0, 84.0)
     assert got == {2: [(0.0, 100.0, 39.0, 108.0), middle], 3: [(10.0, 100.0, 19.0, 108.0), middle], 4: [(30.0, 88.0, 39.0, 96.0), low], 7: [(20.0, 88.0, 29.0, 96.0)], 8: [(0.0, 88.0, 39.0, 96.0)], 10: [(20.0, 76.0, 39.0, 84.0)]} and top
+
+
+def test_formula_regions_are_compiled(spark, data):
+    plan = pages.formula_region(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(line) for line in plan.splitlines() if "Filter" in line) < 1500  # no comparison of boxes in each filter
