@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bitloom.functions import text as T
 from bitloom.functions.storage import cut
 
+#: Pairs of queries and paragraphs up to which a document's are all compared.
+DIRECT_PAIRS = 4_096
 MEMORY_KEY = ["doc_fingerprint", "target_lang", "page", "paragraph_id", "source_hash"]
 
 
@@ -54,6 +56,7 @@ def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -
     told = lambda c, kind: (F.col(c) if c in memory.columns else F.lit(None)).cast(kind)  # noqa: E731  (a table may lack what only the answer shows)
     shown = [told("paragraph_id", "string").alias("paragraph_id"), told("target_lang", "string").alias("match_lang"), told("formatting_incomplete", "boolean").alias("formatting_incomplete")]
     stored = memory.select("doc_fingerprint", F.col("page").alias("match_page"), F.col("seq").alias("memory_seq"), "source", "translation", *shown, F.col(column).alias("stored"))
+    stored = cut(stored.join(asked.select("doc_fingerprint").distinct(), "doc_fingerprint", "left_semi"))  # what the memory follows from is worked out once
     row = F.struct("memory_seq", "source", "translation", "match_page", "paragraph_id", "match_lang", "formatting_incomplete")
     own_lang = F.col("wanted_lang").isNull() | (F.col("wanted_lang") == F.col("match_lang"))
     pick = lambda df, kind, order: df.groupBy("query_id").agg(F.max_by(row, F.struct(*order)).alias("m")).select("query_id", F.lit(kind).alias("match_type"), "m.*")
@@ -66,10 +69,18 @@ def lookup_memory(queries: DataFrame, memory: DataFrame, side: str = "source") -
     return queries.join(exact.unionByName(contained), "query_id", "left")
 
 
-def _holders(asked: DataFrame, stored: DataFrame) -> DataFrame:
-    """asked with the stored paragraphs of its document that may contain it: those with the query's rarest run of three characters there; all of the document's for a shorter query."""
+def _holders(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """asked with the stored paragraphs of its document that may contain it. Of a document with few, all; of one with over DIRECT_PAIRS pairs of both those with the query's rarest run of three characters there (all of them for a shorter query)."""
+    pairs = own.groupBy("doc_fingerprint").agg(F.count("*").alias("s")).join(asked.groupBy("doc_fingerprint").agg(F.count("*").alias("q")), "doc_fingerprint")
+    large = cut(pairs.where(F.col("s") * F.col("q") > DIRECT_PAIRS).select("doc_fingerprint"))
+    if large.isEmpty():
+        return asked.join(own, "doc_fingerprint")
+    direct = asked.join(large, "doc_fingerprint", "left_anti").join(own, "doc_fingerprint")
+    return direct.unionByName(_by_runs(asked.join(large, "doc_fingerprint", "left_semi"), own.join(large, "doc_fingerprint", "left_semi")).select(*direct.columns))
+
+
+def _by_runs(asked: DataFrame, own: DataFrame) -> DataFrame:
     runs = lambda c: F.explode(F.array_distinct(T.character_runs(F.col(c), 3))).alias("run")
-    own = stored.join(asked.select("doc_fingerprint").distinct(), "doc_fingerprint", "left_semi")
     long = asked.where("length(wanted) >= 3")
     wanted = long.select("doc_fingerprint", "query_id", runs("wanted"))
     places = own.select("doc_fingerprint", "memory_seq", "match_page", runs("stored")).join(wanted.select("doc_fingerprint", "run").distinct(), ["doc_fingerprint", "run"], "left_semi")

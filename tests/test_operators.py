@@ -125,6 +125,27 @@ def test_align_sentences(spark):
     assert [g for g in got if g[0] == 1] == [(1, 0, 0), (1, 1, 1), (1, 2, 2)] and not [g for g in got if g[0] == 3]
 
 
+def test_small_documents_are_looked_up_without_runs(spark, monkeypatch):
+    stored = [("d", "fr", 0, f"p{i}", f"words of {i} here", "x", None, "succeeded", None, i) for i in range(6)]
+    table = memory.upsert_memory(None, spark.createDataFrame(stored, "doc_fingerprint string, target_lang string, page int, paragraph_id string, source string, translation string, reading string, status string, quality string, seq long"))
+    asked = spark.createDataFrame([(1, "d", "of 3", 0), (2, "d", "here", 0), (3, "d", "none", 0), (4, "e", "of", 0), (5, "d", "of 2 here", 0)], "query_id int, doc_fingerprint string, text string, page int")
+    told = lambda: rows(memory.lookup_memory(asked, table), "query_id", "match_type", "memory_seq")
+    monkeypatch.setattr(memory, "DIRECT_PAIRS", 0)
+    by_runs = told()
+    monkeypatch.undo()
+    monkeypatch.setattr(memory, "_by_runs", None)
+    assert told() == by_runs and [r[2] for r in by_runs] == [3, 5, None, None, 2]
+
+
+def test_small_groups_cost_no_call_each(spark):
+    b = spark.createDataFrame([(d, p, p * 2 + k, 30.0 * k, "text") for d in (1, 2, None) for p in (0, 1, 3) for k in (0, 1)], "doc_id long, page int, para_idx int, y2 double, label string")
+    pairs, batches = paragraphs.boundary_pairs(b), paragraphs.batch_by_budget(b.withColumn("size", F.lit(150)), ["doc_id", "page"], "para_idx", "size")
+    for out in (pairs, batches):
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(pairs, "left_idx", "right_idx", "kind") == sorted([(1, 2, "page"), (6, 7, "column")] * 3)
+    assert {r["batch"] for r in batches.collect()} == {0} and batches.count() == 18
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = random.Random(7)
     vocab = [f"w{i}" for i in range(25)]
