@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,33 @@ def add_by_group(df: DataFrame, keys: list[str], reads: list[str], added: dict[s
     return df.groupBy(*keys).applyInArrow(one, StructType(fields))
 
 
+def add_in_order(df: DataFrame, keys: list[str], order: str, reads: str, added: str, kind: str, start: Callable[[], Callable]) -> DataFrame:
+    """df with a column that a pass over each group's rows in order gives; start() gives a function for one group, from a row's value of ``reads`` to what is added.
+
+    Rows are sorted by Spark and gone through in Arrow batches of any number of groups, so that small groups cost no call each and large ones no memory.
+    """
+    names = [f.name for f in df.schema.fields]
+    fields = [StructField(f.name, _type(kind)) if f.name == added else f for f in df.schema.fields]
+    fields += [] if added in names else [StructField(added, _type(kind))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            out = []
+            for key, value in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(reads).to_pylist(), strict=True):
+                if step is None or not all(a == b or (a != a and b != b) for a, b in zip(key, last, strict=True)):
+                    last, step = key, start()
+                out.append(step(value))
+            column, columns = pa.array(out, type=_MADE[kind]), list(batch.columns)
+            if added in names:
+                columns[names.index(added)] = column
+            else:
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(walk, StructType(fields))
+
+
 def _type(ddl: str):
     return StructType.fromDDL(f"x {ddl}").fields[0].dataType
 
