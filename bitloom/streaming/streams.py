@@ -5,16 +5,20 @@ Late data: event time with watermarks where metrics are windowed; revisions, not
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bitloom.operators.memory import upsert_memory
 from bitloom.sources import published
 
+#: Buckets of keyed state; a stream keeps the number that it began with.
+KEY_BUCKETS = 1_024
+
 
 def live_request_metrics(ledger: DataFrame, delay: str = "1 minute", width: str = "1 minute") -> DataFrame:
     """Request counts, failures (without cancelled ones), tokens and cache hits by window, provider and model. ledger: ts, event, provider, model, succeeded, cancelled, latency_ms, input, output, hit, miss; if there, retry and repair (booleans of starts)."""
@@ -87,6 +91,11 @@ def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, sche
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, time_mode)
 
 
+def _bucket(*keys: str) -> Column:
+    """Which of KEY_BUCKETS a key falls in. Where there are many keys with few rows each, a bucket is the key of the state, and its own keys are entries of a map: a call of a Python processor costs as much as some thousand rows."""
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+
+
 def _millis(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
@@ -257,56 +266,74 @@ PARAGRAPH = "doc_id long, paragraph_id string, status string, reason string"
 
 
 class _Paragraphs(StatefulProcessor):
-    """One document's paragraphs, each in an entry of its own, so that a batch reads and writes only those it tells of."""
+    """The paragraphs of a bucket's documents, a document in ``parts`` entries, so that a batch reads and writes only those it tells of."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.paragraphs = handle.getMapState("paragraphs", "paragraph_id string", "status string, reason string")
+        self.documents = handle.getMapState("documents", "doc_id string, part int", "paragraph_id array<string>, status array<string>, reason array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before: dict[str, tuple | None] = {}
-        now: dict[str, tuple] = {}
-
-        def known(p: str) -> tuple:
-            if p not in now:
-                before[p] = tuple(self.paragraphs.getValue((p,))) if self.paragraphs.containsKey((p,)) else None
-                now[p] = before[p] or (None, None)
-            return now[p]
-
-        whole = False
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.paragraph_id is not None and not pd.isna(r.paragraph_id):
-                now[r.paragraph_id] = next_state(known(r.paragraph_id), r.type, r.reason)
-                continue
-            if not whole:  # once a batch at most
-                for k, v in list(self.paragraphs.iterator()):
-                    if k[0] not in now:
-                        before[k[0]] = now[k[0]] = tuple(v)
-                whole = True
-            for p in now:
-                now[p] = next_state(now[p], r.type, r.reason)
-        changed = [(key[0], p, *v) for p, v in now.items() if before[p] != v]
-        for _, p, *v in changed:
-            self.paragraphs.updateValue((p,), tuple(v))
-        if changed:
-            yield pd.DataFrame(changed, columns=["doc_id", "paragraph_id", "status", "reason"])
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        told: dict[str | None, list[tuple]] = {}
+        for doc, paragraph, kind, reason in zip(*(events[c].tolist() for c in ("doc_id", "paragraph_id", "type", "reason")), strict=True):
+            told.setdefault(doc, []).append((paragraph if isinstance(paragraph, str) else None, kind, reason))
+        out = []
+        for doc, steps in told.items():
+            before: dict[int, dict[str, tuple]] = {}
+            now: dict[int, dict[str, tuple]] = {}
+
+            def part(n: int, doc: str | None = doc, before: dict = before, now: dict = now) -> dict[str, tuple]:
+                if n not in now:
+                    kept = self.documents.getValue((doc, n))
+                    before[n] = {p: tuple(v) for p, *v in zip(*kept, strict=True)} if kept else {}
+                    now[n] = dict(before[n])
+                return now[n]
+
+            for paragraph, kind, reason in steps:
+                if paragraph is not None:
+                    known = part(zlib.crc32(paragraph.encode()) % self.parts)
+                    known[paragraph] = next_state(known.get(paragraph, (None, None)), kind, reason)
+                    continue
+                for n in range(self.parts):
+                    known = part(n)
+                    for p, v in known.items():
+                        known[p] = next_state(v, kind, reason)
+            for n, known in now.items():
+                changed = [(None if doc is None else int(doc), p, *v) for p, v in known.items() if before[n].get(p) != v]
+                if changed:
+                    self.documents.updateValue((doc, n), (list(known), *map(list, zip(*known.values(), strict=True))))
+                    out += changed
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "paragraph_id", "status", "reason"], dtype=object)  # as objects, ids beside a null stay exact
 
     def close(self) -> None:
         pass
 
 
+def _paragraph_states(events: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    # no nulls in numbers, which pandas would round the others for: documents as text, events without seq last as ever
+    made = events.select(_bucket(*keys), F.col("doc_id").cast("string").alias("doc_id"), "paragraph_id", F.coalesce("seq", F.lit(2**63 - 1)).alias("seq"), "type", "reason")
+    return _stateful(made, ["bucket"], _Paragraphs(parts), PARAGRAPH)
+
+
 def checkpoint_state(events: DataFrame) -> DataFrame:
     """The paragraphs that each batch has changed (PARAGRAPH): success is not undone by pending, the end of a run turns pending into failed, a failed review demotes success.
 
-    events: doc_id, paragraph_id, seq, type (pending, succeeded, failed, skipped, finish, review_failed), reason. One key per
-    paragraph: here each has its own finish event, and documents of any size spread.
+    events: doc_id, paragraph_id, seq, type (pending, succeeded, failed, skipped, finish, review_failed), reason. Keys are spread
+    by paragraph: here each has its own finish event, and documents of any size spread.
     """
-    made = events.where("paragraph_id is not null").select("doc_id", "paragraph_id", "seq", "type", "reason")
-    return _stateful(made, ["doc_id", "paragraph_id"], _Paragraphs(), PARAGRAPH)
+    return _paragraph_states(events.where("paragraph_id is not null"), ["doc_id", "paragraph_id"], 1)
+
 
+def checkpoint_documents(events: DataFrame, parts: int = 1) -> DataFrame:
+    """As checkpoint_state, with the end of a run sent once per document: an event without paragraph_id holds for all of its document's paragraphs that are known by then. Keys are spread by document.
 
-def checkpoint_documents(events: DataFrame) -> DataFrame:
-    """As checkpoint_state, with the end of a run sent once per document: an event without paragraph_id holds for all of its document's paragraphs that are known by then. One key per document."""
-    return _stateful(events.select("doc_id", "paragraph_id", "seq", "type", "reason"), ["doc_id"], _Paragraphs(), PARAGRAPH)
+    A document's paragraphs are one entry of the state, or ``parts`` of them, by paragraph: more for documents of very many paragraphs,
+    as an entry is read and written whole, where an event without paragraph_id reads all entries of its document.
+    """
+    return _paragraph_states(events, ["doc_id"], parts)
 
 
 def next_state(now: tuple, kind: str, reason: str | None) -> tuple:

@@ -60,6 +60,11 @@ def test_wide_usage_beside_unknown_is_exact(spark):
     assert sorted(tuple(r) for _, r in got) == [("a", 2**60 + 1, 2**60 + 1), ("b", 0, 0)]
 
 
+def keyed_by_bucket(spark, schema, make):
+    frame = make(spark.readStream.schema(schema).json(tempfile.mkdtemp(prefix="spark-stream-")))
+    return "UDF(bucket#" in frame._jdf.queryExecution().analyzed().toString()
+
+
 class Live:
     """A stream that files are added to while it runs, with a trigger of short intervals."""
 
@@ -127,6 +132,24 @@ def test_paragraph_states_over_batches(spark):
     assert last["q"] == ("pending", None) and last["p"] == want["p"] and last["z"] == want["z"]
 
 
+def test_many_documents_share_keys_of_the_state(spark):
+    schema = "doc_id long, paragraph_id string, seq long, type string, reason string"
+    for make in (S.checkpoint_documents, S.checkpoint_state):
+        assert keyed_by_bucket(spark, schema, make)  # a call of the processor for each document took milliseconds
+    event = lambda i, p, n, kind: {"doc_id": None if i == 0 else 2**60 + i, "paragraph_id": p, "seq": n, "type": kind, "reason": "why" if kind == "failed" else None}
+    first = [event(i, p, 2**60 + n, kind) for i in range(700) for n, (p, kind) in enumerate([("p", "pending"), ("q", "pending"), ("q", "succeeded"), ("r", "failed")])]
+    then = [event(i, *e) for i in range(700) if i % 2 for e in ((None, 2**60 + 8, "finish"), ("q", None, "skipped"), ("q", 2**60 + 9, "review_failed"))]
+    rows = [r for pair in zip(first, then + [then[0]] * (len(first) - len(then)), strict=True) for r in pair]  # the two halves as two batches; a finish that comes again changes nothing
+    ended = {"p": ("failed", "paragraph_not_completed"), "q": ("skipped", None), "r": ("failed", "why")}
+    going = {"p": ("pending", None), "q": ("succeeded", None), "r": ("failed", "why")}
+    want = {(None if i == 0 else 2**60 + i, p, *v) for i in range(700) for p, v in (ended if i % 2 else going).items()}
+    for parts in (1, 5):
+        last = {}
+        for _, r in replay(spark, rows, schema, lambda f, parts=parts: S.checkpoint_documents(f, parts), parts=2):
+            last[r["doc_id"], r["paragraph_id"]] = (r["status"], r["reason"])
+        assert {(*k, *v) for k, v in last.items()} == want
+
+
 def test_calls_join_their_finish_or_come_out_unfinished(spark):
     t = lambda s: f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}"
     rows = [{"call_id": c, "ts": t(s), "event": e, "succeeded": True if e == "f" else None} for c, s, e in [("a", 0, "s"), ("b", 1, "s"), ("a", 9, "f"), ("x", 3000, "s"), ("x", 3001, "f"), ("y", 3500, "s"), ("y", 3501, "f")]]
