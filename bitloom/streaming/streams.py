@@ -101,17 +101,29 @@ def _millis(span: str) -> int:
 
 
 class _UsageDelta(StatefulProcessor):
+    """The totals of a bucket's calls, each in an entry of its own."""
+
     def __init__(self, idle: int | None) -> None:
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "total long", self.idle)
+        self.totals = handle.getMapState("totals", "call_id string", "total long", self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total = self.total.get()[0] if self.total.exists() else 0
-        new = max([total, *(int(r["output"].max()) for r in rows)])
-        self.total.update((new,))
-        yield pd.DataFrame({"call_id": [key[0]], "total": [new], "delta": [new - total]})
+        most: dict[str | None, int] = {}
+        for r in rows:
+            for call, output in zip(r["call_id"].tolist(), r["output"].tolist(), strict=True):
+                call = call if isinstance(call, str) else None
+                most[call] = max(most.get(call, 0), output)
+        out = []
+        for call, largest in most.items():
+            kept = self.totals.getValue((call,))
+            total = kept[0] if kept else 0
+            new = max(total, largest)
+            if self.idle or not kept or new > total:  # an entry's time runs anew with each event
+                self.totals.updateValue((call,), (new,))
+            out.append((call, new, new - total))
+        yield pd.DataFrame(out, columns=["call_id", "total", "delta"])
 
     def close(self) -> None:
         pass
@@ -119,8 +131,8 @@ class _UsageDelta(StatefulProcessor):
 
 def usage_delta_stream(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
     """(call_id, total, delta): of cumulative usage events (call_id, seq, output) what each call adds over all before, repeats, stale and unknown values nothing. A call's state goes after it has been idle for so long (start it with a trigger of fixed intervals then); None keeps it."""
-    known = events.select("call_id", F.coalesce("output", F.lit(0)).cast("long").alias("output"))  # no nulls, which pandas would round numbers for
-    return _stateful(known, ["call_id"], _UsageDelta(idle and _millis(idle)), "call_id string, total long, delta long", time_mode="ProcessingTime" if idle else "None")
+    known = events.select(_bucket("call_id"), "call_id", F.coalesce("output", F.lit(0)).cast("long").alias("output"))  # no nulls, which pandas would round numbers for
+    return _stateful(known, ["bucket"], _UsageDelta(idle and _millis(idle)), "call_id string, total long, delta long", time_mode="ProcessingTime" if idle else "None")
 
 
 class _TaskFeed(StatefulProcessor):

@@ -65,6 +65,18 @@ def keyed_by_bucket(spark, schema, make):
     return "UDF(bucket#" in frame._jdf.queryExecution().analyzed().toString()
 
 
+def test_many_calls_share_keys_of_the_state(spark):
+    schema = "call_id string, seq long, output long"
+    assert keyed_by_bucket(spark, schema, lambda f: S.usage_delta_stream(f, None))  # a call of the processor for each call_id took milliseconds
+    name = lambda i: None if i == 7 else "" if i == 8 else f"c{i}"
+    rows = [{"call_id": name(i), "seq": n, "output": 2**60 + n * i if i % 5 else None} for n in (1, 2, 0) for i in range(2000)]
+    deltas, totals = {}, {}
+    for _, r in replay(spark, rows, schema, lambda f: S.usage_delta_stream(f, None)):
+        deltas[r["call_id"]] = deltas.get(r["call_id"], 0) + r["delta"]
+        totals[r["call_id"]] = max(totals.get(r["call_id"], 0), r["total"])
+    assert deltas == totals == {name(i): 2**60 + 2 * i if i % 5 else 0 for i in range(2000)}
+
+
 class Live:
     """A stream that files are added to while it runs, with a trigger of short intervals."""
 
@@ -89,6 +101,22 @@ class Live:
         return [tuple(r) for r in self.out]
 
 
+def test_idle_calls_are_forgotten_each_on_its_own(spark):
+    live = Live(spark, "call_id string, seq long, output long", lambda f: S.usage_delta_stream(f, "12 seconds"))
+    try:
+        row = lambda c, v: {"call_id": c, "seq": 1, "output": v}
+        live.send(row("a", 5), row("b", 5))
+        assert sorted(live.wait(2)) == [("a", 5, 5), ("b", 5, 5)]
+        time.sleep(8)
+        live.send(row("b", 4))
+        assert live.wait(3)[2] == ("b", 5, 0)
+        time.sleep(8)
+        live.send(row("a", 3), row("b", 6))
+        assert sorted(live.wait(5)[3:]) == [("a", 3, 3), ("b", 6, 1)]
+    finally:
+        live.query.stop()
+
+
 def test_progress_rises_ends_and_stalls(spark):
     live = Live(spark, "task_id string, seq long, percent double, terminal boolean", lambda f: S.progress_stream(f, "3 seconds"))
     try:
