@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import numbers as N
 from bitloom.functions import text as T
+from bitloom.functions.storage import cut
 from bitloom.operators import evaluate as E
 
 SEED = "61027"
@@ -30,9 +31,9 @@ def near_duplicates(spark, d):
 
 def leakage_pairs(spark, d):
     """Documents (by class representative) that overlap benchmark items, with the document's side labelled by source and split by language."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    own = docs.join(E.text_classes(docs).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = cut(E.may_overlap(table(spark, d, "documents").select("doc_id", "text"), items))  # all copies of a text or none, so classes are those of the whole table
+    own = docs.join(E.text_classes(docs).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     return E.near_duplicates(own, other=items, shortest=1).select("left_id", "right_id", "shared", F.round("similarity", 6).alias("similarity"), "contains")
 
 

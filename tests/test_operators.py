@@ -1,5 +1,6 @@
 """Operators on small cases with known answers."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -181,6 +182,39 @@ def test_short_texts_are_found_inside_others(spark, tmp_path):
     assert rows(language.memory_contained(spark, str(tmp_path)), "item_id", "documents") == want and len(want) == 4
 
 
+def test_only_documents_that_may_overlap_the_benchmark_are_folded_and_paired(spark, tmp_path, monkeypatch):
+    from bitloom.plans import evaluation
+
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randint(0, 400)) for _ in range(n))
+    long, six, four, three = text(30), text(6), text(4), text(3)
+    apart = [text(40) for _ in range(300)]
+    near = [long.upper(), f"x {long} y", long.replace(" ", " \t "), long[2:-2], f"{text(9)} z{six}z {text(9)}", f"{text(9)} z{four}z", f"z{three}z {text(12)}", " ".join(long.split()[4:8])]
+    docs = [*apart, *near, None, "", *near]
+
+    def grams(t):
+        w = t.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    normal = lambda t: " ".join((t or "").lower().split())
+    first = {t: i for i, t in reversed([(i, normal(t)) for i, t in enumerate(docs)]) if t}
+    seen = []
+    classes = evaluate.text_classes
+    monkeypatch.setattr(evaluate, "text_classes", lambda df: seen.append(df.count()) or classes(df))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for n, (items, some) in enumerate([([long, six, four, three, ""], True), ([long, long[3:-3]], True), ([six], True), ([three, "q"], False), ([text(20)], True)]):
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        os.symlink(f"{tmp_path}/documents.parquet", f"{tmp_path}/{n}/documents.parquet")
+        want = []
+        for t, i in first.items():
+            for j, u in enumerate(items):
+                m = min(len(grams(t)), len(grams(u)))
+                if u and (t in u or u in t or m and len(grams(t) & grams(u)) / m >= 0.8):
+                    want.append((i, j))
+        assert rows(evaluation.leakage_pairs(spark, f"{tmp_path}/{n}"), "left_id", "right_id") == sorted(want, key=repr)
+        assert bool(want) == (n < 4) and (seen[-1] <= 2 * len(near) + 2) == some  # items of one word may be in any text
+
+
 def test_short_texts_of_common_words_do_not_meet_all_texts_that_have_them(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     short = [f"w{c} the of v" for c in letters] + [f"w{c} the v" for c in letters]
