@@ -102,17 +102,19 @@ class Live:
 
 
 def test_idle_calls_are_forgotten_each_on_its_own(spark):
-    live = Live(spark, "call_id string, seq long, output long", lambda f: S.usage_delta_stream(f, "12 seconds"))
+    live = Live(spark, "call_id string, seq long, output long", lambda f: S.usage_delta_stream(f, "24 seconds"))
     try:
         row = lambda c, v: {"call_id": c, "seq": 1, "output": v}
+        live.send(row("first", 1))
+        live.wait(1)  # the first batch is slow, and time runs from a batch's start
         live.send(row("a", 5), row("b", 5))
-        assert sorted(live.wait(2)) == [("a", 5, 5), ("b", 5, 5)]
-        time.sleep(8)
+        assert sorted(live.wait(3)[1:]) == [("a", 5, 5), ("b", 5, 5)]
+        time.sleep(12)
         live.send(row("b", 4))
-        assert live.wait(3)[2] == ("b", 5, 0)
-        time.sleep(8)
+        assert live.wait(4)[3] == ("b", 5, 0)
+        time.sleep(14)
         live.send(row("a", 3), row("b", 6))
-        assert sorted(live.wait(5)[3:]) == [("a", 3, 3), ("b", 6, 1)]
+        assert sorted(live.wait(6)[4:]) == [("a", 3, 3), ("b", 6, 1)]
     finally:
         live.query.stop()
 
