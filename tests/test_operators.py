@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
@@ -224,6 +225,71 @@ def test_short_texts_of_common_words_do_not_meet_all_texts_that_have_them(spark)
     assert {(i, j) for i in range(len(short)) for j in range(len(texts)) if texts[i] in texts[j]} <= found and len(found) < 3 * len(short)
 
 
+def test_two_words_are_not_met_on_one_of_them(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short = [f"{c} therefore" for c in letters] + [f"therefore {c}" for c in letters]
+    texts = short + [f"more x{t}z therefore here" for t in short]
+    data = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "side int, id int, t string")
+    found = {(r["i1"], r["i2"]) for r in evaluate.inside_candidates(data.where(f"id < {len(short)}"), data).collect()}
+    assert {(i, j) for i in range(len(short)) for j in range(len(texts)) if texts[i] in texts[j]} <= found and len(found) < 5 * len(short)
+
+
+def test_near_duplicates_by_a_part_of_the_shingles_write_no_texts(spark, monkeypatch):
+    r = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(60))
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randint(0, 400)) for _ in range(n))
+    texts = []
+    for n in (80, 120, 200, 300, 420, 700):
+        words = text(n).split()
+        texts.append(" ".join(words))
+        for share in (0.02, 0.035, 0.04, 0.045, 0.06):  # about 0.8 of the shingles are left
+            texts.append(" ".join("new" + str(r.randint(0, 10**6)) if r.random() < share else w for w in words))
+        texts += [f"{text(90)} {' '.join(words)[1:-1]}\u3000\u2009{text(40)}", f"{text(n)} {common} {text(n)}", f"{common} {text(3)}"]
+    texts += [text(100) for _ in range(100)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, want = [grams(t) for t in texts], []
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            a, b, shared = " ".join(texts[i].split()), " ".join(texts[j].split()), len(sets[i] & sets[j])
+            least = min(len(sets[i]), len(sets[j]))
+            if a in b or b in a or shared / least >= 0.8:
+                want.append((i, j, shared, shared / least, a in b or b in a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut, written = evaluate.cut, []
+    monkeypatch.setattr(evaluate, "cut", lambda df: written.append((df.columns, out := cut(df))) or out)
+    for whole in (64, 0):
+        monkeypatch.setattr(evaluate, "WHOLE", whole, raising=False)
+        monkeypatch.setattr(evaluate, "BLOCK_PAIRS", 3, raising=False)
+        got = evaluate.near_duplicates(docs, shortest=1)
+        assert rows(got, "left_id", "right_id", "shared", "similarity", "contains") == sorted(want, key=repr) and len(want) > 20
+    assert all(out.count() < 5 for columns, out in written if "t" in columns)
+    most = max(out.count() for columns, out in written)
+    assert most < 0.5 * sum(map(len, sets))
+
+
+def test_words_of_bytes_are_those_of_the_text(spark):
+    from bitloom.functions import runs
+    from bitloom.functions import text as T
+
+    marks = "".join(map(chr, [*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0xE0, 0x1F600]))
+    texts = ["", " ", "好 x y", f"a{marks}b", *(f"{c}x{c}{c}é y{c}" for c in marks), "x" * 3000 + " y", " ".join(["long"] * 3000)]
+    plain = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.squeeze("t").alias("t")).collect()]
+    words = runs.Words([t.encode() for t in texts])
+    assert np.diff(words.bounds).tolist() == [len(t.split(" ")) if t else 0 for t in plain]
+    again = runs.Words([t.encode() for t in plain])
+    for k in (1, 3, 5):
+        assert (words.runs(k) == again.runs(k)).all() and len(set(words.runs(1).tolist())) == len({w for t in plain for w in t.split(" ") if w})
+    keys = spark.createDataFrame([(int(k),) for k in runs.key_of(words.runs(1))], "key long")
+    kept = runs.filter_of(keys, 100_000)
+    may = runs.Filter(kept.value)
+    others = runs.key_of(runs.mix(np.arange(10_000, dtype=np.uint64)))
+    assert len(kept.value) == 32 and may(runs.key_of(again.runs(1))).all() and may(others).mean() < 0.05
+
+
 def test_reviews(spark):
     names = list(evaluate.WEIGHTS)
     error = "array<struct<dimension:string,source_quote:string,target_quote:string,category:string>>"
